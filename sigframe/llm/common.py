@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,19 +128,27 @@ class PieceEncoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t and self.plain(t) else None for t in texts]
-        new = set()
-        for words in cut:
-            if words:
-                new.update(set(words).difference(self.known))
+        out, later, new = [], [], set()
+        get = self.known.get
+        for t in texts:
+            if not t or not self.plain(t):
+                out.append(self._whole(t) if t else b"")
+                continue
+            words = ("\n" + t).replace("\n", " \n").split(" ")[1:]
+            got = list(map(get, words))
+            if None in got:
+                new.update([w for w, g in zip(words, got, strict=True) if g is None])
+                later.append((len(out), words, got))
+                out.append(b"")
+            else:
+                out.append(b"".join(got)[4:])
         before = len(self.known)
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words))[4:] if words else self._whole(t) if t else b"" for t, words in zip(texts, cut, strict=True)]
+        for at, words, got in later:
+            out[at] = b"".join([get(w) if g is None else g for w, g in zip(words, got, strict=True)])[4:]
         if len(self.known) > self.max_pieces:  # keep the pieces met first: frequent ones come early
-            keep = max(before, self.max_pieces)
-            for w in list(self.known)[keep:]:
+            for w in list(islice(self.known, max(before, self.max_pieces), None)):
                 del self.known[w]
         return out
 

@@ -13,34 +13,32 @@ BLOCK = 512
 SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 0
 COUNTS = np.array([c for c, _ in SELECTORS])
-_LIMITS = np.array([0] + [1 << b for b in range(1, 64)], dtype=np.uint64)
+_SMALL = np.array([n.bit_length() for n in range(1 << 16)], dtype=np.uint8)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
-    """Bits that each id takes."""
-    return np.searchsorted(_LIMITS[1:], ids, side="right").astype(np.uint8) + (ids > 0)
+    """Bits that each id takes; one more than needed for some of over 53 bits."""
+    if not len(ids) or int(ids.max()) < len(_SMALL):
+        return _SMALL[ids.astype(np.int64)]
+    return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
 
 
 def _choice(bits: np.ndarray) -> np.ndarray:
-    """For each place of each block the selector that takes the most ids from there."""
-    width = bits.shape[1]
-    power = {1: bits}
-    k = 1
-    while 2 * k <= 120:
+    """For each place the selector that takes the most ids from there. What follows counts across the end of a block too, where zeros are put instead: a smaller count at worst."""
+    power, k = {1: bits}, 1
+    while k < 64:
         wide = power[k].copy()
-        if k < width:
-            np.maximum(wide[:, : width - k], power[k][:, k:], out=wide[:, : width - k])
-        power[2 * k] = wide
+        np.maximum(wide[:-k], power[k][k:], out=wide[:-k])
         k *= 2
-    best = np.zeros(bits.shape, dtype=np.uint8)
+        power[k] = wide
+    best = np.zeros(len(bits), dtype=np.uint8)
     for s in range(15, 0, -1):
         n, b = SELECTORS[s]
         k = 1 << (n.bit_length() - 1)
-        most = power[k]
-        if n > k and n - k < width:
-            most = most.copy()
-            np.maximum(most[:, : width - (n - k)], power[k][:, n - k :], out=most[:, : width - (n - k)])
-        best[most <= b] = s
+        fits = power[k] <= b
+        if n > k:
+            fits[: k - n] &= fits[n - k :]
+        best[fits] = s
     return best
 
 
@@ -50,36 +48,38 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     blocks = -(-n // block)
-    values = np.zeros((blocks, block + 120), dtype=np.uint64)
     flat = np.zeros(blocks * block, dtype=np.uint64)
     flat[:n] = ids
+    best = _choice(_bits(flat))
+    values = np.zeros((blocks, block + 120), dtype=np.uint64)
     values[:, :block] = flat.reshape(blocks, block)
-    best = _choice(_bits(values[:, :block].ravel()).reshape(blocks, block))
-    lane, at = np.arange(blocks), np.zeros(blocks, dtype=np.int64)
-    end = np.full(blocks, block)
-    end[-1] = n - (blocks - 1) * block
-    places, picked, live = [], [], []
-    while (go := at < end).any():
-        s = best[lane, np.minimum(at, block - 1)]
-        places.append(at.copy())
-        picked.append(s)
-        live.append(go)
-        at = at + COUNTS[s]
-    live = np.array(live).T
-    row = np.broadcast_to(lane[:, None], live.shape)[live]
-    place, sel = np.array(places).T[live], np.array(picked).T[live]
+    begin = np.arange(blocks) * block
+    end = begin + block
+    end[-1] = n
+    reach = np.arange(blocks * block) + COUNTS[best]
+    at, visited = begin[begin < end], np.zeros(blocks * block, dtype=bool)
+    limit = end
+    while len(at):
+        visited[at] = True
+        at = reach[at]
+        live = at < limit
+        if not live.all():
+            at, limit = at[live], limit[live]
+    place = np.flatnonzero(visited)
+    row, sel = place // block, best[place]
     slots = np.where(sel == ESCAPE, 2, 1)
     first = np.cumsum(slots) - slots
     words = np.zeros(int(slots.sum()), dtype=np.uint64)
+    source, values = place + row * 120, values.ravel()
     for s in np.unique(sel):
         i = np.flatnonzero(sel == s)
         count, bits = SELECTORS[s]
         if s == ESCAPE:
-            words[first[i] + 1] = values[row[i], place[i]]
+            words[first[i] + 1] = values[source[i]]
             continue
-        word = np.full(len(i), np.uint64(s) << np.uint64(60))
+        word, from_ = np.full(len(i), np.uint64(s) << np.uint64(60)), source[i]
         for j in range(count if bits else 0):
-            word |= values[row[i], place[i] + j] << np.uint64(bits * j)
+            word |= values[from_ + j] << np.uint64(bits * j)
         words[first[i]] = word
     opens = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     return words, first[opens].astype(np.int32)

@@ -66,7 +66,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document its place, length and the crc32 of its ids, read from the files; with the ids themselves if asked for."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    # One row per shard, so as many as there were tasks, however long the documents.
+    # One row per shard, so as many as the range partitioning had tasks: spark.sql.shuffle.partitions at most, however many documents.
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -84,7 +84,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                     out["ids"] = pa.array([ids[a : a + k].astype(np.int64) for a, k in zip(at, n, strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    rows = files.join(bases, "shard").select("base", "shard_start", "n_ids", "doc_ids", "doc_tokens", "block_words", "words")
+    rows = files.join(F.broadcast(bases), "shard").select("base", "shard_start", "n_ids", "doc_ids", "doc_tokens", "block_words", "words")
     return rows.mapInArrow(work, SCHEMA + (", ids array<long>" if with_ids else ""))
 
 
