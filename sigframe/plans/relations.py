@@ -36,7 +36,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Order blocks as zones, and the bars."""
     b = hourly(spark, sf_dir)
     ob = P.mitigated(P.order_blocks(P.breaks(P.swings(b, 5, "swing"), "swing"), b), b)
-    return ob.select(c("block_id").alias("zone_id"), *KEY, "side", c("bar_low").alias("lo"), c("bar_high").alias("hi"), c("created_idx").alias("from_idx"), c("mitigated_idx").alias("to_idx")), b
+    return ob.select(c("block_id").alias("zone_id"), *KEY, "side", c("bar_low").alias("lo"), c("bar_high").alias("hi"), c("created_idx").alias("from_idx"), c("mitigated_idx").alias("to_idx")).cache(), b
 
 
 @register(f"""WITH {_DAYS} SELECT b.instrument, b.t, max(d.t) AS day, round(arg_max(d.c, d.t), 6) AS day_close FROM bars b LEFT JOIN days d ON d.instrument = b.instrument AND d.t + 86400 <= b.t + 3600 GROUP BY 1, 2""")
@@ -94,8 +94,8 @@ FROM ob a LEFT JOIN ob b ON a.instrument = b.instrument AND a.side = b.side AND
 def j_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zones that share a price within 50 bars, how many, which holds which, and the first of them."""
     z, _ = blocks(spark, sf_dir)
-    z = z.withColumn("to_idx", c("from_idx") + 50)
-    pairs = J.overlaps(z, [*KEY, "side"], "zone_id", "lo", "hi", "from_idx", "to_idx", 128)
+    z = z.withColumn("to_idx", c("from_idx") + 50).cache()
+    pairs = J.overlaps(z, [*KEY, "side"], "zone_id", "lo", "hi", "from_idx", "to_idx", 128).cache()
     out = z.join(C.recurrence(z, pairs), "zone_id").join(J.containment(z, pairs, "zone_id", "lo", "hi"), "zone_id").join(J.originator(z, pairs, "zone_id", "from_idx"), "zone_id")
     first = z.select(c("zone_id").alias("origin"), c("from_idx").alias("first_idx"))
     return out.join(first, "origin").select("instrument", "side", c("from_idx").alias("created_idx"), "recurrence", "first_idx", "relation")
@@ -108,8 +108,8 @@ def j_band_and_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.breaks(P.swings(b, 5, "swing"), "swing").where("level > 0").select("instrument", "t", "side", "level")
     e = e.withColumn("id", F.xxhash64("instrument", "t", "side"))
     n = J.price_band(e, e.select("instrument", "side", c("t").alias("bt"), "level"), ["instrument", "side"], "id", "bt", "level", 0.01).groupBy(c("a").alias("id")).agg(F.countDistinct("b").alias("same_price"))
-    near = J.nearest(e.withColumn("u", c("t") - 18000), e.select("instrument", "side", c("t").alias("w")), ["instrument", "side"], "u", "w", 18000, ["w"])
-    recent = near.select("id", F.when(c("w_near").isNotNull() & (c("w_near") < c("t")), 1).otherwise(0).alias("recent"))
+    near = J.nearest(e.withColumn("u", c("t") - 18000), e.select("instrument", "side", c("t").alias("w"), c("t").alias("wt")), ["instrument", "side"], "u", "w", 18000, ["wt"])
+    recent = near.select("id", F.when(c("wt_near").isNotNull() & (c("wt_near") < c("t")), 1).otherwise(0).alias("recent"))
     # The nearest one may be the break itself, at the edge of the window; then an earlier one is looked for by a semi-join.
     before = e.alias("a").join(e.alias("b"), (c("a.instrument") == c("b.instrument")) & (c("a.side") == c("b.side")) & (F.floor(c("a.t") / 36000) - F.floor(c("b.t") / 36000)).isin(0, 1) & (c("b.t") < c("a.t")) & (c("b.t") >= c("a.t") - 36000), "left_semi").select("id").withColumn("again", F.lit(1))
     return e.join(n, "id").join(recent, "id").join(before, "id", "left").select("instrument", "t", "side", "same_price", F.greatest("recent", F.coalesce("again", F.lit(0))).alias("recent"))
@@ -145,7 +145,7 @@ def trades(spark: SparkSession, sf_dir: str, on_timeout: str = "close") -> tuple
     b = hourly(spark, sf_dir)
     k = P.breaks(P.swings(b, 5, "swing"), "swing").withColumn("event_id", F.xxhash64("instrument", "side", "bar_idx")).select("event_id", *KEY, "bar_idx", "side")
     e = O.entries(k, b).join(b.select(*KEY, "bar_idx", "h", "l"), [*KEY, "bar_idx"]).withColumn("stop", F.when(c("side") == "bullish", c("l") - 5).otherwise(c("h") + 5)).drop("h", "l")
-    return O.barriers(e, b, 1.0, 50, on_timeout), b
+    return O.barriers(e, b, 1.0, 50, on_timeout).cache(), b
 
 
 _TRADES = f"""{_SWING}, e AS (SELECT k.instrument, k.side, k.bar_idx, n.bar_idx AS ei, n.o AS entry, CASE WHEN k.side = 'bullish' THEN b.l - 5 ELSE b.h + 5 END AS stop, CASE WHEN k.side = 'bullish' THEN 1 ELSE -1 END AS s FROM brk k JOIN bars b ON b.instrument = k.instrument AND b.bar_idx = k.bar_idx JOIN bars n ON n.instrument = k.instrument AND n.bar_idx = k.bar_idx + 1),

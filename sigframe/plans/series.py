@@ -31,7 +31,8 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.indexed(B.from_ticks(S.ticks(spark, sf_dir), "1h"))
+    """Hourly bars, kept: most queries read them several times. A lost part is built again from the ticks."""
+    return B.indexed(B.from_ticks(S.ticks(spark, sf_dir), "1h")).cache()
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
