@@ -59,5 +59,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+OP5_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+OP10_SQL = """WITH u AS (SELECT page_id, url, instr(url, '://') AS pos FROM pages), r AS (SELECT page_id, url, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+n AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path FROM p),
+k(rule, rhost, rpath, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+m AS (SELECT n.*, k.rule, k.v, row_number() OVER (PARTITION BY page_id ORDER BY length(k.rule) DESC NULLS LAST) AS i FROM n LEFT JOIN k ON (n.host = k.rhost OR ends_with(n.host, '.' || k.rhost)) AND starts_with(n.path, k.rpath))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN ('spam-farm.example.com', 'spam-farm.example.net', 'spam-farm.example.org') THEN 'block' ELSE 'allow' END) AS verdict FROM m WHERE i = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the same rows. The others tokenize, train, draw or hash as SQL cannot; the tests hold them against plain versions."""
+    return {"op5_topk_search": OP5_SQL, "op10_url_filter": OP10_SQL}
