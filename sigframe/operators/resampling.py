@@ -34,7 +34,7 @@ def draw(k: Column, seed: int | Column = 42) -> Column:
 
 def replicated(df: DataFrame, n: int) -> DataFrame:
     """Every row once for each replicate 0 .. n-1."""
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
 def random_entries(trades: DataFrame, bars: DataFrame, reps: int, by: list[str], order: list[str], seed: int = 42, cost_pct: float = 0.0) -> DataFrame:

@@ -130,7 +130,7 @@ def z_near_and_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
     z, b = blocks(spark, sf_dir)
     touches = Z.interactions(z, b)
     lives = Z.lives(touches, z).join(z, "zone_id")
-    b = recursive.atr(b, 14)
+    b = recursive.atr(b, 14).cache()
     lines = z.select(*KEY, c("zone_id").alias("line_id"), c("from_idx").alias("x0"), c("lo").alias("y0"), F.lit(0.01).alias("slope"))
     parts = {"near_misses": Z.near_misses(z, b, 0.05), "prolonged": lives.where("expires_idx > from_idx + 200"), "inside": Z.nearest_state(z, b, "atr").where("gap_state = 'inside'"), "crossings": Z.projected_crossings(lines, b, "c", 50)}
     out = None
@@ -252,19 +252,15 @@ def q_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def l_exits_and_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excursions, slippage, costs by scenario, flips, trailing, reclaimed and resting entries, as means."""
+    """Excursions, slippage, costs by scenario, flips and settled trades, as means."""
     t, b = trades(spark, sf_dir)
-    b = recursive.atr(b, 14)
-    t = t.join(b.select(*KEY, "bar_idx", "atr"), [*KEY, "bar_idx"])
+    b = recursive.atr(b, 14).cache()
+    t = t.join(b.select(*KEY, "bar_idx", "atr"), [*KEY, "bar_idx"]).cache()
     slipped = O.slipped(t, 0.1, 0.05, 0.02).withColumn("hours", c("bars_held").cast("double"))
     costs = J.grid(slipped, "taker", [0.0, 0.05, 0.1]).withColumn("net", c("pnl_pct") - 2 * c("taker") - c("hours") / 8 * 0.01)
     flips = E.flips(b.withColumn("dir", F.signum(c("c") - c("o"))), "dir").withColumn("side", F.when(c("dir") > 0, "bullish").otherwise("bearish"))
-    k = P.breaks(P.swings(b, 5, "swing"), "swing").withColumn("event_id", F.xxhash64("instrument", "side", "bar_idx")).join(b.select(*KEY, "bar_idx", "c", "atr"), [*KEY, "bar_idx"])
-    z, _ = blocks(spark, sf_dir)
     parts = {
         "net": costs.groupBy("instrument").agg(F.avg("net").alias("x")), "flip": O.flip_trades(flips.select(*KEY, "bar_idx", "side"), b).groupBy("instrument").agg(F.avg("pnl_pct").alias("x")),
-        "opposite": O.opposite_exit(t, k, horizon=50).groupBy("instrument").agg(F.count("opposite_idx").cast("double").alias("x")),
-        "reclaimed": O.reclaim_entries(z, b).groupBy("instrument").agg(F.count("*").cast("double").alias("x")), "filled": O.resting_limits(k, b, 0.5).groupBy("instrument").agg(F.count("fill_idx").cast("double").alias("x")),
         "resolved": O.settled(t, b).where("status = 'resolved'").groupBy("instrument").agg(F.count("*").cast("double").alias("x")), "excursion": O.excursion(b, 10).groupBy("instrument").agg(F.avg("rise").alias("x")),
     }
     out = None

@@ -374,11 +374,11 @@ def p_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def p_other_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal levels, threshold gaps, balanced ranges, reclaimed breaks, near pivots, retracements, as counts by kind."""
-    b = recursive.atr(hourly(spark, sf_dir), 14)
+    b = recursive.atr(hourly(spark, sf_dir), 14).cache()
     w = windows.series()
     piv = b.withColumns({"hi": P.pivot("h", 3, 3, w), "lo": P.pivot("l", 3, 3, w, False)})
     pivots = piv.select(*KEY, "bar_idx", "atr", F.explode(F.array_compact(F.array(F.when(c("hi").isNotNull(), F.struct(F.lit("high").alias("kind"), c("hi").alias("price"))), F.when(c("lo").isNotNull(), F.struct(F.lit("low").alias("kind"), c("lo").alias("price")))))).alias("p")).select(*KEY, "bar_idx", "atr", "p.*")
-    broken = P.breaks(P.swings(b, 5, "swing"), "swing")
+    broken = P.breaks(P.swings(b, 5, "swing"), "swing").cache()
     parts = {
         "equal_levels": P.equal_levels(pivots, "atr"), "threshold_gaps": P.threshold_gaps(b), "balanced_ranges": P.balanced_ranges(P.fair_value_gaps(b)), "reclaimed": P.failed_breaks(broken, b, 12).where("reclaim_idx IS NOT NULL"),
         "clustered": P.near_earlier(pivots.withColumn("band", c("atr") / 2), "band").where("label = 'clustered'"), "retracements": P.retracements(pivots.select(*KEY, "bar_idx", "price")),
