@@ -213,18 +213,19 @@ def pair_divergences(pivots: DataFrame, most: int = 60, keys: list[str] = KEY) -
 def sight_divergences(df: DataFrame, oscillators: list[str], left: int = 5, reach: int = 100, most: int = 10, hidden: bool = False, keys: list[str] = KEY) -> DataFrame:
     """Divergences of several oscillators at each bar against up to ``most`` recorded pivots within ``reach`` bars, one row per bar, side and oscillator.
 
-    A pivot counts if neither the oscillator nor the close crosses the straight line from it to the bar. The nearest pivot that qualifies is kept.
+    A pivot counts if neither the oscillator nor the close crosses the straight line from it to the bar, and the next bar, which is the one given, moves the divergence's way in either. The nearest
+    pivot that qualifies is kept.
     """
     w = Window.partitionBy(*keys).orderBy("bar_idx")
     span = w.rowsBetween(-reach, 0)
     bars = df.withColumns({"_top": pivot("c", left, left, w), "_bot": pivot("c", left, left, w, False)})
     recent = lambda p: F.slice(F.reverse(F.collect_list(F.when(c(p).isNotNull(), c("bar_idx") - left)).over(span)), 1, most)
-    bars = bars.withColumns({"_tops": recent("_top"), "_bots": recent("_bot"), "_cs": F.collect_list("c").over(span), "_rise": c("c") > F.lag("c").over(w), "_first": F.min("bar_idx").over(span)})
+    bars = bars.withColumns({"_tops": recent("_top"), "_bots": recent("_bot"), "_cs": F.collect_list("c").over(span), "_ahead": F.lead("c").over(w) - c("c"), "_first": F.min("bar_idx").over(span)})
     out = None
     for osc in oscillators:
-        one = bars.where(c(osc).isNotNull()).withColumn("_os", F.collect_list(osc).over(span)).withColumn("_ofirst", F.min("bar_idx").over(span))
+        one = bars.where(c(osc).isNotNull()).withColumns({"_os": F.collect_list(osc).over(span), "_ofirst": F.min("bar_idx").over(span), "_oahead": F.lead(osc).over(w) - c(osc)})
         for side, pivots, sign in (("bullish", "_bots", 1), ("bearish", "_tops", -1)):
-            rows = one.where(c("_rise") if sign > 0 else ~c("_rise")).select(*keys, "bar_idx", "c", osc, "_cs", "_os", "_first", "_ofirst", F.explode(pivots).alias("_p")).where((c("bar_idx") - c("_p") > left) & (c("_p") >= c("_first")) & (c("_p") >= c("_ofirst")))
+            rows = one.where((sign * c("_ahead") > 0) | (sign * c("_oahead") > 0)).select(*keys, "bar_idx", "c", osc, "_cs", "_os", "_first", "_ofirst", F.explode(pivots).alias("_p")).where((c("bar_idx") - c("_p") > left) & (c("_p") >= c("_first")) & (c("_p") >= c("_ofirst")))
             price, value = F.element_at("_cs", (c("_p") - c("_first") + 1).cast("int")), F.element_at("_os", (c("_p") - c("_ofirst") + 1).cast("int"))
             rows = rows.withColumns({"_pp": price, "_po": value})
             apart = (sign * c(osc) > sign * c("_po")) & (sign * c("c") < sign * c("_pp"))
@@ -233,7 +234,7 @@ def sight_divergences(df: DataFrame, oscillators: list[str], left: int = 5, reac
             rows = rows.where(apart)
             clear = lambda xs, first, a, b: F.forall(F.sequence(c("_p") + 1, c("bar_idx") - 1), lambda i: sign * F.element_at(xs, (i - c(first) + 1).cast("int")) >= sign * (c(a) + (c(b) - c(a)) * (i - c("_p")) / (c("bar_idx") - c("_p"))))  # noqa: E731,B023
             rows = rows.where(clear("_cs", "_first", "_pp", "c") & clear("_os", "_ofirst", "_po", osc))
-            got = rows.groupBy(*keys, "bar_idx").agg(F.max("_p").alias("pivot_idx")).select(*keys, "bar_idx", F.lit(side).alias("side"), F.lit(osc).alias("oscillator"), "pivot_idx")
+            got = rows.groupBy(*keys, "bar_idx").agg(F.max("_p").alias("pivot_idx")).select(*keys, (c("bar_idx") + 1).alias("bar_idx"), F.lit(side).alias("side"), F.lit(osc).alias("oscillator"), "pivot_idx")
             out = got if out is None else out.unionByName(got)
     return out
 

@@ -399,7 +399,7 @@ def d_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def d_sight_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several oscillators against recorded pivots with a clear line between, and bars on which two agree."""
+    """Several oscillators against recorded pivots with a clear line between, and how many diverge at a bar."""
     b = recursive.macd(recursive.rsi(hourly(spark, sf_dir), "c", 14))
     b = windows.bounded(b, 30, lambda w: {"tp": (c("h") + c("l") + c("c")) / 3, "stoch": windows.stochastic(w)}, lambda w: {"cci": windows.cci("tp", w)})
-    return P.badges(P.sight_divergences(b, ["rsi", "macd", "stoch", "cci"]), 2).drop("timeframe")
+    return P.badges(P.sight_divergences(b, ["rsi", "macd", "stoch", "cci"]), 1).drop("timeframe")
