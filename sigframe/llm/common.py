@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 TOKENIZER = "byte_bpe_50k.json"
+#: Words and their ids that a worker keeps: about 250 bytes each.
+PIECES = 900_000
 MARKS = ".,;:!?%$*&#|)"
 
 
@@ -68,7 +70,7 @@ class PieceEncoder:
 
     LONG = 1 << 20
 
-    def __init__(self, path: str, max_pieces: int = 900_000) -> None:
+    def __init__(self, path: str, max_pieces: int = PIECES) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -167,8 +169,14 @@ class PieceEncoder:
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, pieces: int) -> PieceEncoder:
     """One encoder for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, pieces) not in _ENCODERS:
+        release()
+        _ENCODERS[path, pieces] = PieceEncoder(path, pieces)
+    return _ENCODERS[path, pieces]
+
+
+def release() -> None:
+    """Gives up the word tables of a worker that goes on with other work."""
+    _ENCODERS.clear()

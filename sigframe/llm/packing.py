@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, tokenizer_path, whole_text
+from .common import PIECES, encoder, tokenizer_path, whole_text
 
 CAPACITY = 2048
 SHARD_TOKENS = 1 << 21
@@ -93,13 +93,13 @@ def _shard(ids: list[tuple[int | None, bytes]], first: int, capacity: int, linea
 
 def pack_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY,
-    shard_tokens: int = SHARD_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC,
+    shard_tokens: int = SHARD_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC, pieces: int = PIECES,
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, and the crc32 of its ids."""
     path = tokenizer or tokenizer_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(path, pieces), np.array([end_id], dtype="<u4").tobytes()
         held: list[tuple[int | None, bytes]] = []
         size, seq = 0, TaskContext.get().partitionId() << 32
         for b in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import release, whole_text
 
 DIMENSIONS = 1 << 18
 BOUND, SHARDS, PASSES = 20_000, 4, 8
@@ -144,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.join(F.broadcast(picked.limit(bound)), "_id").select(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(shards)).alias("_shard"), "_id", "_text", "_y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         by: dict[int, list] = {}
         for b in batches:
             for shard, text, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
@@ -177,6 +178,7 @@ def score(docs: DataFrame, model: np.ndarray | None, text_col: str = "text", nam
         return float(_sigmoid(z))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             yield b.append_column(name, pa.array([one(t.as_py()) for t in b.column(text_col)], pa.float64()))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import release, stored, whole_text
 
 DISTANCE, SEGMENTS = 3, 4
 GROUP = 1000
@@ -86,6 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): the 64 bits as a signed long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             fp = np.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
@@ -301,6 +302,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     most = int(LANES * (1 - similarity) + (LANES * similarity * (1 - similarity)) ** 0.5)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         step = LANES // KEYS
         for b in batches:
             least = np.stack([lane_minima(shingle_hashes(t.as_py(), words), factors) for t in b.column(1)]) if b.num_rows else np.zeros((0, LANES), np.uint64)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import encoder, shared_dir, tokenizer_path, whole_text
+from .common import PIECES, encoder, shared_dir, tokenizer_path, whole_text
 
 SEGMENT_IDS = 1 << 18
 FILE_SCHEMA = "shard int, segment int, shard_start long, n_ids long, doc_ids array<long>, doc_tokens array<long>, block_words array<int>, words binary"
@@ -44,7 +44,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     vocabulary = tokenizer or tokenizer_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(vocabulary, PIECES), np.array([end_id], dtype="<u4").tobytes()
         shard, number, start, size = TaskContext.get().partitionId(), 0, 0, 0
         keys, held = [], []
         for b in batches:
