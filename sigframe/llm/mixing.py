@@ -7,7 +7,7 @@ target. ``u`` comes from a hash of the document, so reruns agree. The last docum
 as are wanting; so every source meets its target to a word.
 
 Where the order is cut is found from sums over 4,096 equal ranges of rank, and again within the range of the cut, three times; no source is ever sorted
-as a whole, and a hot one is summed before it is shuffled. Tables of a row for each source are small beside the documents, and Spark decides how they are joined.
+as a whole, and a hot one is summed before it is shuffled. The table of a row for each source is broadcast if it is counted and found small, and otherwise joined by a shuffle.
 
 Null texts are of size 0, and take part without being taken. A null source is a source of its own, the last one. Repeated rows are sized and taken each on its own. An empty table
 gives no rows. No column but id, text and source is read.
@@ -24,6 +24,8 @@ WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 STEP, LEVELS = 4096, 3
 SEED = 9
+#: Up to so many sources their table (some hundred bytes a row) is broadcast, so texts are not shuffled; beyond it is a shuffled join.
+BROADCAST_SOURCES = 20_000
 
 
 def words_of(text_col: str) -> Column:
@@ -90,7 +92,8 @@ def cuts(sized: DataFrame, goal: DataFrame) -> DataFrame:
 
 def take(rows: DataFrame, goal: DataFrame) -> DataFrame:
     """``rows`` with (_source, _size, _u, _tie) and the words taken of each in ``_taken``, the certain ones among them."""
-    joined = rows.join(goal, "_source").withColumn("_rank", _rank())
+    few = goal.count() <= BROADCAST_SOURCES
+    joined = rows.join(F.broadcast(goal) if few else goal, "_source").withColumn("_rank", _rank())
     sure = F.col("_copies") * F.col("_size")
     away = F.col("_cut").isNull() | (F.col("_rank") != F.col("_cut"))
     whole = joined.where(away).withColumn("_taken", sure + F.when(F.col("_rank") < F.col("_cut"), F.col("_size")).otherwise(0))
