@@ -69,8 +69,9 @@ def confirmations(events: DataFrame, others: DataFrame, rungs: list[str], within
     """On how many of the rungs named an event of the same side lies within so many of that rung's bars."""
     rows = events
     for r in rungs:
-        rows = nearest(rows, others.where(c("timeframe") == r).select(key, "side", "known_at"), [key, "side"], "known_at", "known_at", SECONDS[r] * within_bars, ["known_at"])
-        rows = rows.withColumn(f"_on_{r}", F.when(c("known_at_near").isNotNull(), 1).otherwise(0)).drop("known_at_near")
+        seen = others.where(c("timeframe") == r).select(key, "side", c("known_at").alias("_w"), F.lit(1).alias("_on"))
+        rows = nearest(rows, seen, [key, "side"], "known_at", "_w", SECONDS[r] * within_bars, ["_on"])
+        rows = rows.withColumn(f"_on_{r}", F.coalesce("_on_near", F.lit(0))).drop("_w_near", "_on_near")
     return rows.withColumn("confirmations", sum((c(f"_on_{r}") for r in rungs), F.lit(0))).drop(*[f"_on_{r}" for r in rungs])
 
 

@@ -74,20 +74,31 @@ def in_intervals(points: DataFrame, zones: DataFrame, keys: Sequence[str], at: s
 def first_hit(events: DataFrame, bars: DataFrame, keys: Sequence[str], start: str, level: str, value: str, above: bool, id_col: str, most: int | None = None, block: int = HIT_BLOCK) -> DataFrame:
     """(id, hit_idx): the first bar from ``start`` on whose ``value`` is above (below) the event's level, within ``most`` bars if given.
 
-    Bars are summed up by blocks. An event looks at the bars of the block it starts in; failing that, at the blocks' extremes, and then at the bars of the first block that has a hit.
+    Bars are summed up by blocks, and blocks by blocks of blocks. Of each an event can only have its first hit in the one that it starts in or in the first later one
+    whose extreme is beyond the level, so two are looked into at each step. With ``most`` the blocks in reach are joined by equality at once.
     """
     keys = list(keys)
     beyond = lambda v: F.col(v) > F.col("_level") if above else F.col(v) < F.col("_level")
-    own = bars.select(*keys, F.col("bar_idx").alias("_i"), F.floor(F.col("bar_idx") / block).alias("_block"), F.col(value).alias("_v"))
-    ev = events.select(F.col(id_col).alias("_id"), *keys, F.col(start).alias("_from"), F.col(level).alias("_level")).where("_from IS NOT NULL AND _level IS NOT NULL").withColumn("_block", F.floor(F.col("_from") / block))
-    ev = ev.withColumn("_to", F.col("_from") + most if most is not None else F.lit(1 << 62))
-    near = ev.join(own, [*keys, "_block"]).where((F.col("_i") >= F.col("_from")) & (F.col("_i") <= F.col("_to")) & beyond("_v")).groupBy("_id").agg(F.min("_i").alias("hit_idx"))
-    rest = ev.join(near, "_id", "left_anti")
-    extremes = own.groupBy(*keys, "_block").agg((F.max if above else F.min)("_v").alias("_x")).withColumnRenamed("_block", "_later")
-    ahead = (F.col("_later") > F.col("_block")) & (F.col("_later") <= F.floor(F.col("_to") / block)) & beyond("_x")
-    picked = rest.join(extremes, keys).where(ahead).groupBy("_id", *keys, "_level", "_to").agg(F.min("_later").alias("_block"))
-    far = picked.join(own, [*keys, "_block"]).where(beyond("_v") & (F.col("_i") <= F.col("_to"))).groupBy("_id").agg(F.min("_i").alias("hit_idx"))
-    return near.unionByName(far).select(F.col("_id").alias(id_col), "hit_idx")
+    own = bars.select(*keys, F.col("bar_idx").alias("_i"), F.floor(F.col("bar_idx") / block).alias("_b"), F.col(value).alias("_v"))
+    rows = events.select(F.col(id_col).alias("_id"), *keys, F.col(start).alias("_from"), F.col(level).alias("_level")).where("_from IS NOT NULL AND _level IS NOT NULL")
+    rows = rows.withColumn("_to", F.col("_from") + most if most is not None else F.lit(1 << 62))
+    ev = ["_id", *keys, "_from", "_level", "_to"]
+    extreme = (F.max if above else F.min)("_v").alias("_x")
+
+    def two(df: DataFrame, size: int) -> DataFrame:
+        first = F.floor(F.col("_from") / size)
+        found = df.where((F.col("_b") >= first) & (F.col("_b") <= F.floor(F.col("_to") / size)) & beyond("_x")).groupBy(*ev).agg(F.min(F.when(F.col("_b") == first, F.col("_b"))).alias("_own"), F.min(F.when(F.col("_b") > first, F.col("_b"))).alias("_next"))
+        return found.select(*ev, F.explode(F.array_compact(F.array("_own", "_next"))).alias("_b"))
+
+    if most is None:
+        wide = F.floor(F.col("_i") / (block * block))
+        rows = two(rows.join(own.groupBy(*keys, wide.alias("_b")).agg(extreme), keys), block * block).withColumnRenamed("_b", "_wide")
+        rows = rows.join(own.groupBy(*keys, wide.alias("_wide"), "_b").agg(extreme), [*keys, "_wide"])
+    else:
+        rows = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor(F.col("_to") / block))))
+        rows = rows.join(own.groupBy(*keys, "_b").agg(extreme), [*keys, "_b"])
+    hits = two(rows, block).join(own, [*keys, "_b"]).where((F.col("_i") >= F.col("_from")) & (F.col("_i") <= F.col("_to")) & beyond("_v"))
+    return hits.groupBy(F.col("_id").alias(id_col)).agg(F.min("_i").alias("hit_idx"))
 
 
 def overlaps(boxes: DataFrame, keys: Sequence[str], id_col: str, low: str, high: str, begin: str, end: str, width: int, other: DataFrame | None = None) -> DataFrame:

@@ -131,7 +131,7 @@ def reclaim_entries(zones: DataFrame, bars: DataFrame, within: int = 12, keys: l
     z = zones.withColumn("_from", c("from_idx") + 1)
     bull, bear = z.where("side = 'bullish'"), z.where("side = 'bearish'")
     touch = first_hit(bull, bars, keys, "_from", "hi", "l", False, "zone_id").unionByName(first_hit(bear, bars, keys, "_from", "lo", "h", True, "zone_id")).withColumnRenamed("hit_idx", "touch_idx")
-    touched = z.join(touch, "zone_id")
+    touched = z.join(touch, "zone_id").cache()  # the joins below read it several times
     back = first_hit(touched.where("side = 'bullish'"), bars, keys, "touch_idx", "hi", "c", True, "zone_id", within).unionByName(first_hit(touched.where("side = 'bearish'"), bars, keys, "touch_idx", "lo", "c", False, "zone_id", within)).withColumnRenamed("hit_idx", "reclaim_idx")
     return touched.join(back, "zone_id").withColumn("entry_idx", c("reclaim_idx") + 1).drop("_from")
 

@@ -5,6 +5,8 @@ A zone has ``zone_id``, keys, ``side``, ``lo``, ``hi`` (equal for a line), ``fro
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ def sweeps(levels: DataFrame, bars: DataFrame, within: int = 10, keys: list[str]
     """Levels (level_id, side EQH or EQL, level, from_idx) with the bar that takes them and the close that comes back within so many bars."""
     high, low = levels.where("side = 'EQH'"), levels.where("side = 'EQL'")
     taken = first_hit(high, bars, keys, "from_idx", "level", "h", True, "level_id").unionByName(first_hit(low, bars, keys, "from_idx", "level", "l", False, "level_id")).withColumnRenamed("hit_idx", "sweep_idx")
-    swept = levels.join(taken, "level_id", "left")
+    swept = levels.join(taken, "level_id", "left").cache()  # the joins below read it several times
     back = first_hit(swept.where("side = 'EQH'"), bars, keys, "sweep_idx", "level", "c", False, "level_id", within).unionByName(first_hit(swept.where("side = 'EQL'"), bars, keys, "sweep_idx", "level", "c", True, "level_id", within)).withColumnRenamed("hit_idx", "reversal_idx")
     out = swept.join(back, "level_id", "left")
     status = F.when(c("sweep_idx").isNull(), "untouched").when(c("reversal_idx").isNull(), "swept").otherwise("swept_reversed")
@@ -127,8 +129,15 @@ def cells_to_lines(cells: DataFrame, table: str) -> DataFrame:
 
 
 def levels_near(levels: DataFrame, at: DataFrame, share: float, keys: list[str]) -> DataFrame:
-    """Levels (lo, hi, side, known_at, ended_at) known at each instant and within a share of its price, with signed distance; the side of ended ones is turned."""
-    pairs = at.join(levels, keys).where((c("known_at") <= c("at")))
+    """Levels (lo, hi, side, known_at, ended_at) known at each instant and within a share of its price, with signed distance; the side of ended ones is turned.
+
+    Prices are positive. Both sides meet in logarithmic cells of price as wide as the share, each pair in the first cell that both have.
+    """
+    width = -math.log(1 - share)
+    cell = lambda x: F.floor(F.ln(x) / width)
+    boxes = levels.where("lo > 0").withColumn("_first", cell(c("lo"))).withColumn("_cell", F.explode(F.sequence(c("_first"), F.greatest(c("_first"), cell(c("hi"))))))
+    marks = at.where("price > 0").withColumn("_low", cell(c("price")) - 1).withColumn("_cell", F.explode(F.sequence(c("_low"), c("_low") + 2)))
+    pairs = marks.join(boxes, [*keys, "_cell"]).where(c("_cell") == F.greatest("_low", "_first")).where(c("known_at") <= c("at")).drop("_cell", "_low", "_first")
     distance = F.when(c("lo") > c("price"), c("lo") - c("price")).when(c("hi") < c("price"), c("hi") - c("price")).otherwise(0.0)
     rows = pairs.withColumn("distance", distance / c("price")).where(F.abs("distance") <= share)
     over = c("ended_at") <= c("at")

@@ -33,9 +33,10 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Order blocks as zones, and the bars."""
+    """Order blocks as zones, and the bars. What first-hit joins read several times is kept, so plans stay small."""
     b = hourly(spark, sf_dir)
-    ob = P.mitigated(P.order_blocks(P.breaks(P.swings(b, 5, "swing"), "swing"), b), b)
+    ob = P.order_blocks(P.breaks(P.swings(b, 5, "swing"), "swing"), b).cache()
+    ob = P.mitigated(ob, b)
     return ob.select(c("block_id").alias("zone_id"), *KEY, "side", c("bar_low").alias("lo"), c("bar_high").alias("hi"), c("created_idx").alias("from_idx"), c("mitigated_idx").alias("to_idx")).cache(), b
 
 
@@ -144,7 +145,7 @@ def trades(spark: SparkSession, sf_dir: str, on_timeout: str = "close") -> tuple
     """Breaks entered at the next open, with a stop at the bar's far end."""
     b = hourly(spark, sf_dir)
     k = P.breaks(P.swings(b, 5, "swing"), "swing").withColumn("event_id", F.xxhash64("instrument", "side", "bar_idx")).select("event_id", *KEY, "bar_idx", "side")
-    e = O.entries(k, b).join(b.select(*KEY, "bar_idx", "h", "l"), [*KEY, "bar_idx"]).withColumn("stop", F.when(c("side") == "bullish", c("l") - 5).otherwise(c("h") + 5)).drop("h", "l")
+    e = O.entries(k, b).join(b.select(*KEY, "bar_idx", "h", "l"), [*KEY, "bar_idx"]).withColumn("stop", F.when(c("side") == "bullish", c("l") - 5).otherwise(c("h") + 5)).drop("h", "l").cache()
     return O.barriers(e, b, 1.0, 50, on_timeout).cache(), b
 
 

@@ -358,7 +358,8 @@ ob AS (SELECT instrument, side, bar_idx AS created_idx, oi AS origin_idx, l AS b
 def p_order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extreme bar behind each break, and the first bar beyond its far edge."""
     b = hourly(spark, sf_dir)
-    return rounded(P.mitigated(P.order_blocks(P.breaks(P.swings(b, 5, "swing"), "swing"), b), b), "instrument", "side", "created_idx", "origin_idx", "bar_low", "bar_high", "mitigated_idx")
+    ob = P.order_blocks(P.breaks(P.swings(b, 5, "swing"), "swing"), b).cache()  # read several times
+    return rounded(P.mitigated(ob, b), "instrument", "side", "created_idx", "origin_idx", "bar_low", "bar_high", "mitigated_idx")
 
 
 @register(f"""WITH {BARS}, x AS (SELECT *, lag(h, 2) OVER {W} AS h2, lag(l, 2) OVER {W} AS l2 FROM bars), g AS (SELECT instrument, bar_idx, CASE WHEN l > h2 THEN 'bullish' ELSE 'bearish' END AS side, CASE WHEN l > h2 THEN h2 ELSE h END AS bottom, CASE WHEN l > h2 THEN l ELSE l2 END AS top FROM x WHERE l > h2 OR h < l2),

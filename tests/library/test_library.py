@@ -76,6 +76,29 @@ def test_first_hit_over_blocks(spark):
         assert got.get(i) == (s + int(hits[0]) if len(hits) else None)
 
 
+def test_first_hit_within_some_bars(spark):
+    x = np.random.default_rng(6).normal(0, 1, 900).cumsum()
+    b = bars(spark, flat(x))
+    ev = [(i, "x", "1h", int(s), float(x[s] - 1.5)) for i, s in enumerate(np.random.default_rng(7).integers(0, 899, 60))]
+    df = spark.createDataFrame(ev, "id long, instrument string, timeframe string, s long, level double")
+    got = {r.id: r.hit_idx for r in joins.first_hit(df, b, KEY, "s", "level", "c", False, "id", most=20, block=16).collect()}
+    for i, _, _, s, level in ev:
+        hits = np.flatnonzero(x[s : s + 21] < level)
+        assert got.get(i) == (s + int(hits[0]) if len(hits) else None)
+
+
+def test_levels_near_a_price(spark):
+    rng = np.random.default_rng(8)
+    lows = rng.uniform(50, 150, 80)
+    levels = [("x", float(v), float(v + h), "bullish", int(k), None) for v, h, k in zip(lows, rng.choice([0.0, 0.5, 9.0], 80), rng.integers(0, 50, 80), strict=True)]
+    marks = [("x", int(k), float(p)) for k, p in zip(rng.integers(0, 60, 60), rng.uniform(50, 150, 60), strict=True)]
+    a = spark.createDataFrame(levels, "k string, lo double, hi double, side string, known_at long, ended_at long")
+    m = spark.createDataFrame(marks, "k string, at long, price double")
+    got = sorted((r.at, r.price, r.lo) for r in zones.levels_near(a, m, 0.02, ["k"]).collect())
+    away = lambda p, lo, hi: max(lo - p, p - hi, 0.0) / p
+    assert got == sorted((t, p, lo) for _, t, p in marks for _, lo, hi, _, k, _ in levels if k <= t and away(p, lo, hi) <= 0.02)
+
+
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("span", [None, 7])
@@ -149,7 +172,7 @@ def _plain(values):
     return sorted(tuple("-" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, (int, float, np.number)) else str(v) for v in r) for r in values)
 
 
-@pytest.mark.parametrize("name", ["b_rollup_bars", "b_phased_buckets", "s_dedupe_and_order", "x_row_expressions", "w_indicators", "e_point_events", "p_gaps", "j_asof_closed", "q_draws", "q_corrections"])
+@pytest.mark.parametrize("name", ["b_rollup_bars", "b_phased_buckets", "s_dedupe_and_order", "x_row_expressions", "w_indicators", "e_point_events", "p_gaps", "j_asof_closed", "q_draws", "q_corrections", "a_agreement", "c_confirmations", "c_nested_depth", "c_watchlist", "q_displaced", "q_matched_draws", "z_cells_to_lines"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
