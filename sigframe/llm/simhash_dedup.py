@@ -11,8 +11,9 @@ are one class throughout, and what leaves a group of a key is a spanning forest
 joins that move each node to its smallest neighbour.
 
 For a Jaccard similarity of 0.8 a bit fingerprint needs a distance of up to 18 of 64, where keys of whole segments find little.
-``similar_components`` therefore compares fingerprints of 128 one-byte lanes (each the low byte of the least shingle hash
-under a function of its own) in sixteen segments by the same chains; a key is four lanes' whole hashes.
+``similar_components`` therefore takes its candidates from fingerprints of 128 one-byte lanes (each the low byte of the least shingle hash
+under a function of its own) in sixteen segments by the same chains; a key is four lanes' whole hashes. Lanes may differ by four standard errors
+more than the similarity says, and a link is kept only where the exact similarity of the whole sets of shingle hashes is high enough.
 
 Null and empty texts have fingerprint zero, or equal lanes, and are linked like any other. Texts shorter than a shingle are one shingle.
 Rows that repeat a document id belong to one node. A null id takes part without being anyone's representative. Empty
@@ -22,6 +23,7 @@ tables give no rows. No column but the id and the text is read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ DISTANCE, SEGMENTS = 3, 4
 GROUP = 1000
 SEED = 42
 LANES, KEYS = 128, 16
+#: Nodes of a large group that go to each of its parts, and rows of a part where texts' whole hashes are compared.
+COMMON, TEXTS = 4, 250
 ALL = (1 << 64) - 1
 
 
@@ -243,26 +247,87 @@ def bit_links(classes: DataFrame, group: int = GROUP) -> DataFrame:
         level += 1
 
 
-def lane_links(classes: DataFrame, most: int, group: int = GROUP) -> DataFrame:
-    """The same for lanes: ``classes`` (node, keys, lanes); pairs may differ in ``most`` lanes.
+def _pair_links(rows: DataFrame, near: Callable, similarity: float | None = None) -> DataFrame:
+    """Links (a, b) that connect all near pairs within each run of equal (table, key, part), for rows (table, key, part, node, comp, side, lanes).
 
-    Keys shared by over ``group`` nodes are joined with each of the node's other keys, twice at most.
+    Pairs that are connected already (by equal ``comp`` or by links of the run) are not compared, nor those of the same side unless it is -1.
+    With a similarity the rows have the sorted shingle hashes too, and a pair that is near must be so similar.
     """
-    table = F.posexplode("keys").alias("table", "key")
-    rows, out = classes.select("node", table), None
-    for level in range(3):
-        shared = stored(_shared_keys(rows), f"lanes{level}")
-        usual = shared if level == 2 else shared.where(F.col("n") <= group)
-        picked = rows.join(usual.select("table", "key"), ["table", "key"], "left_semi")
-        links = _run_links(picked.join(classes.select("node", F.col("lanes").alias("value")), "node"), near_lanes(most), LANES)
-        out = links if out is None else out.unionByName(links)
-        hot = shared.where(F.col("n") > group)
-        if level == 2 or hot.isEmpty():
-            return out
-        held = stored(rows.join(hot.select("table", "key"), ["table", "key"], "left_semi"), f"hot{level}")
-        more = held.join(classes.select("node", F.posexplode("keys").alias("t", "k")), "node").where((F.col("table") % KEYS < F.col("t")))
-        rows = more.select((F.col("table") * KEYS + F.col("t") + KEYS).cast("int").alias("table"), F.xxhash64("key", "k").alias("key"), "node")
-    return out
+    exact = similarity is not None
+
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
+        less, more = sorted((len(a), len(b)))
+        if less < similarity * more - 1e-9:
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= similarity * (less + more - both) - 1e-9
+
+    def links(key: np.ndarray, node: np.ndarray, comp: np.ndarray, side: np.ndarray, lanes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        run = np.r_[0, np.cumsum((key[1:] != key[:-1]).any(1))]
+        own = np.arange(len(run))
+        if (side >= 0).any():
+            order = np.lexsort((own, comp, run))
+            new = np.r_[True, (run[order][1:] != run[order][:-1]) | (comp[order][1:] != comp[order][:-1])]
+            own[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))]
+        label, i, d = own, np.arange(len(run) - 1), 1
+        while len(i):
+            i = i[i + d < len(run)]
+            i = i[run[i] == run[i + d]]
+            todo = i[(label[i] != label[i + d]) & ((side[i] < 0) | (side[i] != side[i + d]))]
+            for at in range(0, len(todo), 1 << 14):
+                j = todo[at : at + (1 << 14)]
+                j = j[label[j] != label[j + d]]
+                j = j[near(lanes[j], lanes[j + d])]
+                if exact:
+                    j = j[[similar(hashes[x], hashes[x + d]) for x in j.tolist()]] if len(j) else j
+                if len(j):
+                    x, y = forest(label[j], label[j + d])
+                    to = np.arange(len(run))
+                    to[x] = y
+                    label = to[label]
+            d += 1
+        moved = label != own
+        return node[moved], node[label[moved]]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in chain(_grouped(batches), [None]):
+            if b is not None:
+                key = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
+                lanes = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, LANES)
+                hashes = np.empty(b.num_rows, object)
+                if exact:
+                    for i, x in enumerate(b.column(7).to_pylist()):
+                        hashes[i] = np.frombuffer(x, np.uint64)
+                now = (key, *(b.column(i).to_numpy() for i in (3, 4, 5)), lanes, hashes)
+                rest = now if rest is None else tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
+                cut = np.flatnonzero((rest[0][1:] != rest[0][:-1]).any(1))
+                done = int(cut[-1]) + 1 if len(cut) else 0
+            else:
+                done = len(rest[0]) if rest else 0
+            if done:
+                x, y = links(*(v[:done] for v in rest))
+                rest = tuple(v[done:] for v in rest)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    run = ["table", "key", "part"]
+    names = [*run, "node", "comp", "side", "lanes", *(["hashes"] if exact else [])]
+    types = {"table": "long", "key": "long", "part": "long", "node": "long", "comp": "long", "side": "int"}
+    dealt = rows.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in names]).repartition(*run).sortWithinPartitions(*run, "node")
+    return dealt.mapInArrow(work, "a long, b long")
+
+
+def covering_links(rows: DataFrame, near: Callable, group: int, name: str, classes: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
+    """Links (a, b) that connect every near pair of nodes sharing a (table, key), whatever the number of rows of that key.
+
+    ``rows`` are (table, key, node) with their lanes, or take these from ``classes``.
+    """
+    by = ["table", "key"]
+    values = [c for c in ("lanes", "hashes") if c in rows.columns]
+    usual = rows.join(_shared_keys(rows).select(by), by, "left_semi") if classes is not None else rows
+    usual = usual.select(*by, F.lit(0).alias("part"), "node", F.col("node").alias("comp"), F.lit(-1).alias("side"), *values)
+    return _pair_links(usual if classes is None else usual.join(classes.select("node", "lanes"), "node"), near, similarity)
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -296,32 +361,60 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
-    """(doc_id, component_id) over texts of at least so similar sets of shingles; a standard error of the lanes is allowed for."""
+def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, group: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node) for each row, a node for each set of shingles; and for each node its component and its first row."""
     factors = _multipliers(LANES)
-    most = int(LANES * (1 - similarity) + (LANES * similarity * (1 - similarity)) ** 0.5)
+    most = int(np.ceil(LANES * (1 - similarity) + 4 * (LANES * similarity * (1 - similarity)) ** 0.5))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         release()
         step = LANES // KEYS
         for b in batches:
-            least = np.stack([lane_minima(shingle_hashes(t.as_py(), words), factors) for t in b.column(1)]) if b.num_rows else np.zeros((0, LANES), np.uint64)
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            least = np.stack([lane_minima(x, factors) for x in sets]) if sets else np.zeros((0, LANES), np.uint64)
             keys = np.zeros((b.num_rows, KEYS), np.uint64)
             for j in range(4):
                 keys = (keys ^ least[:, j::step]) * np.uint64(0x9E3779B97F4A7C15)
                 keys ^= keys >> np.uint64(29)
             lanes = (least & np.uint64(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in lanes], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "lanes", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([x.tobytes() for x in lanes], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "lanes", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    marked = stored(rows.mapInArrow(work, "doc_id long, lanes binary, keys array<long>"), "lanes")
-    classes = stored(marked.groupBy("lanes", "keys").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "classes")
-    return _members(marked.select("doc_id", "lanes"), classes, lane_links(classes, most, group), "lanes").select("doc_id", "component_id")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], ["key", "node", "lanes", "hashes"])
+
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    marked = stored(rows.mapInArrow(work, "doc_id long, text_hash long, node long, lanes binary, keys array<long>"), "lanes")
+    each = marked.groupBy("node", "lanes", "keys", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "rows")).alias("first")
+    classes = stored(each.groupBy("node", "lanes", "keys").agg(first), "classes")
+    near = near_lanes(most)
+    coarse = components(covering_links(classes.select("node", F.posexplode("keys").alias("table", "key")), near, group, "lanes", classes))
+    coarse = coarse.select("node", "component").unionByName(coarse.select(F.col("component").alias("node"), "component").distinct())
+    wanted = coarse.join(classes, "node").select(F.col("component").alias("key"), "node", "lanes", F.col("first.text_hash").alias("text_hash"))
+    texts = rows.groupBy("text_hash").agg(F.first("text").alias("text"))
+    sets = wanted.join(texts, "text_hash").select("key", "node", "lanes", "text").mapInArrow(whole, "key long, node long, lanes binary, hashes binary")
+    sets = stored(sets.select(F.lit(0).alias("table"), "key", "node", "lanes", "hashes"), "sets")
+    found = components(covering_links(sets, near, min(group, TEXTS), "sets", similarity=similarity))
+    return marked.select("doc_id", "text_hash", "node"), classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
+    """(doc_id, component_id), the smallest id reachable over texts whose sets of shingles are at least so similar; null if no id is."""
+    marked, nodes = _similar(docs, id_col, text_col, words, similarity, group)
+    nodes = stored(nodes, "components")
+    ids = nodes.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    return marked.join(nodes.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
     """The documents, one of each component: that of the smallest id; all columns stay as they are."""
-    found = stored(similar_components(docs, id_col, text_col, words, similarity), "components")
+    found = stored(similar_components(docs, id_col, text_col, words, similarity, group), "components")
     ids = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = docs.join(ids.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
     again = ids.where("_rows > 1").select(F.col("doc_id").alias(id_col))

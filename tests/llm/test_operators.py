@@ -246,6 +246,17 @@ def test_deduplicate(spark, group):
     assert sorted(r.doc_id for r in kept.collect()) == [k * 10 for k in range(40)] and kept.columns == df.columns
 
 
+def test_similarity_is_exact(spark):
+    data, want = [], {}
+    for k, (n, common) in enumerate([(70, 60), (90, 80), (185, 170)] * 60):  # similarities of 0.75, 0.8 and 0.85
+        a = [f"p{k}x{i}" for i in range(n + 4)]
+        b = a[: common + 4] + [f"q{k}x{i}" for i in range(n - common)]
+        data += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (k % 3 == 0)}
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash_dedup.similar_components(df).collect()} == want
+
+
 def targets_want(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
