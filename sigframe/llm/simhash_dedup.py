@@ -14,6 +14,7 @@ For a Jaccard similarity of 0.8 a bit fingerprint needs a distance of up to 18 o
 ``similar_components`` therefore takes its candidates from fingerprints of 128 one-byte lanes (each the low byte of the least shingle hash
 under a function of its own) in sixteen segments by the same chains; a key is four lanes' whole hashes. Lanes may differ by four standard errors
 more than the similarity says, and a link is kept only where the exact similarity of the whole sets of shingle hashes is high enough.
+A key or a group of candidates of any size is compared in full, in parts over tasks; only pairs that are connected already are left out.
 
 Null and empty texts have fingerprint zero, or equal lanes, and are linked like any other. Texts shorter than a shingle are one shingle.
 Rows that repeat a document id belong to one node. A null id takes part without being anyone's representative. Empty
@@ -321,13 +322,46 @@ def _pair_links(rows: DataFrame, near: Callable, similarity: float | None = None
 def covering_links(rows: DataFrame, near: Callable, group: int, name: str, classes: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
     """Links (a, b) that connect every near pair of nodes sharing a (table, key), whatever the number of rows of that key.
 
-    ``rows`` are (table, key, node) with their lanes, or take these from ``classes``.
+    ``rows`` are (table, key, node) with their lanes, or take these from ``classes``. Keys of up to ``group`` rows are compared whole. Larger ones are
+    cut into parts with some common nodes in each, and the components are taken. Only where more than one is left in a key, the rows outside
+    its largest component are compared with all rows of the key that they are not connected to, block by block.
     """
     by = ["table", "key"]
     values = [c for c in ("lanes", "hashes") if c in rows.columns]
-    usual = rows.join(_shared_keys(rows).select(by), by, "left_semi") if classes is not None else rows
-    usual = usual.select(*by, F.lit(0).alias("part"), "node", F.col("node").alias("comp"), F.lit(-1).alias("side"), *values)
-    return _pair_links(usual if classes is None else usual.join(classes.select("node", "lanes"), "node"), near, similarity)
+    shared = stored(_shared_keys(rows), f"{name}_keys")
+    hot = shared.where(F.col("n") > group)
+    any_hot = not hot.isEmpty()
+
+    def linked(some: DataFrame) -> DataFrame:
+        return _pair_links(some if classes is None else some.join(classes.select("node", "lanes"), "node"), near, similarity)
+
+    usual = rows.join(F.broadcast(hot.select(by)), by, "left_anti") if any_hot else rows
+    if classes is not None:
+        usual = usual.join(shared.where(F.col("n") <= group).select(by), by, "left_semi")
+    links = linked(usual.select(*by, F.lit(0).alias("part"), "node", F.col("node").alias("comp"), F.lit(-1).alias("side"), *values))
+    if not any_hot:
+        return links
+    place = F.xxhash64("node", F.lit("part"))
+    held = rows.join(F.broadcast(hot), by).withColumn("parts", F.ceil(F.col("n") / group).cast("long"))
+    held = stored(held.select(*by, "node", "parts", *values), f"{name}_hot")
+    common = held.groupBy(*by, "parts").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(COMMON)])).alias("nodes"))
+    common = common.select(*by, "parts", F.explode("nodes").alias("node"))
+    everywhere = held.join(F.broadcast(common.select(*by, "node", F.lit(True).alias("common"))), [*by, "node"], "left")
+    own = F.when(F.col("common"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(place, F.col("parts"))))
+    salted = everywhere.select(*by, F.explode(own).alias("part"), "node", F.col("node").alias("comp"), F.lit(-1).alias("side"), *values)
+    links = stored(links.unionByName(linked(salted)), f"{name}_links")
+    known = held.join(components(links), "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    known = stored(known.select(*by, "node", "comp", *values), f"{name}_known")
+    left = known.groupBy(*by, "comp").agg(F.count("*").alias("n")).groupBy(by).agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    left = stored(left.select(*by, "main", F.ceil(F.col("all") / group).cast("long").alias("p"), F.ceil((F.col("all") - F.col("most")) / group).cast("long").alias("q")), f"{name}_left")
+    if left.isEmpty():
+        return links
+    still = known.join(F.broadcast(left), by)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    whole = still.select("*", F.pmod(place, F.col("p")).alias("i"), upto("q").alias("j"), F.lit(0).alias("side"))
+    outside = still.where("comp <> main").select("*", upto("p").alias("i"), F.pmod(place, F.col("q")).alias("j"), F.lit(1).alias("side"))
+    blocks = whole.unionByName(outside).select(*by, (F.col("i") * F.col("q") + F.col("j")).alias("part"), "node", "comp", "side", *values)
+    return links.unionByName(linked(blocks))
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

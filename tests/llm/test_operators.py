@@ -257,6 +257,23 @@ def test_similarity_is_exact(spark):
     assert {r.doc_id: r.component_id for r in simhash_dedup.similar_components(df).collect()} == want
 
 
+def test_large_groups_are_covered(spark):
+    rng = np.random.default_rng(5)
+    lanes = np.repeat(rng.integers(0, 256, (1500, 128), dtype=np.uint8), 2, axis=0)
+    nodes = rng.permutation(3000).tolist()  # each two nodes near, all with one key in common and no other
+    df = spark.createDataFrame([(n, 0, 7, bytearray(x.tobytes())) for n, x in zip(nodes, lanes, strict=True)], "node long, table int, key long, lanes binary")
+    links = simhash_dedup.covering_links(df.select("table", "key", "node"), simhash_dedup.near_lanes(30), 100, "test", df)
+    got = {r.node: r.component for r in simhash_dedup.components(links).collect()}
+    assert got == {max(p): min(p) for p in zip(nodes[::2], nodes[1::2], strict=True)}
+
+
+def test_many_near_copies(spark):
+    words = [f"w{i}" for i in range(200)]
+    data = [(i, " ".join([*words[: i % 200], f"new{i}", *words[i % 200 + 1 :]])) for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert [r.doc_id for r in simhash_dedup.deduplicate(df, group=500).collect()] == [0]
+
+
 def targets_want(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
