@@ -1,7 +1,7 @@
 """Personal data and secrets replaced by keyed surrogates, with DataFrame functions only.
 
 Found are e-mail addresses, phone numbers, payment cards (with a valid check digit), IPv4 addresses, US social security numbers, access keys, quoted or bare 40-digit hex
-tokens, passwords after ``password=``, and names after a form of address. An entity's normal form (lower case, digits alone, or the name) gets one surrogate in the
+tokens, passwords after ``password=`` or ``password:``, and names after a form of address. An entity's normal form (lower case, digits alone, or the name) gets one surrogate in the
 whole corpus, made character by character from a keyed SHA-512: digits become digits and letters letters of the same script, separators, length, country
 code, issuer digit and domain ending stay, cards get a valid check digit and octets stay below 255; names are syllables of their script with an
 ending of their gender. A mention takes the surrogate in its own format and case, so mentions that agree still agree.
@@ -25,16 +25,21 @@ _WORD = r"\p{L}\p{N}"
 MALE = ["Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Don", "Господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Doña", "Госпожа"]
 NEUTRAL = ["Dr", "Prof"]
-#: What each type looks like.
+_SSN = r"\d{3}-\d{2}-\d{4}(?![\d\-])"
+_IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
+_TOKEN = r"(?:[0-9a-f]{40}|[0-9A-F]{40})(?![A-Za-z0-9])"
+#: Sizes of the groups that cards are written in, besides one group.
+GROUPINGS = ["4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3"]
+#: What each type looks like. Of a card, that is a run of digits which may have other numbers before and after it.
 PATTERNS = {
     "email": rf"(?<![{_WORD}._%+\-])[{_WORD}._%+\-]++@[{_WORD}\-]++(?:\.[{_WORD}\-]++)+",
     "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?!\d)",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "ssn": rf"(?<![\d\-]){_SSN}",
+    "token": rf"(?<![A-Za-z0-9]){_TOKEN}",
+    "card": rf"(?<![\d.])\d(?:\d|-\d| (?!{_SSN}|{_IP}|{_TOKEN})\d){{12,}}+",
+    "ip": rf"(?<![\d.]){_IP}",
     "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![A-Za-z0-9])",
-    "password": r"(?<=(?i:password|passwd|pwd)[=:])[A-Za-z0-9]{4,}+",
+    "password": r"(?<=[=:\s])(?<=(?i:password|passwd|pwd)[=:]\s{0,8})[A-Za-z0-9]{4,}+",
     "name": rf"(?<![{_WORD}])(?:(?:{'|'.join([*MALE, *FEMALE, *NEUTRAL])})\.?) \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+)?(?![{_WORD}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -50,11 +55,36 @@ def _luhn_sum(digits: Column) -> Column:
 
 def _kind(mention: Column) -> Column:
     out = F.when(mention.contains("@"), "email")
-    for name in ("name", "phone", "ssn", "card", "ip", "access", "token"):
+    for name in ("name", "phone", "ssn", "token", "card", "ip", "access"):
         out = out.when(F.regexp_like(mention, F.lit(f"^(?:{PATTERNS[name]})$")), name)
-    out = out.otherwise("password")
-    digits = F.regexp_replace(mention, r"\D", "")
-    return F.when((out == "card") & (_luhn_sum(F.when(out == "card", digits).otherwise("0")) % 10 != 0), F.lit(None)).otherwise(out)
+    return out.otherwise("password")
+
+
+def _card_pieces(run: Column) -> Column:
+    """A run of digits as an array of (kind, piece): its cards, and with no kind what is between them.
+
+    A card is a row of whole groups with 13 to 19 digits and a valid check digit. Groups of the usual sizes come first, then the
+    whole run, then rows of groups of three digits or more; of those that overlap the first one is taken.
+    """
+    groups = F.regexp_extract_all(run, F.lit(r"\d+"), F.lit(0))
+    last = F.size(groups) - 1
+
+    def row(i: Column, j: Column) -> Column:
+        part = F.slice(groups, i + 1, j - i + 1)
+        shape = F.array_join(F.transform(part, lambda g: F.length(g).cast("string")), "-")
+        rank = F.when((i == j) | shape.isin(GROUPINGS), 0).when((i == 0) & (j == last), 1).when(F.forall(part, lambda g: F.length(g) >= 3), 2)
+        return F.struct(rank.alias("rank"), i.alias("i"), (-j).alias("k"), F.array_join(part, "").alias("digits"))
+
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, F.least(last, i + 18)), lambda j: row(i, j))))
+    good = F.array_sort(F.filter(rows, lambda x: x["rank"].isNotNull() & F.length(x["digits"]).between(13, 19) & (_luhn_sum(x["digits"]) % 10 == 0)))
+    pairs = F.transform(good, lambda x: F.struct(x["i"].alias("i"), (-x["k"]).alias("j")))
+    taken = F.aggregate(pairs, F.slice(pairs, 1, 0), lambda a, x: F.when(F.exists(a, lambda y: (y["i"] <= x["j"]) & (x["i"] <= y["j"])), a).otherwise(F.concat(a, F.array(x))))
+    before = lambda i: F.length(F.array_join(F.slice(groups, 1, i), "-")) + F.when(i > 0, 1).otherwise(0)
+    spans = F.transform(F.array_sort(taken), lambda x: F.struct(before(x["i"]).alias("a"), (before(x["j"] + 1) - 1).alias("b")))
+    piece = lambda kind, a, b: F.struct(F.lit(kind).cast("string").alias("kind"), F.substr(run, a + 1, b - a).alias("piece"))
+    end = lambda k: F.coalesce(F.try_element_at(spans, F.when(k > 0, k).otherwise(F.size(spans) + 1))["b"], F.lit(0))
+    each = F.flatten(F.transform(spans, lambda x, k: F.array(piece(None, end(k), x["a"]), piece("card", x["a"], x["b"]))))
+    return F.concat(each, F.array(piece(None, end(F.size(spans)), F.length(run))))
 
 
 def _normal(kind: Column, mention: Column) -> Column:
@@ -170,16 +200,24 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     dirty = stored(docs.where(has).select("*", *row, found.alias("_pii_found")), "mentions")
     clean = docs.where(~has)
     each = dirty.select("_pii_id", "_pii_text", F.explode(F.array_distinct("_pii_found")).alias("_m"))
-    each = each.withColumn("_kind", _kind(F.col("_m"))).where("_kind IS NOT NULL").withColumn("_normal", _normal(F.col("_kind"), F.col("_m")))
-    each = stored(each.distinct(), "each")
-    named = each.join(assigned(each.select("_kind", "_normal"), key), ["_kind", "_normal"])
-    pair = F.struct("_m", _formatted(F.col("_kind"), F.col("_m"), F.col("_new")).alias("_s"))
+    each = each.distinct().withColumn("_kind", _kind(F.col("_m")))
+    pieces = F.when(F.col("_kind") == "card", _card_pieces(F.col("_m"))).otherwise(F.array(F.struct(F.col("_kind").alias("kind"), F.col("_m").alias("piece"))))
+    each = each.withColumn("_pieces", pieces).where(F.exists("_pieces", lambda x: x["kind"].isNotNull()))
+    each = each.select("_pii_id", "_pii_text", "_m", F.posexplode("_pieces").alias("_at", "_p")).select("_pii_id", "_pii_text", "_m", "_at", F.col("_p.kind").alias("_kind"), F.col("_p.piece").alias("_piece"))
+    each = stored(each.withColumn("_normal", _normal(F.col("_kind"), F.col("_piece"))), "each")
+    found = each.where("_kind IS NOT NULL")
+    named = found.join(assigned(found.select("_kind", "_normal"), key), ["_kind", "_normal"]).withColumn("_s", _formatted(F.col("_kind"), F.col("_piece"), F.col("_new")))
+    columns = ["_pii_id", "_pii_text", "_m", "_at", "_s"]
+    named = named.select(*columns, F.lit(1).alias("_n")).unionByName(each.where("_kind IS NULL").select(*columns[:-1], F.col("_piece").alias("_s"), F.lit(0).alias("_n")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda x: x["_s"]), "")
+    named = named.groupBy("_pii_id", "_pii_text", "_m").agg(whole.alias("_s"), F.sum("_n").alias("_n"))
+    pair = F.struct("_m", F.struct("_s", "_n"))
     maps = named.groupBy("_pii_id", "_pii_text").agg(F.map_from_entries(F.collect_list(pair)).alias("_pii_map"))
     same = dirty["_pii_id"].eqNullSafe(maps["_pii_id"]) & (dirty["_pii_text"] == maps["_pii_text"])
     joined = dirty.join(maps.select("_pii_id", "_pii_text", "_pii_map"), same, "left").drop(maps["_pii_id"]).drop(maps["_pii_text"])
     parts = F.split(F.col(text_col), PATTERN, -1)
     mention = lambda i: F.try_element_at("_pii_found", i + 1)
-    text = F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.try_element_at("_pii_map", mention(i)), mention(i), F.lit("")))), "")
-    number = F.size(F.filter("_pii_found", lambda m: F.try_element_at("_pii_map", m).isNotNull())).cast("long")
+    text = F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.try_element_at("_pii_map", mention(i))["_s"], mention(i), F.lit("")))), "")
+    number = F.aggregate("_pii_found", F.lit(0).cast("long"), lambda n, m: n + F.coalesce(F.try_element_at("_pii_map", m)["_n"], F.lit(0)))
     out = joined.select(*[F.when(F.col("_pii_map").isNull(), F.col(text_col)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns], *([F.when(F.col("_pii_map").isNull(), F.lit(0).cast("long")).otherwise(number).alias(count)] if count else []))
     return clean.select("*", *([F.lit(0).cast("long").alias(count)] if count else [])).unionByName(out)

@@ -396,6 +396,23 @@ def test_surrogates(spark):
     assert pii_surrogates.replace(df).columns == df.columns and pii_surrogates.replace(df).count() == df.count()
 
 
+def test_cards_beside_numbers(spark):
+    texts = [
+        "Card 4111 1111 1111 1111 12/27", "4111 1111 1111 1111 123", "order 12 4111 1111 1111 1111", "1234 4111-1111-1111-1111 12", "3782 822463 10005 99", "12 4111111111111111 7", "4111 1111 1111 1111 4012 8888 8888 1881 55",
+        "4111 1111 1111 1111 10.1.2.3", "4111 1111 1111 1111 219-09-9999", "Password: s3cretword", "pwd=\n s3cretword", "no card 4111 1111 1111 1112 12/27", "1234567890" * 4,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii_surrogates.replace(df, count="n").collect()}
+    for i in range(len(texts)):
+        for secret in ("1111 1111", "1111-1111", "11111111", "822463", "8888 1881", "10.1.2.3", "219-09-9999", "s3cretword", "1234567890"):
+            assert i == 11 or secret not in got[i].text, (texts[i], got[i].text)
+        assert len(got[i].text) == len(texts[i]) or "10.1.2.3" in texts[i]
+    assert [got[i].n for i in range(len(texts))] == [1, 1, 1, 1, 1, 1, 2, 2, 2, 1, 1, 0, 1] and got[11].text == texts[11]
+    card = got[0].text[5:24]
+    assert got[0].text == f"Card {card} 12/27" and got[1].text == f"{card} 123" and got[2].text == f"order 12 {card}" and got[6].text.startswith(f"{card} ") and got[6].text.endswith(" 55")
+    assert got[3].text == f"1234 {card.replace(' ', '-')} 12" and got[5].text == f"12 {card.replace(' ', '')} 7"
+
+
 def test_surrogates_stay_distinct(spark):
     ips = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "_kind string, _normal string")
     got = rows(pii_surrogates.assigned(ips))
