@@ -188,13 +188,17 @@ def _formatted(kind: Column, mention: Column, new: Column) -> Column:
     return F.when(F.startswith(new, F.lit("[")), new).when(kind.isin("phone", "ssn", "card"), spread).when(kind == "name", F.concat(F.regexp_extract(mention, _TITLE, 0), new)).when(kind == "password", new).otherwise(cased)
 
 
+def may_hold(text: Column) -> Column:
+    """Quickly seen, and true of all texts with a mention: each pattern needs one of these."""
+    may = F.regexp_like(text, F.lit("[\\p{N}@]|(?i:pass|pwd)|A(?:KI|SI)A|[a-f]{40}|[A-F]{40}"))
+    for title in [*MALE, *FEMALE, *NEUTRAL]:
+        may |= F.contains(text, F.lit(f"{title} ")) | F.contains(text, F.lit(f"{title}. "))
+    return may
+
+
 def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
     """The documents with surrogates in their texts, and the number of mentions in the column ``count`` if asked for."""
-    # Every pattern needs a digit, an @, an = or : before a password, or a form of address; few texts have any, and that is quickly seen.
-    may = F.regexp_like(F.col(text_col), F.lit("[\\p{N}@]|(?i:pass|pwd)"))
-    for title in [*MALE, *FEMALE, *NEUTRAL]:
-        may |= F.contains(F.col(text_col), F.lit(f"{title} ")) | F.contains(F.col(text_col), F.lit(f"{title}. "))
-    has = F.coalesce(F.when(may, F.regexp_like(F.col(text_col), F.lit(PATTERN))).otherwise(F.lit(False)), F.lit(False))
+    has = F.coalesce(F.when(may_hold(F.col(text_col)), F.regexp_like(F.col(text_col), F.lit(PATTERN))).otherwise(F.lit(False)), F.lit(False))
     found = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))
     row = [F.col(id_col).alias("_pii_id"), F.xxhash64(whole_text(text_col)).alias("_pii_text")]
     dirty = stored(docs.where(has).select("*", *row, found.alias("_pii_found")), "mentions")
