@@ -17,7 +17,8 @@ more than the similarity says, and a link is kept only where the exact similarit
 A key or a group of candidates of any size is compared in full, in parts over tasks; only pairs that are connected already are left out.
 
 Null and empty texts have fingerprint zero, or equal lanes, and are linked like any other. Texts shorter than a shingle are one shingle.
-Rows that repeat a document id belong to one node. A null id takes part without being anyone's representative. Empty
+Rows that repeat a document id belong to one node of the bits; a null id takes part there without being anyone's representative. For
+``deduplicate`` a node is a set of shingles, so that rows with null or repeated ids stay unless their texts are similar. Empty
 tables give no rows. No column but the id and the text is read.
 """
 
@@ -447,12 +448,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
-    """The documents, one of each component: that of the smallest id; all columns stay as they are."""
-    found = stored(similar_components(docs, id_col, text_col, words, similarity, group), "components")
-    ids = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(ids.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
-    again = ids.where("_rows > 1").select(F.col("doc_id").alias(id_col))
+    """The documents, one row of each component: that of the smallest id, nulls last, then of the smallest text hash; all columns stay as they are."""
+    nodes = _similar(docs, id_col, text_col, words, similarity, group)[1]
+    best = stored(nodes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_dd_id"), F.col("first.text_hash").alias("_dd_text"), F.col("first.rows").alias("_dd_rows")), "best")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dd_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_dd_text"))
+    again = best.where("_dd_rows > 1")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, id_col, "left_anti").select(docs.columns)
-    return once.unionByName(kept.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
+        return docs.join(best, same, "left_semi")
+    once = docs.join(best.where("_dd_rows = 1"), same, "left_semi")
+    repeated = docs.join(again, same, "left_semi").withColumn("_dd_text", F.xxhash64(whole_text(text_col)))
+    return once.unionByName(repeated.dropDuplicates([id_col, "_dd_text"]).select(docs.columns))

@@ -275,6 +275,15 @@ def test_many_near_copies(spark):
     assert [r.doc_id for r in simhash_dedup.deduplicate(df, group=500).collect()] == [0]
 
 
+def test_null_and_repeated_ids_stay(spark):
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(50))
+    data = [(None, text(0)), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(3)), (7, text(3)), (8, text(4)), (None, text(4)), (9, text(2)), (None, text(5) + " end"), (None, text(5))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash_dedup.deduplicate(df).collect()]
+    fifth = [x for x in kept if x[1].startswith("t5x0")]
+    assert len(fifth) == 1 and Counter(x for x in kept if x not in fifth) == Counter([(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (8, text(4))])
+
+
 def targets_want(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
