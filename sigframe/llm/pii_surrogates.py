@@ -1,10 +1,14 @@
 """Personal data and secrets replaced by keyed surrogates, with DataFrame functions only.
 
-Found are e-mail addresses, phone numbers, payment cards (with a valid check digit), IPv4 addresses, US social security numbers, access keys, quoted or bare 40-digit hex
-tokens, passwords after ``password=`` or ``password:``, and names after a form of address. An entity's normal form (lower case, digits alone, or the name) gets one surrogate in the
-whole corpus, made character by character from a keyed SHA-512: digits become digits and letters letters of the same script, separators, length, country
-code, issuer digit and domain ending stay, cards get a valid check digit and octets stay below 255; names are syllables of their script with an
-ending of their gender. A mention takes the surrogate in its own format and case, so mentions that agree still agree.
+Found are e-mail addresses, phone numbers, payment cards (of a known issuer, with a valid check digit), IBANs (with valid check digits), IP addresses of both versions, US social
+security numbers, access keys and other secrets with a known prefix, 40-digit hex tokens, passwords after ``password=`` or ``password:``, and names after a form of
+address. A name met so is looked for in the rest of that text too, without a form of address and in part.
+
+An entity is a normal form (lower case, digits alone): of an address its local part and its domain, of a name each word. It gets one surrogate in the
+whole corpus, so whoever is named in full, by last name, or with another title stays one, and addresses of one domain share theirs. A surrogate
+is made character by character from a keyed SHA-512: digits become digits and letters letters of the same script, separators, length, country
+code, issuer digits and domain ending stay, check digits are valid and octets stay below 255. Words of names are syllables of their script; a first name has the
+ending of the gender that its forms of address mostly say in the corpus. A mention takes the surrogate in its own separators and case, so mentions that agree still agree.
 
 Collisions are checked over all entities: no two of a type share a surrogate, and none is an entity that occurs itself. Losers try again with the next
 number; what is left after ``ROUNDS`` gets a tag of its own. Texts without entities pass as they are. Null and empty texts stay
@@ -28,6 +32,14 @@ NEUTRAL = ["Dr", "Prof"]
 _SSN = r"\d{3}-\d{2}-\d{4}(?![\d\-])"
 _IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 _TOKEN = r"(?:[0-9a-f]{40}|[0-9A-F]{40})(?![A-Za-z0-9])"
+_HEX = "[0-9a-fA-F]{1,4}"
+#: A capital and at least one more letter.
+_NAME = r"\p{Lu}(?:\p{L}|['’](?=\p{Lu}))++"
+_INITIALS = r"(?:\p{Lu}\. ?){0,2}"
+#: The first digits of the issuers' ranges of card numbers.
+ISSUERS = r"^(?:4|5[0-8]|6|3[04-9]|2(?:20[0-5]|22[1-9]|2[3-9]|[3-6]\d|7[01]|720))"
+#: What secrets of well-known services begin with.
+SECRETS = r"(?:(?:sk|pk|rk)_(?:live|test)_|gh[pousr]_|xox[abprs]-|AIza)"
 #: Sizes of the groups that cards are written in, besides one group.
 GROUPINGS = ["4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3"]
 #: What each type looks like. Of a card, that is a run of digits which may have other numbers before and after it.
@@ -38,11 +50,16 @@ PATTERNS = {
     "token": rf"(?<![A-Za-z0-9]){_TOKEN}",
     "card": rf"(?<![\d.])\d(?:\d|-\d| (?!{_SSN}|{_IP}|{_TOKEN})\d){{12,}}+",
     "ip": rf"(?<![\d.]){_IP}",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}|(?i:fe80):(?::{_HEX}){{1,7}})(?![0-9A-Za-z:])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": rf"(?<![A-Za-z0-9_]){SECRETS}[A-Za-z0-9_\-]{{16,}}+",
     "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "password": r"(?<=[=:\s])(?<=(?i:password|passwd|pwd)[=:]\s{0,8})[A-Za-z0-9]{4,}+",
-    "name": rf"(?<![{_WORD}])(?:(?:{'|'.join([*MALE, *FEMALE, *NEUTRAL])})\.?) \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+)?(?![{_WORD}])",
+    "password": r"(?<=[=:\s\"'])(?<=(?i:password|passwd|pwd)\s{0,3}[=:]\s{0,8}[\"']?)[^\s\"'<>=:]{4,}+",
+    "name": rf"(?<![{_WORD}])(?:(?:{'|'.join([*MALE, *FEMALE, *NEUTRAL])})\.?) {_INITIALS}{_NAME}(?:[ \-]{_INITIALS}{_NAME}){{0,2}}(?![{_WORD}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: In a text with names, any word that may be a part of one.
+PATTERN_NAMED = rf"{PATTERN}|(?<![{_WORD}]){_NAME}(?![{_WORD}])"
 _TITLE = rf"^(?:{'|'.join([*MALE, *FEMALE, *NEUTRAL])})\.? "
 _CYRILLIC = r"\p{IsCyrillic}"
 
@@ -54,12 +71,44 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _kind(mention: Column) -> Column:
-    out = F.when(mention.contains("@"), "email")
-    for name in ("name", "phone", "ssn", "token", "card", "ip", "access"):
+    out = F.when(F.regexp_like(mention, F.lit(f"^(?:{PATTERNS['email']})$")), "email")
+    for name in ("name", "phone", "ssn", "token", "card", "ip", "ipv6", "iban", "secret", "access"):
         out = out.when(F.regexp_like(mention, F.lit(f"^(?:{PATTERNS[name]})$")), name)
     return out.otherwise("password")
 
 
+def _name_pieces(mention: Column) -> Column:
+    """Of a name, with or without a form of address, each word of two letters or more, and what is between them. The first of several words may have a gender."""
+    title = F.regexp_extract(mention, _TITLE, 0)
+    gender = F.when(F.regexp_like(title, F.lit(rf"^(?:{'|'.join(MALE)})\.? $")), "m").when(F.regexp_like(title, F.lit(rf"^(?:{'|'.join(FEMALE)})\.? $")), "f")
+    rest = F.regexp_extract_all(F.substr(mention, F.length(title) + 1), F.lit(r"[\p{L}'’]+|[^\p{L}'’]+"), F.lit(0))
+    word = F.lit(r"^[\p{L}'’]{2,}$")
+    several = F.size(F.filter(rest, lambda t: F.regexp_like(t, word))) > 1
+    words = F.transform(rest, lambda t, i: _piece(F.when(F.regexp_like(t, word), "name"), t, F.when((i == 0) & several, gender)))
+    return F.concat(F.array(_piece(None, title)), words)
+
+
+def _piece(kind: str | Column | None, piece: Column, gender: Column | None = None) -> Column:
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
+    return F.struct(kind.cast("string").alias("kind"), piece.alias("piece"), (F.lit(None) if gender is None else gender).cast("string").alias("gender"))
+
+
+def _mod97(text: Column) -> Column:
+    """The number that digits and capitals (of two digits each) make, modulo 97."""
+    one = lambda a, c: F.when(F.regexp_like(c, F.lit("[0-9]")), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(one(a, c)))
+
+
+def _pieces(kind: Column, mention: Column) -> Column:
+    """A mention as an array of (kind, piece, gender); pieces with no kind stay as they are."""
+    at = F.instr(mention, "@")
+    mail = F.array(_piece("local", F.substr(mention, F.lit(1), at - 1)), _piece(None, F.lit("@")), _piece("domain", F.substr(mention, at + 1)))
+    compact = F.regexp_replace(mention, " ", "")
+    sound = _mod97(F.concat(F.substr(compact, F.lit(5)), F.substring(compact, 1, 4))) == 1
+    iban = F.array(_piece(F.when(sound, "iban"), mention))
+    return F.when(kind == "card", _card_pieces(mention)).when(kind == "name", _name_pieces(mention)).when(kind == "email", mail).when(kind == "iban", iban).otherwise(F.array(_piece(kind, mention)))
+
+
 def _card_pieces(run: Column) -> Column:
     """A run of digits as an array of (kind, piece): its cards, and with no kind what is between them.
 
@@ -76,23 +125,25 @@ def _card_pieces(run: Column) -> Column:
         return F.struct(rank.alias("rank"), i.alias("i"), (-j).alias("k"), F.array_join(part, "").alias("digits"))
 
     rows = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, F.least(last, i + 18)), lambda j: row(i, j))))
-    good = F.array_sort(F.filter(rows, lambda x: x["rank"].isNotNull() & F.length(x["digits"]).between(13, 19) & (_luhn_sum(x["digits"]) % 10 == 0)))
+    good = F.array_sort(F.filter(rows, lambda x: x["rank"].isNotNull() & F.length(x["digits"]).between(13, 19) & F.regexp_like(x["digits"], F.lit(ISSUERS)) & (_luhn_sum(x["digits"]) % 10 == 0)))
     pairs = F.transform(good, lambda x: F.struct(x["i"].alias("i"), (-x["k"]).alias("j")))
     taken = F.aggregate(pairs, F.slice(pairs, 1, 0), lambda a, x: F.when(F.exists(a, lambda y: (y["i"] <= x["j"]) & (x["i"] <= y["j"])), a).otherwise(F.concat(a, F.array(x))))
     before = lambda i: F.length(F.array_join(F.slice(groups, 1, i), "-")) + F.when(i > 0, 1).otherwise(0)
     spans = F.transform(F.array_sort(taken), lambda x: F.struct(before(x["i"]).alias("a"), (before(x["j"] + 1) - 1).alias("b")))
-    piece = lambda kind, a, b: F.struct(F.lit(kind).cast("string").alias("kind"), F.substr(run, a + 1, b - a).alias("piece"))
+    piece = lambda kind, a, b: _piece(kind, F.substr(run, a + 1, b - a))
     end = lambda k: F.coalesce(F.try_element_at(spans, F.when(k > 0, k).otherwise(F.size(spans) + 1))["b"], F.lit(0))
     each = F.flatten(F.transform(spans, lambda x, k: F.array(piece(None, end(k), x["a"]), piece("card", x["a"], x["b"]))))
     return F.concat(each, F.array(piece(None, end(F.size(spans)), F.length(run))))
 
 
-def _normal(kind: Column, mention: Column) -> Column:
+def _normal(kind: Column, piece: Column) -> Column:
+    digits = F.regexp_replace(piece, r"\D", "")
     return (
-        F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(mention, r"\D", ""))
-        .when(kind == "name", F.concat(F.when(F.regexp_like(mention, F.lit(rf"^(?:{'|'.join(MALE)})\.? ")), "m:").when(F.regexp_like(mention, F.lit(rf"^(?:{'|'.join(FEMALE)})\.? ")), "f:").otherwise("n:"), F.lower(F.regexp_replace(mention, _TITLE, ""))))
-        .when(kind == "password", mention)
-        .otherwise(F.lower(mention))
+        F.when(kind == "phone", F.regexp_replace(digits, r"^1(?=\d{10}$)", ""))  # the same number with and without its country code
+        .when(kind.isin("ssn", "card"), digits)
+        .when(kind == "iban", F.regexp_replace(piece, " ", ""))
+        .when(kind.isin("password", "secret"), piece)
+        .otherwise(F.lower(piece))
     )
 
 
@@ -123,49 +174,56 @@ def _characters(text: Column, seed: Column, hexadecimal: bool = False) -> Column
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _name(normal: Column, seed: Column) -> Column:
-    """As many parts as the name has, each of syllables of its script; the first with its gender's ending."""
-    gender = F.substring(normal, 1, 2)
+def _name(normal: Column, gender: Column, seed: Column, syllables: int) -> Column:
+    """Syllables of the word's script, with its gender's ending."""
+    cyrillic = F.regexp_like(normal, F.lit(_CYRILLIC))
 
-    def part(word: Column, k: Column) -> Column:
-        cyrillic = F.regexp_like(word, F.lit(_CYRILLIC))
-        latin = [F.concat(_pick("bdfgklmnprstvz", _draw(k * 9 + j, seed)), _pick("aeiou", _draw(k * 9 + j + 4, seed))) for j in range(3)]
-        russian = [F.concat(_pick("бвгдзклмнпрст", _draw(k * 9 + j, seed)), _pick("аеиоу", _draw(k * 9 + j + 4, seed))) for j in range(3)]
-        end = F.when(k > 0, "").when(gender == "f:", F.when(cyrillic, "на").otherwise("na")).when(gender == "m:", F.when(cyrillic, "н").otherwise("n")).otherwise("")
-        return F.concat(F.initcap(F.when(cyrillic, F.concat(*russian)).otherwise(F.concat(*latin))), end)
+    def word(consonants: str, vowels: str) -> Column:
+        return F.concat(*[_pick(x, _draw(F.lit(2 * j + k), seed)) for j in range(syllables) for k, x in enumerate((consonants, vowels))])
 
-    words = F.transform(F.regexp_extract_all(F.substr(normal, F.lit(3)), F.lit(r"\p{L}+"), F.lit(0)), part)
-    return F.when(normal.contains("-"), F.array_join(words, "-")).otherwise(F.array_join(words, " "))
+    female = (gender == "f") | (cyrillic & F.regexp_like(normal, F.lit("[ая]$")))
+    end = F.when(female, F.when(cyrillic, "на").otherwise("na")).when(gender == "m", F.when(cyrillic, "н").otherwise("n")).otherwise("")
+    return F.concat(F.initcap(F.when(cyrillic, word("бвгдзклмнпрст", "аеиоу")).otherwise(word("bdfgklmnprstvz", "aeiou"))), end)
 
 
-def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), normal), 512)
+def surrogate(kind: Column, normal: Column, gender: Column, attempt: int, key: str) -> Column:
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, F.lit(str(attempt)), normal), 512)
     chars = _characters(normal, seed)
-    stem = F.concat(F.substring(normal, 1, 1), F.substr(chars, F.lit(2), F.length(normal) - 2))
+    stem = F.concat(F.substring(normal, 1, 4), F.substr(chars, F.lit(5), F.length(normal) - 5))
     check = F.pmod(-_luhn_sum(F.concat(F.when(kind == "card", stem).otherwise("0"), F.lit("0"))), F.lit(10))
     ending = F.regexp_extract(normal, r"\.[^.]*$", 0)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_draw(i, seed) % 254 + 1).cast("string")), ".")
     country = F.when(F.length(normal) > 10, F.length(normal) - 10).otherwise(0)
+    nation, account = F.substring(normal, 1, 2), F.substr(chars, F.lit(5))
+    two = F.lpad((98 - _mod97(F.when(kind == "iban", F.concat(account, nation, F.lit("00"))).otherwise("0"))).cast("string"), 2, "0")
+    prefix = F.length(F.regexp_extract(normal, f"^{SECRETS}", 0))
     return (
         F.when(kind == "card", F.concat(stem, check.cast("string")))
         .when(kind == "phone", F.concat(F.substr(normal, F.lit(1), country), F.substr(chars, country + 1)))
-        .when(kind == "email", F.concat(F.substr(chars, F.lit(1), F.length(normal) - F.length(ending)), ending))
+        .when(kind == "domain", F.concat(F.substr(chars, F.lit(1), F.length(normal) - F.length(ending)), ending))
         .when(kind == "ip", octets)
+        .when(kind == "iban", F.concat(nation, two, account))
+        .when(kind == "secret", F.concat(F.substr(normal, F.lit(1), prefix), F.substr(chars, prefix + 1)))
         .when(kind == "access", F.concat(F.substring(normal, 1, 4), F.substr(chars, F.lit(5))))
-        .when(kind == "token", _characters(normal, seed, True))
-        .when(kind == "name", _name(normal, seed))
+        .when(kind.isin("token", "ipv6"), _characters(normal, seed, True))
+        .when(kind == "name", _name(normal, gender, seed, 3 + attempt // 4))
         .otherwise(chars)
     )
 
 
 def assigned(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """(_kind, _normal, _new) with different surrogates for the different entities (_kind, _normal), none of them an entity."""
-    entities = stored(entities.distinct(), "entities")
+    """(_kind, _normal, _new) with different surrogates for the different entities (_kind, _normal), none of them an entity.
+
+    Rows with a column ``_gender`` are counted: the more frequent one is the entity's.
+    """
+    votes = F.sum(F.when(F.col("_gender") == "f", 1).when(F.col("_gender") == "m", -1).otherwise(0)) if "_gender" in entities.columns else F.lit(0)
+    gender = F.when(votes > 0, "f").when(votes < 0, "m").otherwise("")
+    entities = stored(entities.groupBy("_kind", "_normal").agg(gender.alias("_gender")), "entities")
     pending, done = entities, None
     for attempt in range(rounds):
-        tried = pending.select("_kind", "_normal", surrogate(F.col("_kind"), F.col("_normal"), F.lit(attempt), key).alias("_new"))
+        tried = pending.select("_kind", "_normal", surrogate(F.col("_kind"), F.col("_normal"), F.col("_gender"), attempt, key).alias("_new"))
         first = F.row_number().over(Window.partitionBy("_kind", "_new").orderBy("_normal"))
-        taken = entities.select("_kind", F.regexp_replace("_normal", r"^[mfn]:(?=\p{L})", "").alias("_new"))
+        taken = entities.select("_kind", F.col("_normal").alias("_new"))
         taken = taken if done is None else taken.unionByName(done.select("_kind", "_new"))
         good = tried.withColumn("_k", first).where("_k = 1").drop("_k").join(taken.select("_kind", F.lower("_new").alias("_low")).distinct(), (F.lower("_new") == F.col("_low")) & (tried["_kind"] == taken["_kind"]), "left_anti")
         good = stored(good.select("_kind", "_normal", "_new"), f"surrogates{attempt}")
@@ -177,20 +235,27 @@ def assigned(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataF
     return done.unionByName(pending.select("_kind", "_normal", tag.alias("_new")))
 
 
-def _formatted(kind: Column, mention: Column, new: Column) -> Column:
-    """A surrogate in a mention's separators, case and form of address."""
+def _formatted(kind: Column, piece: Column, new: Column) -> Column:
+    """A surrogate in a mention's separators and case. Digits before as many as the surrogate has stay."""
+    each = F.when(kind == "iban", "[0-9A-Z]").otherwise("[0-9]")
+    before = F.length(new) - F.length(F.regexp_replace(piece, F.concat(F.lit("[^"), F.substring(each, 2, 99)), F.lit("")))
     spread = F.aggregate(
-        F.split(mention, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")),
-        lambda a, c: F.when(F.regexp_like(c, F.lit("[0-9]")), F.struct(F.concat(a["s"], F.substr(new, a["i"], F.lit(1))).alias("s"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["i"].alias("i"))),
+        F.split(piece, ""), F.struct(F.lit("").alias("s"), (before + 1).alias("i")),
+        lambda a, c: F.when(F.regexp_like(c, each), F.struct(F.concat(a["s"], F.when(a["i"] > 0, F.substr(new, a["i"], F.lit(1))).otherwise(c)).alias("s"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["i"].alias("i"))),
         lambda a: a["s"],
     )
-    cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(new)).otherwise(new)
-    return F.when(F.startswith(new, F.lit("[")), new).when(kind.isin("phone", "ssn", "card"), spread).when(kind == "name", F.concat(F.regexp_extract(mention, _TITLE, 0), new)).when(kind == "password", new).otherwise(cased)
+    capital = lambda c: (c == F.upper(c)) & (c != F.lower(c))
+    by_place = F.array_join(F.transform(F.split(piece, ""), lambda c, i: F.when(capital(c), F.upper(F.substr(new, i + 1, F.lit(1)))).otherwise(F.substr(new, i + 1, F.lit(1)))), "")
+    name = F.when(capital(piece), F.upper(new)).otherwise(new)
+    return (
+        F.when(F.startswith(new, F.lit("[")), new).when(kind.isin("phone", "ssn", "card", "iban"), spread).when(kind == "name", name)
+        .when(kind.isin("local", "domain", "token", "ipv6", "access"), by_place).otherwise(new)
+    )
 
 
 def may_hold(text: Column) -> Column:
     """Quickly seen, and true of all texts with a mention: each pattern needs one of these."""
-    may = F.regexp_like(text, F.lit("[\\p{N}@]|(?i:pass|pwd)|A(?:KI|SI)A|[a-f]{40}|[A-F]{40}"))
+    may = F.regexp_like(text, F.lit("[\\p{N}@]|(?i:pass|pwd)|A(?:KI|SI)A|[a-f]{40}|[A-F]{40}|_live_|_test_|gh[pousr]_|xox[abprs]-|AIza|[a-fA-F]:[a-fA-F]"))
     for title in [*MALE, *FEMALE, *NEUTRAL]:
         may |= F.contains(text, F.lit(f"{title} ")) | F.contains(text, F.lit(f"{title}. "))
     return may
@@ -198,30 +263,41 @@ def may_hold(text: Column) -> Column:
 
 def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
     """The documents with surrogates in their texts, and the number of mentions in the column ``count`` if asked for."""
-    has = F.coalesce(F.when(may_hold(F.col(text_col)), F.regexp_like(F.col(text_col), F.lit(PATTERN))).otherwise(F.lit(False)), F.lit(False))
-    found = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))
+    text = F.col(text_col)
+    has = F.coalesce(F.when(may_hold(text), F.regexp_like(text, F.lit(PATTERN))).otherwise(F.lit(False)), F.lit(False))
     row = [F.col(id_col).alias("_pii_id"), F.xxhash64(whole_text(text_col)).alias("_pii_text")]
-    dirty = stored(docs.where(has).select("*", *row, found.alias("_pii_found")), "mentions")
+    dirty = docs.where(has).select("*", *row, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("_pii_found"))
+    titled = F.filter("_pii_found", lambda m: F.regexp_like(m, F.lit(f"^(?:{PATTERNS['name']})$")))
+    words = F.array_distinct(F.flatten(F.transform(titled, lambda m: F.regexp_extract_all(F.lower(F.regexp_replace(m, _TITLE, "")), F.lit(r"[\p{L}'’]{2,}"), F.lit(0)))))
+    dirty = dirty.withColumn("_pii_names", words).withColumn("_pii_pattern", F.when(F.size("_pii_names") > 0, PATTERN_NAMED).otherwise(PATTERN))
+    dirty = dirty.withColumn("_pii_found", F.when(F.size("_pii_names") > 0, F.regexp_extract_all(text, F.col("_pii_pattern"), F.lit(0))).otherwise(F.col("_pii_found")))
+    dirty = stored(dirty, "mentions")
     clean = docs.where(~has)
-    each = dirty.select("_pii_id", "_pii_text", F.explode(F.array_distinct("_pii_found")).alias("_m"))
-    each = each.distinct().withColumn("_kind", _kind(F.col("_m")))
-    pieces = F.when(F.col("_kind") == "card", _card_pieces(F.col("_m"))).otherwise(F.array(F.struct(F.col("_kind").alias("kind"), F.col("_m").alias("piece"))))
-    each = each.withColumn("_pieces", pieces).where(F.exists("_pieces", lambda x: x["kind"].isNotNull()))
-    each = each.select("_pii_id", "_pii_text", "_m", F.posexplode("_pieces").alias("_at", "_p")).select("_pii_id", "_pii_text", "_m", "_at", F.col("_p.kind").alias("_kind"), F.col("_p.piece").alias("_piece"))
+    plain = lambda m: F.regexp_like(m, F.lit(f"^{_NAME}$"))
+    known = lambda m: F.array_contains("_pii_names", F.lower(m))
+    found = F.filter(F.array_distinct("_pii_found"), lambda m: (F.size("_pii_names") == 0) | ~plain(m) | known(m))
+    each = dirty.select("_pii_id", "_pii_text", "_pii_names", F.explode(found).alias("_m"))
+    each = each.select("_pii_id", "_pii_text", "_m", (plain(F.col("_m")) & known(F.col("_m"))).alias("_part"))
+    each = each.distinct().withColumn("_kind", F.when(F.col("_part"), "name").otherwise(_kind(F.col("_m"))))
+    each = each.withColumn("_pieces", _pieces(F.col("_kind"), F.col("_m"))).where(F.exists("_pieces", lambda x: x["kind"].isNotNull()))
+    each = each.select("_pii_id", "_pii_text", "_m", F.posexplode("_pieces").alias("_at", "_p"))
+    each = each.select("_pii_id", "_pii_text", "_m", "_at", F.col("_p.kind").alias("_kind"), F.col("_p.piece").alias("_piece"), F.col("_p.gender").alias("_gender"))
     each = stored(each.withColumn("_normal", _normal(F.col("_kind"), F.col("_piece"))), "each")
     found = each.where("_kind IS NOT NULL")
-    named = found.join(assigned(found.select("_kind", "_normal"), key), ["_kind", "_normal"]).withColumn("_s", _formatted(F.col("_kind"), F.col("_piece"), F.col("_new")))
+    named = found.join(assigned(found.select("_kind", "_normal", "_gender"), key), ["_kind", "_normal"]).withColumn("_s", _formatted(F.col("_kind"), F.col("_piece"), F.col("_new")))
     columns = ["_pii_id", "_pii_text", "_m", "_at", "_s"]
-    named = named.select(*columns, F.lit(1).alias("_n")).unionByName(each.where("_kind IS NULL").select(*columns[:-1], F.col("_piece").alias("_s"), F.lit(0).alias("_n")))
+    named = named.select(*columns, F.lit(1).alias("_n"), (F.col("_kind") == "card").cast("int").alias("_cards"))
+    named = named.unionByName(each.where("_kind IS NULL").select(*columns[:-1], F.col("_piece").alias("_s"), F.lit(0).alias("_n"), F.lit(0).alias("_cards")))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda x: x["_s"]), "")
-    named = named.groupBy("_pii_id", "_pii_text", "_m").agg(whole.alias("_s"), F.sum("_n").alias("_n"))
+    named = named.groupBy("_pii_id", "_pii_text", "_m").agg(whole.alias("_s"), F.greatest(F.max("_n"), F.sum("_cards")).alias("_n"))
     pair = F.struct("_m", F.struct("_s", "_n"))
     maps = named.groupBy("_pii_id", "_pii_text").agg(F.map_from_entries(F.collect_list(pair)).alias("_pii_map"))
     same = dirty["_pii_id"].eqNullSafe(maps["_pii_id"]) & (dirty["_pii_text"] == maps["_pii_text"])
     joined = dirty.join(maps.select("_pii_id", "_pii_text", "_pii_map"), same, "left").drop(maps["_pii_id"]).drop(maps["_pii_text"])
-    parts = F.split(F.col(text_col), PATTERN, -1)
+    parts = F.split(text, F.col("_pii_pattern"), -1)
     mention = lambda i: F.try_element_at("_pii_found", i + 1)
-    text = F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.try_element_at("_pii_map", mention(i))["_s"], mention(i), F.lit("")))), "")
+    changed = F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.try_element_at("_pii_map", mention(i))["_s"], mention(i), F.lit("")))), "")
     number = F.aggregate("_pii_found", F.lit(0).cast("long"), lambda n, m: n + F.coalesce(F.try_element_at("_pii_map", m)["_n"], F.lit(0)))
-    out = joined.select(*[F.when(F.col("_pii_map").isNull(), F.col(text_col)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns], *([F.when(F.col("_pii_map").isNull(), F.lit(0).cast("long")).otherwise(number).alias(count)] if count else []))
-    return clean.select("*", *([F.lit(0).cast("long").alias(count)] if count else [])).unionByName(out)
+    out = [F.when(F.col("_pii_map").isNull(), text).otherwise(changed).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    counted = [F.when(F.col("_pii_map").isNull(), F.lit(0).cast("long")).otherwise(number).alias(count)] if count else []
+    return clean.select("*", *([F.lit(0).cast("long").alias(count)] if count else [])).unionByName(joined.select(*out, *counted))
