@@ -1,10 +1,10 @@
 """Exact top-k by inner product with Fagin's threshold algorithm.
 
-Candidates lie in blocks. In each block every dimension has a sorted list of its values; a query reads the lists from the end that suits the sign of its own component. Rows met
-in any list are scored whole. No row that is still unread after ``t`` steps can score more than the query's product with the values at step ``t``; once that bound
-is below the kth score the rest of the block is out (a bound equal to it is not enough, as ties go by id). Blocks whose bound at step 0 is below are left unread. Queries
-are handled in blocks too, so bounds are products of small matrices: a first reading gives the kth score, that gives the step to stop at,
-and a second reading goes there. Where that takes more reads than the block has rows, the block is scored in one product.
+Candidates lie in blocks. In each block every dimension has a sorted list of its values; a query reads the lists of its nonzero components in step, each from the end that suits
+the component's sign. Rows met in any list are scored whole. No row that is still unread after ``t`` steps can score more than the query's product with the
+values at step ``t``; once that bound is below the kth score so far the rest of the block is out (a bound equal to it is not enough, as ties go by id). Steps are read in
+rounds, each up to four times as deep, or to the depth at which the bound falls below the kth score of now. A query without a nonzero component has no list, and
+reads all rows. Where vectors spread alike over many dimensions, lists are read far before the bound falls, and most rows are met.
 
 Every pair of a block of queries and a block of candidates is a task's row, so the work grows as queries times rows, and no task holds
 more than one such pair. Vectors that are null or have a null or non-finite component take no part. Shorter vectors count as zero beyond their end. A row never
@@ -57,46 +57,52 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, candidate place, score) of each query's best k in one block."""
+def read_lists(q: np.ndarray, own: int, c: np.ndarray, c_ids: np.ndarray, order: np.ndarray, bounds: np.ndarray, steps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows met, their scores, steps read) for one query. ``order`` has for each dimension the rows from the least value up, ``bounds`` the bound after each of ``steps``."""
+    n = len(c)
+    up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+    if not len(up) + len(down):
+        return np.arange(n), np.zeros(n, c.dtype), n
+    met, scores, kth = np.zeros(n, bool), np.zeros(n, c.dtype), -np.inf
+    done, upto = 0, min(n, FIRST)
+    while True:
+        before = met.copy()
+        met[order[up, n - upto : n - done].ravel()] = True
+        met[order[down, done:upto].ravel()] = True
+        new = np.flatnonzero(met & ~before)
+        scores[new] = c[new] @ q if 4 * len(new) < n else (c @ q)[new]
+        done = upto
+        rival = scores[met & (c_ids != own)]
+        if len(rival) >= k:
+            kth = np.partition(rival, len(rival) - k)[len(rival) - k]
+        below = steps[bounds < kth]
+        if done == n or (len(below) and below[0] <= done):
+            rows = np.flatnonzero(met)
+            return rows, scores[rows], done
+        upto = min(n, 4 * done, int(below[0]) if len(below) else n)
+
+
+def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int = K, read: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, candidate place, score) of each query's best k in one block. ``read`` takes the rows scored and the steps read of each query."""
     n, d = c.shape
     if not n or not len(q):
         return (np.zeros(0, np.int64),) * 3
     most = int(np.abs(c).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(d, 1)
     kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
     q, c = q.astype(kind), c.astype(kind)
-    order = np.argsort(c, axis=0, kind="stable")  # ascending; read from the end for positive components
-    steps = np.arange(0, n, GRID)
+    order = np.argsort(c, axis=0, kind="stable")
     lists = np.take_along_axis(c, order, 0)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    bounds = lists[n - 1 - steps] @ up.T + lists[steps] @ down.T  # at each grid step, no unread row scores more
-    top, low = order[n - min(n, FIRST) :].T, order[: min(n, FIRST)].T
-    found: list[tuple[int, np.ndarray, np.ndarray]] = []
-    full: list[int] = []
-    for j in range(len(q)):
-        read = np.unique(np.where((q[j] > 0)[:, None], top, low)[q[j] != 0].ravel())
-        scores = c[read] @ q[j]
-        own = c_ids[read] != q_ids[j]
-        kth = np.partition(scores[own], own.sum() - k)[own.sum() - k] if own.sum() >= k else -np.inf
-        beyond = np.flatnonzero(bounds[:, j] < kth)
-        stop = int(steps[beyond[0]]) + 1 if len(beyond) else n
-        if stop > FIRST:
-            if stop * int((q[j] != 0).sum()) >= n or not (q[j] != 0).any():
-                full.append(j)
-                continue
-            sides = np.where((q[j] > 0)[:, None], order[n - stop :].T, order[:stop].T)[q[j] != 0]
-            read = np.unique(sides.ravel())
-            scores = c[read] @ q[j]
-        found.append((j, read, scores))
-    every = np.arange(n)
-    for at in range(0, len(full), 128):
-        some = full[at : at + 128]
-        found += [(j, every, s) for j, s in zip(some, q[some] @ c.T, strict=True)]
+    steps = np.unique(np.r_[np.arange(FIRST, n, GRID), n])
+    bounds = lists[n - steps] @ np.maximum(q, 0).T + lists[steps - 1] @ np.minimum(q, 0).T
+    order = np.ascontiguousarray(order.T.astype(np.int32))
     out = []
-    for j, read, scores in found:
-        ok = np.flatnonzero(c_ids[read] != q_ids[j])
-        pick = ok[_best(scores[ok], c_ids[read[ok]], k)]
-        out.append((np.full(len(pick), j), read[pick], scores[pick]))
+    for j in range(len(q)):
+        rows, scores, depth = read_lists(q[j], q_ids[j], c, c_ids, order, bounds[:, j], steps, k)
+        if read is not None:
+            read.append((len(rows), depth))
+        ok = np.flatnonzero(c_ids[rows] != q_ids[j])
+        pick = ok[_best(scores[ok], c_ids[rows[ok]], k)]
+        out.append((np.full(len(pick), j), rows[pick], scores[pick]))
     return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
 
 
