@@ -1,12 +1,12 @@
 """Quality rules judged together by an isolation forest.
 
 Each text gets statistics of the usual rules. A forest of random splits is grown on small samples of them; a text that few splits set
-apart from all others is anomalous (score near 1). The score above which a text is dropped is calibrated on labelled texts: the
-forest drops as much of label 0 as it can while it keeps ``keep`` of label 1.
+apart from all others is anomalous (score near 1). The score from which on a text is dropped is calibrated on labelled texts: it has the least
+cost, which is the share of label 0 that is kept and ``good_cost`` times the share of label 1 that is dropped; of equal costs the higher score.
 
 The forest takes ``trees`` samples of ``sample`` texts each, which the method itself bounds; statistics, scores and
 the threshold come from all texts and all labels. Samples are picked by a hash of the text, so reruns agree. Null and empty texts have no words and fail the base rule. Without
-labelled texts of both kinds the threshold is 0.6. Repeated rows are judged each on its own. An empty table gives no rows. No column but id and text is read.
+labelled texts of both kinds it is 0.6. Repeated rows are judged each on its own. An empty table gives no rows. No column but id and text is read.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, whole_text
 
-TREES, SAMPLE, SEED = 100, 256, 7
-KEEP, THRESHOLD, BINS = 0.99, 0.6, 2000
+TREES, SAMPLE, SEED = 100, 128, 7
+GOOD_COST, THRESHOLD, BINS = 4.0, 0.6, 2000
 SYMBOLS = b"#*$%&|<>"
-RULES = ["symbols", "repeats", "dup_lines", "upper", "marks", "distinct", "word_len", "digits"]
+RULES = ["symbols", "repeats", "dup_lines", "upper", "marks", "distinct", "word_len", "digits", "odd_ends", "lone_marks", "short_words", "symbol_kinds"]
 STATS = "doc_id long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, rules array<double>"
 
 
@@ -53,7 +53,7 @@ def statistics(text: str) -> tuple[int, int, int, int, int, list[float]]:
     words = data.split()
     n = len(words)
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
-    symbols = sum(data.count(s) for s in SYMBOLS)
+    symbols = sum(data.count(bytes([s])) for s in SYMBOLS)
     seen: set[str] = set()
     dups = lines = 0
     for line in text.split("\n"):
@@ -67,7 +67,12 @@ def statistics(text: str) -> tuple[int, int, int, int, int, list[float]]:
     digits = len(data.translate(None, bytes(set(range(256)) - set(range(48, 58)))))
     some = max(chars, 1)
     common = Counter(words).most_common(1)[0][1] if n else 0
-    rules = [symbols / some, repeats / max(n, 1), dups / max(lines, 1), upper / some, marks / some, common / max(n, 1), chars / max(n, 1), digits / some]
+    ends = Counter(w[-1] for w in words)
+    odd = sum(ends[c] for c in SYMBOLS)
+    lone = sum(len(w) == 1 and not w.isalnum() for w in words)
+    short = sum(len(w) <= 3 for w in words)
+    kinds = sum(bytes([c]) in data for c in SYMBOLS)
+    rules = [symbols / some, repeats / max(n, 1), dups / max(lines, 1), upper / some, marks / some, common / max(n, 1), chars / max(n, 1), digits / some, odd / max(n, 1), lone / max(n, 1), short / max(n, 1), kinds / len(SYMBOLS)]
     return n, chars, symbols, dups, repeats, rules
 
 
@@ -147,26 +152,29 @@ def fit(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int =
             yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int64()), **{k: pa.array([v], pa.list_(pa.float64())) for k, v in got.items()}})
 
     schema = "tree long, feature array<double>, split array<double>, left array<double>, depth array<double>"
-    grown = picked.repartition("tree").sortWithinPartitions("tree", "k").select("tree", "rules").mapInArrow(work, schema).orderBy("tree").collect()
-    return [{"feature": np.array(r["feature"], np.int64), "split": np.array(r["split"]), "left": np.array(r["left"], np.int64), "depth": np.array(r["depth"])} for r in grown]
+    grown = picked.repartition("tree").sortWithinPartitions("tree", "k").select("tree", "rules").mapInArrow(work, schema).collect()
+    return [{"feature": np.array(r["feature"], np.int64), "split": np.array(r["split"]), "left": np.array(r["left"], np.int64), "depth": np.array(r["depth"])} for r in sorted(grown, key=lambda r: r["tree"])]
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, keep: float = KEEP, label: str = "quality") -> float:
-    """The score above which texts are dropped: the least that keeps ``keep`` of the texts labelled 1. Counts go by bins, so any number of labels will do."""
+def calibrate(scored: DataFrame, labels: DataFrame, good_cost: float = GOOD_COST, label: str = "quality") -> float:
+    """The score from which on texts are dropped, at the least cost on the labelled texts. Counts go by bins, so any number of labels will do."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("y"))
-    bins = scored.join(known, "doc_id").groupBy(F.floor(F.col("anomaly") * BINS).alias("bin")).agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("good"), F.count("*").alias("n")).orderBy("bin").collect()
+    bins = scored.join(known, "doc_id").groupBy(F.floor(F.col("anomaly") * BINS).alias("bin")).agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("good"), F.count("*").alias("n")).collect()
     good = sum(r["good"] for r in bins)
-    if not good or good == sum(r["n"] for r in bins):
+    bad = sum(r["n"] for r in bins) - good
+    if not good or not bad:
         return THRESHOLD
-    below = 0
-    for r in bins:
-        below += r["good"]
-        if below >= keep * good:
-            return (r["bin"] + 1) / BINS
-    return 1.0
+    best = kept = lost = 0.0
+    limit = BINS + 1
+    for r in sorted(bins, key=lambda r: -r["bin"]):  # from the highest score down: what is dropped, against dropping nothing
+        kept -= (r["n"] - r["good"]) / bad
+        lost += r["good"] / good
+        if kept + good_cost * lost < best:
+            best, limit = kept + good_cost * lost, r["bin"]
+    return limit / BINS
 
 
-def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, sample: int = SAMPLE, good_cost: float = GOOD_COST) -> DataFrame:
     """Per document the base rules' counts, ``base_failed``, the forest's ``anomaly`` and ``kept``."""
     stats = stored(measured(docs, id_col, text_col), "rules")
     passed = stats.where(~_failed())
@@ -178,10 +186,10 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
             x = np.array(b.column("rules").to_pylist(), np.float64).reshape(b.num_rows, len(RULES))
             yield b.append_column("anomaly", pa.array(anomaly(forest, x, size)))
 
-    scored = stats.mapInArrow(work, STATS + ", anomaly double")
-    limit = calibrate(scored.where(~_failed()), labels, keep) if labels is not None else THRESHOLD
+    scored = stored(stats.mapInArrow(work, STATS + ", anomaly double").drop("text_hash", "rules"), "scored")
+    limit = calibrate(scored.where(~_failed()), labels, good_cost) if labels is not None else THRESHOLD
     out = scored.withColumn("base_failed", _failed())
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < limit)).drop("text_hash", "rules")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("anomaly") * BINS) < limit * BINS))
 
 
 def _failed() -> Column:
