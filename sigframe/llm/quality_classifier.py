@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     order = F.xxhash64("_id", F.lit(2))
     trained = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", order, "_id", "_text").mapInArrow(work, "shard long, i array<long>, w array<double>")
-    models = trained.orderBy("shard").collect()  # as many rows as shards, each of ``DIMENSIONS`` numbers at most
+    models = sorted(trained.collect(), key=lambda m: m["shard"])  # as many rows as shards, each of ``DIMENSIONS`` numbers at most
     if not models:
         return None
     out = np.zeros(DIMENSIONS + 1)
