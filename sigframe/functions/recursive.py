@@ -137,3 +137,27 @@ def heikin_ashi(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
 def filled(x: str, keys: list[str] = KEY) -> Column:
     """The last value there was, this row's included."""
     return F.last(x, True).over(series(*keys).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def high_pass(df: DataFrame, x: str, period: float, name: str, keys: list[str] = KEY) -> DataFrame:
+    """Two-pole high pass. Its poles are one double real one, so it is two affine scans; missing values and history count as zero."""
+    w = 0.707 * 2 * math.pi / period
+    alpha = (math.cos(w) + math.sin(w) - 1) / math.cos(w)
+    k = (1 - alpha / 2) ** 2
+    v = F.coalesce(c(x), F.lit(0.0))
+    back = lambda n, s: F.coalesce(F.lag(v, n).over(s), F.lit(0.0))
+    rows = bounded(df, 2, lambda s: {"_in": k * (v - 2 * back(1, s) + back(2, s))}, keys=keys)
+    return affine_scan(affine_scan(rows, "_in", 1 - alpha, "_once", keys), "_once", 1 - alpha, name, keys).drop("_in", "_once")
+
+
+def super_smoother(df: DataFrame, x: str, period: float, name: str, keys: list[str] = KEY) -> DataFrame:
+    """Two-pole low pass of the mean of two values. Its poles are a * e ** (+-i * turn): the sums of a ** (t - j) * b[j] with the sine and with the cosine of
+    j * turn are affine scans, and turned back they give the response a ** (t - j) * sin((t - j + 1) * turn) / sin(turn)."""
+    a, turn = math.exp(-math.sqrt(2) * math.pi / period), math.sqrt(2) * math.pi / period
+    k = (1 - 2 * a * math.cos(turn) + a * a) / 2
+    v = F.coalesce(c(x), F.lit(0.0))
+    rows = bounded(df, 1, lambda s: {"_in": k * (v + F.coalesce(F.lag(v).over(s), F.lit(0.0)))}, keys=keys)
+    rows = rows.withColumns({"_inc": c("_in") * F.cos(c("bar_idx") * turn), "_ins": c("_in") * F.sin(c("bar_idx") * turn)})
+    rows = affine_scan(affine_scan(rows, "_inc", a, "_p", keys), "_ins", a, "_q", keys)
+    out = (F.sin((c("bar_idx") + 1) * turn) * c("_p") - F.cos((c("bar_idx") + 1) * turn) * c("_q")) / math.sin(turn)
+    return rows.withColumn(name, out).drop("_in", "_inc", "_ins", "_p", "_q")

@@ -178,22 +178,23 @@ def three_means(x: str, w: WindowSpec, n: int = 100) -> Column:
     """
     @F.pandas_udf("array<double>")
     def centres(values: pd.Series) -> pd.Series:
-        def one(v: np.ndarray | None) -> list[float] | None:
-            if v is None or len(v) < n:
-                return None
-            v = np.asarray(v, float)
-            lo, hi = v.min(), v.max()
-            at = lo + (hi - lo) * np.array([0.75, 0.5, 0.25])
-            for _ in range(200):
-                d = np.abs(v[:, None] - at)
-                near = d == d.min(1, keepdims=True)
-                near &= near.sum(1, keepdims=True) == 1
-                new = np.array([v[m].mean() if m.any() else a for m, a in zip(near.T, at, strict=True)])
-                if (new == at).all():
-                    break
-                at = new
-            return at.tolist()
-
-        return values.map(one)
+        out = pd.Series([None] * len(values), index=values.index, dtype=object)
+        whole = np.flatnonzero(values.map(lambda v: v is not None and len(v) == n).to_numpy(bool))
+        for part in np.array_split(whole, max(1, len(whole) // 2048)):  # all rows of a part at once
+            if len(part):
+                v = np.stack(values.iloc[part].to_numpy()).astype(float)
+                lo, hi = v.min(1, keepdims=True), v.max(1, keepdims=True)
+                at = lo + (hi - lo) * np.array([0.75, 0.5, 0.25])
+                for _ in range(200):
+                    d = np.abs(v[:, :, None] - at[:, None, :])
+                    near = d == d.min(2, keepdims=True)
+                    near &= near.sum(2, keepdims=True) == 1
+                    count = near.sum(1)
+                    new = np.where(count > 0, (v[:, :, None] * near).sum(1) / np.maximum(count, 1), at)
+                    if (new == at).all():
+                        break
+                    at = new
+                out.iloc[part] = list(at)
+        return out
 
     return centres(F.collect_list(x).over(last(w, n)))

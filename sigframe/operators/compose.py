@@ -9,6 +9,8 @@ from ..schema import LADDER, SECONDS
 from .joins import asof, nearest
 
 c = F.col
+#: Seconds by which as-of joins cut a key's rows among tasks.
+SPAN = 4_000_000
 
 
 def snapshot(base: DataFrame, rungs: dict[str, DataFrame], values: list[str], at: str = "at", keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
@@ -19,7 +21,7 @@ def snapshot(base: DataFrame, rungs: dict[str, DataFrame], values: list[str], at
     rows = base
     for name, rung in rungs.items():
         seen = rung.select(*keys, (c("t") + SECONDS[name]).alias("known_at"), *values)
-        rows = asof(rows, seen, keys, at, "known_at", values)
+        rows = asof(rows, seen, keys, at, "known_at", values, span=SPAN)
         rows = rows.withColumnsRenamed({f"{v}_asof": f"{name}_{v}" for v in values} | {"known_at_asof": f"{name}_known_at"})
     gone = F.array_compact(F.array(*[F.when(c(f"{n}_known_at").isNull(), F.lit(n)) for n in rungs]))
     return rows.withColumn("missing", F.array_join(gone, ","))
@@ -85,7 +87,7 @@ def cascades(flips: DataFrame, rungs: list[str], window: float = 1.0, key: str =
     rows = known(rungs[0]).select(key, "direction", c("flip_t").alias("start_t"), c("known").alias("at"), F.array(step(rungs[0], c("flip_t"), c("known"))).alias("steps"), F.lit(None).cast("string").alias("stalled_at"))
     for before, r in zip(rungs, rungs[1:], strict=False):
         reach = int(max(SECONDS[before], SECONDS[r]) * window)
-        rows = asof(rows, known(r), [key, "direction"], "at", "known", ["flip_t"], "forward", strict=True)
+        rows = asof(rows, known(r), [key, "direction"], "at", "known", ["flip_t"], "forward", strict=True, span=SPAN)
         hit = c("stalled_at").isNull() & (c("known_asof") <= c("at") + reach)
         hit = F.coalesce(hit, F.lit(False))
         rows = rows.withColumns({"_hit": hit, "steps": F.when(hit, F.concat("steps", F.array(step(r, c("flip_t_asof"), c("known_asof"))))).otherwise(c("steps"))})
@@ -123,3 +125,29 @@ def watchlist(latest: DataFrame, rules: DataFrame) -> DataFrame:
 def dedupe_entries(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each entry, the first in order."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(c("_k") == 1).drop("_k")
+
+
+def state_gate(events: DataFrame, states: DataFrame, t: str, state: str, wanted: Column, keys: list[str], span: int = SPAN) -> DataFrame:
+    """Events for which the last state known at their time (column ``state``) is as ``wanted`` says of ``{state}_asof``."""
+    seen = states.select(*keys, c(t).alias("_st"), c(state))
+    return asof(events, seen, keys, t, "_st", [state], span=span).where(wanted).drop("_st_asof")
+
+
+def structure_position(zones: DataFrame, lines: DataFrame, broken: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:
+    """Zones (from_idx, lo, hi) with their place against the swing low that stands at their start (``lines``: bar_idx, line), and the type of the last break up to then."""
+    line = lines.select(*keys, c("bar_idx").alias("_i"), c("line"))
+    rows = asof(zones, line, keys, "from_idx", "_i", ["line"], span=4096).drop("_i_asof")
+    last = broken.groupBy(*keys, c("bar_idx").alias("_b")).agg(F.max("type").alias("type"))
+    rows = asof(rows, last, keys, "from_idx", "_b", ["type"], span=4096).drop("_b_asof")
+    band = tolerance * c("line_asof")
+    place = F.when(c("line_asof").isNull(), "none").when(F.abs((c("lo") + c("hi")) / 2 - c("line_asof")) <= band, "at").when((c("lo") + c("hi")) / 2 < c("line_asof"), "below").otherwise("above")
+    return rows.withColumn("position", place).withColumnRenamed("type_asof", "structure").drop("line_asof")
+
+
+def candle_flags(bars: DataFrame, rungs: dict[str, DataFrame], sign: str, at: str = "at") -> DataFrame:
+    """Bars with ``flag``: up where the oscillator's sign (a column) is up and the last closed candle of every rung is too, down likewise."""
+    seen = snapshot(bars, {n: r.withColumn("way", F.signum(c("c") - c("o"))) for n, r in rungs.items()}, ["way"], at)
+    ways = F.array(c(sign), *[c(f"{n}_way") for n in rungs])
+    up = F.forall(ways, lambda x: F.coalesce(x == 1, F.lit(False)))
+    down = F.forall(ways, lambda x: F.coalesce(x == -1, F.lit(False)))
+    return seen.withColumn("flag", F.when(up, "up").when(down, "down"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import KEY, closes
+from .joins import asof
 
 c = F.col
 
@@ -126,3 +127,48 @@ def last_flip(df: DataFrame, flipped: DataFrame, direction: str, keys: list[str]
     end = df.groupBy(*keys).agg(F.max("bar_idx").alias("_end"))
     got = flipped.groupBy(*keys).agg(F.max("bar_idx").alias("flip_idx"), F.max_by(direction, "bar_idx").alias("direction"), F.max_by("c", "bar_idx").alias("flip_price"))
     return end.join(got, keys, "left").withColumn("bars_since", c("_end") - c("flip_idx")).drop("_end")
+
+
+def recently(condition: Column, n: int, w: WindowSpec) -> Column:
+    """Whether the condition held at this bar or one of the n before."""
+    return F.coalesce(F.max(F.when(condition, 1).otherwise(0)).over(w.rowsBetween(-n, 0)) == 1, F.lit(False))
+
+
+def oscillator_marks(w: WindowSpec, q: str = "q", trigger: str = "trigger", fast: str = "fast", slow: str = "slow") -> dict[str, Column]:
+    """What the tiers look back on, as columns of a first stage: crossings of the oscillator with its trigger, and of quotients with their bounds."""
+    down = crossunder(q, trigger, w)
+    return {
+        "up": crossover(q, trigger, w), "down": down, "fast_rose": crossover(fast, -0.9, w), "fast_fell": crossunder(fast, 0.9, w), "slow_rose": crossover(slow, -0.9, w),
+        "q_rose20": crossover(q, 20, w), "q_rose80": crossover(q, 80, w), "down_at0": down & (c(q) <= 0), "down_at20": down & (c(q) <= 20), "up_below10": crossover(q, trigger, w) & (c(q) < 10),
+    }
+
+
+def oscillator_tiers(w: WindowSpec, q: str = "q", fast: str = "fast", slow: str = "slow", line: str = "line") -> dict[str, Column]:
+    """Long tiers and the break down, from ``oscillator_marks``: an upward crossing of the trigger after what each tier asks for lately."""
+    up = c("up")
+    tiers = {
+        "long_lime": (c(slow) <= -0.9) & up & recently(c("fast_rose"), 7, w) & (c(q) <= 20) & recently(c("q_rose20"), 21, w),
+        "long_blue": recently(c("down_at0"), 5, w) & up,
+        "long_gray": recently(c("down_at20"), 11, w) & up & (c(q) <= 60),
+        "long_yellow": (c(slow) <= -0.9) & up,
+        "break_short": (c(slow) >= -0.9) & c("down") & recently(c("fast_fell"), 7, w) & (c(q) >= 99) & recently(c("q_rose80"), 21, w),
+        "boom": (c(fast) <= -0.9) & up & recently(c("slow_rose"), 7, w),
+        "long_enter4": (c(q) <= 20) & recently(c("up_below10"), 5, w) & up,
+        "long_enter": up & (c(q) < c(line)),
+    }
+    return {k: F.coalesce(v, F.lit(False)) for k, v in tiers.items()}
+
+
+def excursions(df: DataFrame, x: str, ceiling: float, floor: float, keys: list[str] = KEY) -> DataFrame:
+    """Bars at which a series comes to a ceiling or a floor: (keys, bar_idx, type)."""
+    w = Window.partitionBy(*keys).orderBy("bar_idx")
+    before = F.lag(x).over(w)
+    kind = F.when((c(x) >= ceiling) & (before < ceiling), "ceiling").when((c(x) <= floor) & (before > floor), "floor")
+    return df.withColumn("type", kind).where("type IS NOT NULL").select(*keys, "bar_idx", "type")
+
+
+def round_trips(marks: DataFrame, most: int, keys: list[str] = KEY) -> DataFrame:
+    """Each floor with the first ceiling after it, at most so many bars on."""
+    ahead = marks.where("type = 'ceiling'").select(*keys, c("bar_idx").alias("_i"), c("bar_idx").alias("ceiling_idx"))
+    got = asof(marks.where("type = 'floor'"), ahead, keys, "bar_idx", "_i", ["ceiling_idx"], "forward", strict=True, span=4096)
+    return got.where(c("ceiling_idx_asof") - c("bar_idx") <= most).select(*keys, c("bar_idx").alias("floor_idx"), c("ceiling_idx_asof").alias("ceiling_idx"), (c("ceiling_idx_asof") - c("bar_idx")).alias("gap"))

@@ -1,6 +1,6 @@
 """Order-dependent state machines: one step function, run over groups in batch and over streams.
 
-Only what cannot be a window is folded, and over as few rows as will do: candidates and touches, pivots, flips, breaks. The exception is the band ratchet, which reads every bar.
+Only what cannot be a window is folded, and over as few rows as will do: candidates and touches, pivots, flips, breaks. The band ratchet alone reads every bar.
 A fold takes a key's rows sorted by ``bar_idx``, in batches, and keeps its state between them; it never holds a whole key.
 """
 
@@ -44,33 +44,6 @@ def fold(df: DataFrame, step: Step, schema: str, keys: list[str] = KEY, order: t
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(work, out_schema)
 
 
-def two_pole(df: DataFrame, x: str, a: tuple[float, float], b: tuple[float, float, float], name: str, keys: list[str] = KEY) -> DataFrame:
-    """y[t] = a1 y[t-1] + a2 y[t-2] + b0 x[t] + b1 x[t-1] + b2 x[t-2], missing history counting as zero."""
-
-    def step(s: dict, r: dict) -> list[dict]:
-        v = r[x] if r[x] is not None else 0.0
-        y = a[0] * s.get("y1", 0.0) + a[1] * s.get("y2", 0.0) + b[0] * v + b[1] * s.get("x1", 0.0) + b[2] * s.get("x2", 0.0)
-        s.update(y2=s.get("y1", 0.0), y1=y, x2=s.get("x1", 0.0), x1=v)
-        return [{"bar_idx": r["bar_idx"], name: y}]
-
-    got = fold(df.select(*keys, "bar_idx", x), step, f"bar_idx long, {name} double", keys)
-    return df.join(got, [*keys, "bar_idx"])
-
-
-def high_pass(df: DataFrame, x: str, period: float, name: str, keys: list[str] = KEY) -> DataFrame:
-    w = 0.707 * 2 * np.pi / period
-    alpha = (np.cos(w) + np.sin(w) - 1) / np.cos(w)
-    k = (1 - alpha / 2) ** 2
-    return two_pole(df, x, (2 * (1 - alpha), -((1 - alpha) ** 2)), (k, -2 * k, k), name, keys)
-
-
-def super_smoother(df: DataFrame, x: str, period: float, name: str, keys: list[str] = KEY) -> DataFrame:
-    a = np.exp(-np.sqrt(2) * np.pi / period)
-    b = 2 * a * np.cos(np.sqrt(2) * np.pi / period)
-    k = (1 - b + a * a) / 2
-    return two_pole(df, x, (float(b), float(-a * a)), (float(k), float(k), 0.0), name, keys)
-
-
 def ratchet(state: dict, r: dict) -> list[dict]:
     """Bands that only tighten while the close stays inside them, and the direction (-1 is bullish)."""
     if r["width"] is None:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEY
+from ..sources.tables import kept
 from .joins import first_hit
 
 c = F.col
@@ -131,7 +132,7 @@ def reclaim_entries(zones: DataFrame, bars: DataFrame, within: int = 12, keys: l
     z = zones.withColumn("_from", c("from_idx") + 1)
     bull, bear = z.where("side = 'bullish'"), z.where("side = 'bearish'")
     touch = first_hit(bull, bars, keys, "_from", "hi", "l", False, "zone_id").unionByName(first_hit(bear, bars, keys, "_from", "lo", "h", True, "zone_id")).withColumnRenamed("hit_idx", "touch_idx")
-    touched = z.join(touch, "zone_id").cache()  # the joins below read it several times
+    touched = kept(z.join(touch, "zone_id"))  # the joins below read it several times
     back = first_hit(touched.where("side = 'bullish'"), bars, keys, "touch_idx", "hi", "c", True, "zone_id", within).unionByName(first_hit(touched.where("side = 'bearish'"), bars, keys, "touch_idx", "lo", "c", False, "zone_id", within)).withColumnRenamed("hit_idx", "reclaim_idx")
     return touched.join(back, "zone_id").withColumn("entry_idx", c("reclaim_idx") + 1).drop("_from")
 
@@ -147,3 +148,44 @@ def settled(trades: DataFrame, bars: DataFrame, margin: int = 2, keys: list[str]
     """Resolved if the exit lies at least ``margin`` bars before the last bar, else open."""
     end = bars.groupBy(*keys).agg(F.max("bar_idx").alias("_end"))
     return trades.join(end, keys).withColumn("status", F.when(c("exit_idx") <= c("_end") - margin, "resolved").otherwise("open")).drop("_end")
+
+
+def scaled_return(bars: DataFrame, n: int, atr: str = "atr", keys: list[str] = KEY) -> DataFrame:
+    """Bars with ``fwd_atr``, the move over the next n bars in ATR."""
+    return forward_return(bars, n, keys=keys).withColumn("fwd_atr", F.try_divide(c("fwd"), c(atr))).drop("fwd")
+
+
+def regime_holds(broken: DataFrame, bars: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Trades from a break that turns the bias (type CHOCH) to the next one of the other side, or to the stop at its ``stop``, whichever comes first.
+
+    The entry is the next bar's open, the exit the open after the opposite break or the stop's price; a trade with neither is open.
+    """
+    w = Window.partitionBy(*keys).orderBy("bar_idx", "side")
+    turns = broken.where("type = 'CHOCH'").withColumn("next_idx", F.lead("bar_idx").over(w))
+    rows = entries(turns, bars, keys).where((c("entry") - c("stop")) * sign() > 0)
+    long_, short = rows.where(sign() == 1), rows.where(sign() == -1)
+    hit = first_hit(long_, bars, keys, "entry_idx", "stop", "l", False, "event_id").unionByName(first_hit(short, bars, keys, "entry_idx", "stop", "h", True, "event_id")).withColumnRenamed("hit_idx", "stop_idx")
+    out = rows.join(hit, "event_id", "left").join(bars.select(*keys, (c("bar_idx") - 1).alias("next_idx"), c("o").alias("_next")), [*keys, "next_idx"], "left")
+    stopped = c("stop_idx").isNotNull() & (c("_next").isNull() | (c("stop_idx") <= c("next_idx")))
+    why = F.when(stopped, "stop").when(c("_next").isNotNull(), "opposite").otherwise("open")
+    out = out.withColumns({"exit_reason": why, "exit": F.when(stopped, c("stop")).otherwise(c("_next")), "exit_idx": F.when(stopped, c("stop_idx")).when(c("_next").isNotNull(), c("next_idx") + 1)})
+    return out.withColumn("pnl_pct", sign() * (c("exit") - c("entry")) / c("entry") * 100).drop("_next", "next_idx", "stop_idx")
+
+
+def retest_entries(zones: DataFrame, bars: DataFrame, away: int = 3, within: int = 200, keys: list[str] = KEY) -> DataFrame:
+    """The first touch of a zone at least ``away`` bars after its start and at most ``within``: the entry is at the zone's near edge, in that bar."""
+    z = zones.withColumn("_from", c("from_idx") + away)
+    bull, bear = z.where("side = 'bullish'"), z.where("side = 'bearish'")
+    hit = first_hit(bull, bars, keys, "_from", "hi", "l", False, "zone_id", within - away).unionByName(first_hit(bear, bars, keys, "_from", "lo", "h", True, "zone_id", within - away))
+    return z.join(hit.withColumnRenamed("hit_idx", "entry_idx"), "zone_id").withColumn("entry", F.when(c("side") == "bullish", c("hi")).otherwise(c("lo"))).drop("_from")
+
+
+def level_reactions(levels: DataFrame, bars: DataFrame, band: str, most: int = 200, keys: list[str] = KEY) -> DataFrame:
+    """Levels (level_id, level, from_idx) met from below: at the first high above each, whether the price then goes a ``band`` beyond it or back below it first."""
+    met = kept(levels.join(first_hit(levels, bars, keys, "from_idx", "level", "h", True, "level_id"), "level_id"))
+    met = met.withColumns({"_from": c("hit_idx") + 1, "_up": c("level") + c(band), "_down": c("level") - c(band)})
+    up = first_hit(met, bars, keys, "_from", "_up", "h", True, "level_id", most).withColumnRenamed("hit_idx", "up_idx")
+    down = first_hit(met, bars, keys, "_from", "_down", "l", False, "level_id", most).withColumnRenamed("hit_idx", "down_idx")
+    out = met.join(up, "level_id", "left").join(down, "level_id", "left")
+    kind = F.when(c("up_idx").isNull() & c("down_idx").isNull(), "neither").when(c("down_idx").isNull() | (c("up_idx") < c("down_idx")), "continuation").when(c("up_idx").isNull() | (c("down_idx") < c("up_idx")), "reversal").otherwise("both")
+    return out.withColumn("reaction", kind).drop("_from", "_up", "_down")

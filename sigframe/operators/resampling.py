@@ -172,3 +172,28 @@ def within_strata(df: DataFrame, count: str, stratum: str, good: Column, by: lis
     cut = quantile_cuts(df, count, [0.5], by)
     rows = df.join(cut, by).withColumn("high", c(count) > c("cuts")[0])
     return rows.groupBy(*by, stratum, "high").agg(F.count("*").alias("n"), F.avg(F.when(good, 1.0).otherwise(0.0)).alias("rate"))
+
+
+def random_level_sweeps(bars: DataFrame, draws: int, horizon: int, offset: float, by: list[str], seed: int = 42) -> DataFrame:
+    """The null of sweeps: levels above random bars, and within how many bars the highs pass each: (by, draw, bar_idx, level, hit_idx).
+
+    Draw j takes its bar from the generator's value 2 j + 1 and its height above that bar's close, up to ``offset`` ATR, from 2 j + 2.
+    """
+    from ..sources.tables import kept
+    from .joins import first_hit
+
+    sizes = bars.groupBy(*by).agg(F.count("*").alias("_n"))
+    values = sizes.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2 * draws).cast("long")))).withColumn("_u", draw(c("_k"), seed))
+    values = values.groupBy(*by, "_n", F.floor((c("_k") - 1) / 2).alias("draw"))
+    rows = kept(values.agg(F.max(F.when(c("_k") % 2 == 1, c("_u"))).alias("_at"), F.max(F.when(c("_k") % 2 == 0, c("_u"))).alias("_up")))
+    rows = rows.withColumn("bar_idx", F.floor(c("_at") * c("_n"))).join(bars.select(*by, "bar_idx", "c", "atr"), [*by, "bar_idx"]).where("atr IS NOT NULL")
+    rows = kept(rows.withColumns({"level": c("c") + c("_up") * offset * c("atr"), "level_id": F.xxhash64(*by, "draw"), "_from": c("bar_idx") + 1}))
+    hit = first_hit(rows.select("level_id", *by, "_from", "level"), bars, by, "_from", "level", "h", True, "level_id", horizon - 1)
+    return rows.join(hit, "level_id", "left").select(*by, "draw", "bar_idx", "level", "hit_idx")
+
+
+def cluster_t(clusters: DataFrame, mean: str, null: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """t of the clusters' means against zero, and the share of a null's values below the mean of them all."""
+    own = one_sample(clusters, mean, by).select(*by, "m", "t", "n")
+    below = null.join(own.select(*by, c("m").alias("_m")), by).groupBy(*by).agg((F.avg(F.when(c(value) < c("_m"), 1.0).otherwise(0.0)) * 100).alias("percentile"))
+    return own.join(below, by, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import KEY, surrogate
+from ..sources.tables import kept
 from .joins import first_hit
 
 c = F.col
@@ -144,7 +145,7 @@ def balanced_ranges(gaps: DataFrame, keys: list[str] = KEY) -> DataFrame:
     other = {s: F.last(F.when(c("side") == s, F.struct("bottom", "top", "created_idx")), True).over(w) for s in ("bullish", "bearish")}
     rows = gaps.withColumn("_o", F.when(c("side") == "bullish", other["bearish"]).otherwise(other["bullish"]))
     low, high = F.greatest(c("bottom"), c("_o.bottom")), F.least(c("top"), c("_o.top"))
-    return rows.select(*keys, "side", "created_idx", c("_o.created_idx").alias("other_idx"), low.alias("low"), high.alias("high")).where("low < high")
+    return rows.select(*keys, "side", "created_idx", c("_o.created_idx").alias("other_idx"), low.alias("low"), high.alias("high")).where("other_idx IS NOT NULL AND low < high")
 
 
 def failed_breaks(broken: DataFrame, bars: DataFrame, within: int, keys: list[str] = KEY) -> DataFrame:
@@ -242,3 +243,58 @@ def sight_divergences(df: DataFrame, oscillators: list[str], left: int = 5, reac
 def badges(found: DataFrame, least: int = 3, keys: list[str] = KEY) -> DataFrame:
     """Bars and sides on which at least so many oscillators diverge."""
     return found.groupBy(*keys, "bar_idx", "side").agg(F.countDistinct("oscillator").alias("n")).where(c("n") >= least)
+
+
+def level_breaks(bars: DataFrame, level: str, level_id: str, below: bool, trigger: str = "c", keys: list[str] = KEY) -> DataFrame:
+    """The first bar at which the trigger passes each level that stands (columns ``level`` and ``level_id``, carried forward): (keys, bar_idx, level, level_id)."""
+    w = Window.partitionBy(*keys).orderBy("bar_idx")
+    now, before = c(trigger), F.lag(trigger).over(w)
+    crossed = (now < c(level)) & (before >= c(level)) if below else (now > c(level)) & (before <= c(level))
+    rows = bars.withColumn("_x", crossed).where("_x")
+    first = F.row_number().over(Window.partitionBy(*keys, level_id).orderBy("bar_idx"))
+    return rows.withColumn("_k", first).where("_k = 1").select(*keys, "bar_idx", c(level).alias("level"), c(level_id).alias("level_id"))
+
+
+def pivot_low_breaks(bars: DataFrame, left: int, right: int, keys: list[str] = KEY) -> DataFrame:
+    """Closes below the last confirmed pivot low, one for each pivot."""
+    w = Window.partitionBy(*keys).orderBy("bar_idx")
+    whole = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = bars.withColumn("_p", pivot("l", left, right, w, False))
+    rows = rows.withColumns({"_level": F.last("_p", True).over(whole), "_id": F.last(F.when(c("_p").isNotNull(), c("bar_idx")), True).over(whole)})
+    return level_breaks(rows, "_level", "_id", True, keys=keys)
+
+
+def zigzag(pivots: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Pivots (bar_idx, kind, price) by runs of one kind, each with the extreme of its run so far: (keys, bar_idx, kind, run, level). Of equal bars the low comes first."""
+    w = Window.partitionBy(*keys).orderBy("bar_idx", F.col("kind") == "high")
+    rows = pivots.withColumn("_new", F.when(F.lag("kind").over(w) == c("kind"), 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sofar = Window.partitionBy(*keys, "run").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    level = F.when(c("kind") == "high", F.max("price").over(sofar)).otherwise(F.min("price").over(sofar))
+    return rows.select(*keys, "bar_idx", "kind", "run", level.alias("level"))
+
+
+def structure_shifts(bars: DataFrame, points: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Closes beyond the last zigzag level of a side that turn the direction: the last such close was of the other side."""
+    at = points.groupBy(*keys, "bar_idx").agg(*[F.max(F.when(c("kind") == k, c("level"))).alias(f"_{k}") for k in ("high", "low")])
+    rows = bars.join(at, [*keys, "bar_idx"], "left")
+    whole = Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    found = None
+    for k, side in (("high", "bullish"), ("low", "bearish")):
+        carried = rows.withColumns({"_level": F.last(f"_{k}", True).over(whole), "_id": F.last(F.when(c(f"_{k}").isNotNull(), c("bar_idx")), True).over(whole)})
+        one = level_breaks(carried, "_level", "_id", k == "low", keys=keys).select(*keys, "bar_idx", "level", F.lit(side).alias("side"))
+        found = one if found is None else found.unionByName(one)
+    before = F.lag("side").over(Window.partitionBy(*keys).orderBy("bar_idx", "side"))
+    return found.withColumn("_before", before).where("_before IS NULL OR _before <> side").drop("_before")
+
+
+def breaker_blocks(broken: DataFrame, bars: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Order blocks of bodies: the opposite extreme since the swing; ``breaker_idx``, the first close beyond its far edge, and ``removed_idx``, the first close back through the other one."""
+    bodies = bars.withColumns({"h": F.greatest("o", "c"), "l": F.least("o", "c")})
+    blocks = kept(order_blocks(broken, bodies, keys=keys).withColumn("_from", c("created_idx") + 1))
+    bull, bear = blocks.where("side = 'bullish'"), blocks.where("side = 'bearish'")
+    broke = first_hit(bull, bars, keys, "_from", "bar_low", "c", False, "block_id").unionByName(first_hit(bear, bars, keys, "_from", "bar_high", "c", True, "block_id")).withColumnRenamed("hit_idx", "breaker_idx")
+    turned = kept(blocks.join(broke, "block_id", "left"))
+    bull, bear = turned.where("side = 'bullish' AND breaker_idx IS NOT NULL"), turned.where("side = 'bearish' AND breaker_idx IS NOT NULL")
+    back = first_hit(bull, bars, keys, "breaker_idx", "bar_high", "c", True, "block_id").unionByName(first_hit(bear, bars, keys, "breaker_idx", "bar_low", "c", False, "block_id")).withColumnRenamed("hit_idx", "removed_idx")
+    return turned.join(back, "block_id", "left").drop("_from")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEY
+from ..sources.tables import kept
 from .joins import first_hit, in_intervals
 
 c = F.col
@@ -71,7 +72,7 @@ def sweeps(levels: DataFrame, bars: DataFrame, within: int = 10, keys: list[str]
     """Levels (level_id, side EQH or EQL, level, from_idx) with the bar that takes them and the close that comes back within so many bars."""
     high, low = levels.where("side = 'EQH'"), levels.where("side = 'EQL'")
     taken = first_hit(high, bars, keys, "from_idx", "level", "h", True, "level_id").unionByName(first_hit(low, bars, keys, "from_idx", "level", "l", False, "level_id")).withColumnRenamed("hit_idx", "sweep_idx")
-    swept = levels.join(taken, "level_id", "left").cache()  # the joins below read it several times
+    swept = kept(levels.join(taken, "level_id", "left"))  # the joins below read it several times
     back = first_hit(swept.where("side = 'EQH'"), bars, keys, "sweep_idx", "level", "c", False, "level_id", within).unionByName(first_hit(swept.where("side = 'EQL'"), bars, keys, "sweep_idx", "level", "c", True, "level_id", within)).withColumnRenamed("hit_idx", "reversal_idx")
     out = swept.join(back, "level_id", "left")
     status = F.when(c("sweep_idx").isNull(), "untouched").when(c("reversal_idx").isNull(), "swept").otherwise("swept_reversed")
@@ -152,3 +153,24 @@ def projected_crossings(lines: DataFrame, bars: DataFrame, value: str, reach: in
     y = lambda i: c("y0") + c("slope") * (i - c("x0"))
     crossed = (F.signum(c("_v") - y(c("bar_idx"))) * F.signum(c("_u") - y(c("bar_idx") - 1))) < 0
     return pairs.where(crossed).withColumn("n", F.row_number().over(Window.partitionBy("line_id").orderBy("bar_idx"))).select(*keys, "line_id", "bar_idx", "n")
+
+
+def rejections(zones: DataFrame, bars: DataFrame, strict: bool = True, keys: list[str] = KEY) -> DataFrame:
+    """Bars whose high goes through the top of a zone that stands (lo, hi, from_idx, to_idx) and whose close is back below its bottom (strict) or its top: (zone_id, keys, bar_idx)."""
+    inside = in_intervals(bars.select(*keys, "bar_idx", "h", "c"), zones.select("zone_id", *keys, "lo", "hi", "from_idx", "to_idx"), keys, "bar_idx", "from_idx", "to_idx", 256)
+    back = c("c") < (c("lo") if strict else c("hi"))
+    return inside.where((c("h") > c("hi")) & back).select("zone_id", *keys, "bar_idx")
+
+
+#: Bounds of the buckets of a distance in ATR.
+DISTANCES = [1.0, 3.0]
+
+
+def nearest_pool(events: DataFrame, pools: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Events (event_id, side, bar_idx, price, atr) with the distance, in ATR, to the nearest pool (level, from_idx, to_idx) that stands in the event's direction, and its bucket."""
+    pair = in_intervals(events, pools.select(*keys, "level", "from_idx", "to_idx"), keys, "bar_idx", "from_idx", "to_idx", 256)
+    ahead = F.when(c("side") == "bullish", c("level") - c("price")).otherwise(c("price") - c("level"))
+    near = pair.withColumn("_d", ahead).where("_d > 0").groupBy("event_id").agg(F.min("_d").alias("_d"))
+    out = events.join(near, "event_id", "left").withColumn("distance", F.try_divide(c("_d"), c("atr"))).drop("_d")
+    bucket = F.when(c("distance").isNull(), "none").when(c("distance") < DISTANCES[0], "near").when(c("distance") < DISTANCES[1], "middle").otherwise("far")
+    return out.withColumn("bucket", bucket)

@@ -101,7 +101,7 @@ def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of three timeframes as events with a side and a price."""
     b = B.rollup(B.from_ticks(S.ticks(spark, sf_dir)), ["4h", "1d", "1w"]).where("c <> o AND c > 0")
     seconds = F.create_map(*[x for n, s in SECONDS.items() for x in (F.lit(n), F.lit(s))])
-    return b.select(F.xxhash64(*KEY, "t").alias("event_id"), *KEY, "t", (c("t") + seconds[c("timeframe")]).alias("known_at"), c("c").alias("price"), F.when(c("c") > c("o"), "bullish").otherwise("bearish").alias("side")).cache()
+    return S.kept(b.select(F.xxhash64(*KEY, "t").alias("event_id"), *KEY, "t", (c("t") + seconds[c("timeframe")]).alias("known_at"), c("c").alias("price"), F.when(c("c") > c("o"), "bullish").otherwise("bearish").alias("side")))
 
 
 @register(f"""WITH {_SIDED} SELECT a.instrument, a.t, CAST(count(DISTINCT b.timeframe) AS BIGINT) AS depth FROM e a LEFT JOIN e b ON b.instrument = a.instrument AND b.side = a.side AND b.s > a.s AND b.t <= a.t AND b.t >= a.t - 10 * b.s AND abs(b.c / a.c - 1) <= 0.02 WHERE a.timeframe = '4h' GROUP BY 1, 2""")
@@ -150,13 +150,13 @@ def q_matched_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {_BLOCKS}, z AS (SELECT ob.*, (SELECT min(b.bar_idx) FROM bars b WHERE b.instrument = ob.instrument AND b.bar_idx >= created_idx AND CASE WHEN ob.side = 'bullish' THEN b.l < bar_low ELSE b.h > bar_high END) AS m FROM ob WHERE bar_low > 0),
-p AS (SELECT b.instrument, b.bar_idx, created_idx, CASE WHEN m <= b.bar_idx THEN CASE z.side WHEN 'bullish' THEN 'bearish' ELSE 'bullish' END ELSE z.side END AS polarity, CASE WHEN bar_low > b.c THEN bar_low - b.c WHEN bar_high < b.c THEN bar_high - b.c ELSE 0 END / b.c AS distance FROM bars b JOIN z ON z.instrument = b.instrument AND created_idx <= b.bar_idx WHERE b.bar_idx % 24 = 0 AND b.c > 0)
+p AS (SELECT b.instrument, b.bar_idx, created_idx, CASE WHEN m <= b.bar_idx THEN CASE z.side WHEN 'bullish' THEN 'bearish' ELSE 'bullish' END ELSE z.side END AS polarity, CASE WHEN bar_low > b.c THEN bar_low - b.c WHEN bar_high < b.c THEN bar_high - b.c ELSE 0 END / b.c AS distance FROM bars b JOIN z ON z.instrument = b.instrument AND created_idx <= b.bar_idx WHERE b.c > 0)
 SELECT instrument, bar_idx, created_idx, polarity, round(distance, 6) AS distance FROM p WHERE abs(distance) <= 0.01""")
 def z_levels_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels known at an instant and near its price, ended ones with their side turned."""
     z, b = blocks(spark, sf_dir)
     levels = z.where("lo > 0").select(*KEY, "lo", "hi", "side", c("from_idx").alias("known_at"), c("to_idx").alias("ended_at"))
-    at = b.where("bar_idx % 24 = 0 AND c > 0").select(*KEY, c("bar_idx").alias("at"), c("c").alias("price"))
+    at = b.where("c > 0").select(*KEY, c("bar_idx").alias("at"), c("c").alias("price"))
     return rounded(Z.levels_near(levels, at, 0.01, KEY).select("instrument", c("at").alias("bar_idx"), c("known_at").alias("created_idx"), "polarity", "distance"))
 
 

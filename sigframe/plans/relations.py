@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,9 +35,10 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Order blocks as zones, and the bars. What first-hit joins read several times is kept, so plans stay small."""
     b = hourly(spark, sf_dir)
-    ob = P.order_blocks(P.breaks(P.swings(b, 5, "swing"), "swing"), b).cache()
+    ob = S.kept(P.order_blocks(P.breaks(P.swings(b, 5, "swing"), "swing"), b))
     ob = P.mitigated(ob, b)
-    return ob.select(c("block_id").alias("zone_id"), *KEY, "side", c("bar_low").alias("lo"), c("bar_high").alias("hi"), c("created_idx").alias("from_idx"), c("mitigated_idx").alias("to_idx")).cache(), b
+    zones = ob.select(c("block_id").alias("zone_id"), *KEY, "side", c("bar_low").alias("lo"), c("bar_high").alias("hi"), c("created_idx").alias("from_idx"), c("mitigated_idx").alias("to_idx"))
+    return S.kept(zones), b
 
 
 @register(f"""WITH {_DAYS} SELECT b.instrument, b.t, max(d.t) AS day, round(arg_max(d.c, d.t), 6) AS day_close FROM bars b LEFT JOIN days d ON d.instrument = b.instrument AND d.t + 86400 <= b.t + 3600 GROUP BY 1, 2""")
@@ -48,13 +49,12 @@ def j_asof_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.select("instrument", "t", (c("1d_known_at") - 86400).alias("day"), c("1d_c").alias("day_close")))
 
 
-@register(f"""WITH {_SWING} SELECT b.instrument, b.bar_idx, max(CASE WHEN k.bar_idx <= b.bar_idx THEN k.bar_idx END) AS before_idx, min(CASE WHEN k.bar_idx > b.bar_idx THEN k.bar_idx END) AS after_idx FROM bars b LEFT JOIN (SELECT DISTINCT instrument, bar_idx FROM brk) k ON k.instrument = b.instrument WHERE b.bar_idx % 7 = 0 GROUP BY 1, 2""")
+@register(f"""WITH {_SWING} SELECT b.instrument, b.bar_idx, max(CASE WHEN k.bar_idx <= b.bar_idx THEN k.bar_idx END) AS before_idx, min(CASE WHEN k.bar_idx > b.bar_idx THEN k.bar_idx END) AS after_idx FROM bars b LEFT JOIN (SELECT DISTINCT instrument, bar_idx FROM brk) k ON k.instrument = b.instrument GROUP BY 1, 2""")
 def j_asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last break at or before a bar, the first one after it, by spans of the key."""
     b = hourly(spark, sf_dir)
     k = P.breaks(P.swings(b, 5, "swing"), "swing").select("instrument", c("bar_idx").alias("k"), c("bar_idx").alias("v"))
-    spine = b.where("bar_idx % 7 = 0").select("instrument", "bar_idx")
-    before = J.asof(spine, k, ["instrument"], "bar_idx", "k", ["v"], span=128).select("instrument", "bar_idx", c("v_asof").alias("before_idx"))
+    before = J.asof(b.select("instrument", "bar_idx"), k, ["instrument"], "bar_idx", "k", ["v"], span=128).select("instrument", "bar_idx", c("v_asof").alias("before_idx"))
     return J.asof(before, k, ["instrument"], "bar_idx", "k", ["v"], "forward", True, 128).select("instrument", "bar_idx", "before_idx", c("v_asof").alias("after_idx"))
 
 
@@ -95,8 +95,8 @@ FROM ob a LEFT JOIN ob b ON a.instrument = b.instrument AND a.side = b.side AND
 def j_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zones that share a price within 50 bars, how many, which holds which, and the first of them."""
     z, _ = blocks(spark, sf_dir)
-    z = z.withColumn("to_idx", c("from_idx") + 50).cache()
-    pairs = J.overlaps(z, [*KEY, "side"], "zone_id", "lo", "hi", "from_idx", "to_idx", 128).cache()
+    z = S.kept(z.withColumn("to_idx", c("from_idx") + 50))
+    pairs = S.kept(J.overlaps(z, [*KEY, "side"], "zone_id", "lo", "hi", "from_idx", "to_idx", 128))
     out = z.join(C.recurrence(z, pairs), "zone_id").join(J.containment(z, pairs, "zone_id", "lo", "hi"), "zone_id").join(J.originator(z, pairs, "zone_id", "from_idx"), "zone_id")
     first = z.select(c("zone_id").alias("origin"), c("from_idx").alias("first_idx"))
     return out.join(first, "origin").select("instrument", "side", c("from_idx").alias("created_idx"), "recurrence", "first_idx", "relation")
@@ -131,7 +131,7 @@ def z_near_and_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
     z, b = blocks(spark, sf_dir)
     touches = Z.interactions(z, b)
     lives = Z.lives(touches, z).join(z, "zone_id")
-    b = recursive.atr(b, 14).cache()
+    b = S.kept(recursive.atr(b, 14))
     lines = z.select(*KEY, c("zone_id").alias("line_id"), c("from_idx").alias("x0"), c("lo").alias("y0"), F.lit(0.01).alias("slope"))
     parts = {"near_misses": Z.near_misses(z, b, 0.05), "prolonged": lives.where("expires_idx > from_idx + 200"), "inside": Z.nearest_state(z, b, "atr").where("gap_state = 'inside'"), "crossings": Z.projected_crossings(lines, b, "c", 50)}
     out = None
@@ -145,8 +145,8 @@ def trades(spark: SparkSession, sf_dir: str, on_timeout: str = "close") -> tuple
     """Breaks entered at the next open, with a stop at the bar's far end."""
     b = hourly(spark, sf_dir)
     k = P.breaks(P.swings(b, 5, "swing"), "swing").withColumn("event_id", F.xxhash64("instrument", "side", "bar_idx")).select("event_id", *KEY, "bar_idx", "side")
-    e = O.entries(k, b).join(b.select(*KEY, "bar_idx", "h", "l"), [*KEY, "bar_idx"]).withColumn("stop", F.when(c("side") == "bullish", c("l") - 5).otherwise(c("h") + 5)).drop("h", "l").cache()
-    return O.barriers(e, b, 1.0, 50, on_timeout).cache(), b
+    e = O.entries(k, b).join(b.select(*KEY, "bar_idx", "h", "l"), [*KEY, "bar_idx"]).withColumn("stop", F.when(c("side") == "bullish", c("l") - 5).otherwise(c("h") + 5)).drop("h", "l")
+    return S.kept(O.barriers(S.kept(e), b, 1.0, 50, on_timeout)), b
 
 
 _TRADES = f"""{_SWING}, e AS (SELECT k.instrument, k.side, k.bar_idx, n.bar_idx AS ei, n.o AS entry, CASE WHEN k.side = 'bullish' THEN b.l - 5 ELSE b.h + 5 END AS stop, CASE WHEN k.side = 'bullish' THEN 1 ELSE -1 END AS s FROM brk k JOIN bars b ON b.instrument = k.instrument AND b.bar_idx = k.bar_idx JOIN bars n ON n.instrument = k.instrument AND n.bar_idx = k.bar_idx + 1),
@@ -255,8 +255,8 @@ def q_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l_exits_and_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excursions, slippage, costs by scenario, flips and settled trades, as means."""
     t, b = trades(spark, sf_dir)
-    b = recursive.atr(b, 14).cache()
-    t = t.join(b.select(*KEY, "bar_idx", "atr"), [*KEY, "bar_idx"]).cache()
+    b = S.kept(recursive.atr(b, 14))
+    t = t.join(b.select(*KEY, "bar_idx", "atr"), [*KEY, "bar_idx"])
     slipped = O.slipped(t, 0.1, 0.05, 0.02).withColumn("hours", c("bars_held").cast("double"))
     costs = J.grid(slipped, "taker", [0.0, 0.05, 0.1]).withColumn("net", c("pnl_pct") - 2 * c("taker") - c("hours") / 8 * 0.01)
     flips = E.flips(b.withColumn("dir", F.signum(c("c") - c("o"))), "dir").withColumn("side", F.when(c("dir") > 0, "bullish").otherwise("bearish"))
@@ -286,11 +286,23 @@ def f_supertrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(folds.supertrend(hourly(spark, sf_dir)).where("direction IS NOT NULL").select("instrument", "bar_idx", "direction", "line", "regime"))
 
 
-@register()
+_HP = 0.707 * 2 * math.pi / 48
+_ALPHA = (math.cos(_HP) + math.sin(_HP) - 1) / math.cos(_HP)
+_HK = (1 - _ALPHA / 2) ** 2
+_SA, _ST = math.exp(-math.sqrt(2) * math.pi / 10), math.sqrt(2) * math.pi / 10
+_SK = (1 - 2 * _SA * math.cos(_ST) + _SA * _SA) / 2
+
+
+@register(f"""WITH RECURSIVE {BARS}, x AS (SELECT instrument, bar_idx, c, coalesce(lag(c) OVER {W}, 0) AS c1, coalesce(lag(c, 2) OVER {W}, 0) AS c2 FROM bars),
+r AS (SELECT instrument, bar_idx, {_HK!r}::DOUBLE * c AS hp, 0.0::DOUBLE AS hp1, {_SK!r}::DOUBLE * {_HK!r}::DOUBLE * c AS s, 0.0::DOUBLE AS s1, greatest(abs({_SK!r}::DOUBLE * {_HK!r}::DOUBLE * c), 0) AS peak FROM x WHERE bar_idx = 0
+UNION ALL SELECT q.instrument, q.bar_idx, q.hp, q.hp1, q.s, q.s1, greatest(0.991::DOUBLE * q.peak, abs(q.s)) FROM (SELECT p.instrument, p.bar_idx, p.hp, p.hp1, {2 * _SA * math.cos(_ST)!r}::DOUBLE * p.s0 - {_SA * _SA!r}::DOUBLE * p.s1 + {_SK!r}::DOUBLE * (p.hp + p.hp1) AS s, p.s0 AS s1, p.peak
+ FROM (SELECT x.instrument, x.bar_idx, {2 * (1 - _ALPHA)!r}::DOUBLE * r.hp - {(1 - _ALPHA) ** 2!r}::DOUBLE * r.hp1 + {_HK!r}::DOUBLE * (x.c - 2 * x.c1 + x.c2) AS hp, r.hp AS hp1, r.s AS s0, r.s1, r.peak FROM r JOIN x ON x.instrument = r.instrument AND x.bar_idx = r.bar_idx + 1) p) q)
+SELECT instrument, bar_idx, round(hp + 1e-9, 4) AS hp, round(s + 1e-9, 4) AS smooth, round(peak + 1e-9, 4) AS peak FROM r""")
 def f_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """High pass, smoother and decaying peak of the close."""
-    b = folds.super_smoother(folds.high_pass(hourly(spark, sf_dir), "c", 48, "hp"), "hp", 10, "smooth")
-    return rounded(b.withColumn("peak", recursive.peak("smooth", 0.991)).select("instrument", "bar_idx", "hp", "smooth", "peak"), places=5)
+    """High pass, smoother and decaying peak of the close, by affine scans."""
+    b = recursive.super_smoother(recursive.high_pass(hourly(spark, sf_dir), "c", 48, "hp"), "hp", 10, "smooth")
+    b = b.withColumn("peak", recursive.peak("smooth", 0.991))
+    return rounded(b.withColumns({k: c(k) + 1e-9 for k in ("hp", "smooth", "peak")}), "instrument", "bar_idx", "hp", "smooth", "peak", places=4)
 
 
 @register()
@@ -321,33 +333,3 @@ def f_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     flips = E.flips(ladder.withColumn("dir", F.signum(c("c") - c("o"))).where("dir <> 0"), "dir").select("instrument", F.when(c("dir") > 0, "up").otherwise("down").alias("direction"), c("timeframe").alias("rung"), "t")
     keys = ["instrument", "direction"]
     return folds.fold(folds.last_marked(flips, keys, ["t", "rung"]), folds.clusters({n: 2 * s for n, s in SECONDS.items()}), folds.CLUSTER, keys, ("t", "rung"))
-
-
-def _replayed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """The ticks as files in time order and a folder for checkpoints, where the cluster shares them."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base}/replay-{spark.sql('SELECT uuid()').first()[0]}"
-    ticks = S.ticks(spark, sf_dir)
-    end = ticks.groupBy("instrument").agg((F.max("ts") + 40 * 86400).alias("ts"), F.lit(1 << 60).alias("seq"), F.lit(0.0).alias("price"), F.lit(0.0).alias("volume"))
-    both = ticks.unionByName(end).withColumn("ts", F.timestamp_seconds("ts"))
-    both.repartitionByRange(4, "ts").write.parquet(f"{path}/ticks")
-    return f"{path}/ticks", f"{path}/checkpoint"
-
-
-@register(f"WITH {BARS} SELECT instrument, t, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, round(v, 6) AS v FROM bars")
-def m_bar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of a replayed tick stream, once each can change no more; a last far tick closes them all."""
-    path, at = _replayed(spark, sf_dir)
-    bars = M.bar_stream(M.tick_stream(spark, path, files_per_trigger=100), "1h", "30 days").where("v IS NOT NULL")
-    name = f"bars_{abs(hash(at))}"
-    return rounded(M.replay(bars, name, "append", at).where("NOT (o = 0 AND h = 0 AND l = 0 AND c = 0 AND v = 0)"), "instrument", "t", *"ohlcv")
-
-
-@register()
-def m_stepped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A state machine over a stream, with the same step as in batch."""
-    path, at = _replayed(spark, sf_dir)
-    ticks = M.tick_stream(spark, path, files_per_trigger=100).where("seq < 1000000000000").select("instrument", F.unix_timestamp("ts").alias("t"), "seq", c("price").alias("c"))
-    bounds = {k: (40.0, 60.0) for k in ("click", "view", "purchase", "error", "signup", "login", "logout")}
-    stream = M.stepped(ticks, M.zone_lifecycle(bounds), "t long, status string", ["instrument"], "seq")
-    return M.replay(stream, f"steps_{abs(hash(at))}", "append", at)

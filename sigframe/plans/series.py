@@ -31,8 +31,8 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars, kept: most queries read them several times. A lost part is built again from the ticks."""
-    return B.indexed(B.from_ticks(S.ticks(spark, sf_dir), "1h")).cache()
+    """Hourly bars, kept: most queries read them several times."""
+    return S.kept(B.indexed(B.from_ticks(S.ticks(spark, sf_dir), "1h")))
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -134,11 +134,12 @@ def s_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.seam(b, b, cut, "instrument", 3600).join(n, "instrument"), "instrument", "last_close", "first_open", "gap", "old_coverage", "new_coverage", "spliced")
 
 
-@register(f"""WITH {BARS}, m AS (SELECT instrument, max(t) AS e FROM bars WHERE bar_idx % 3 = 0 AND bar_idx < 300 GROUP BY 1) SELECT b.instrument, count(*) AS candle_count, min(t) AS range_start, max(t) AS range_end FROM bars b LEFT JOIN m USING (instrument) WHERE e IS NULL OR t > e GROUP BY 1""")
+@register(f"""WITH {BARS}, m AS (SELECT instrument, max(t) AS e FROM bars WHERE bar_idx < (SELECT max(bar_idx) FROM bars z WHERE z.instrument = bars.instrument) // 2 GROUP BY 1) SELECT b.instrument, count(*) AS candle_count, min(t) AS range_start, max(t) AS range_end FROM bars b LEFT JOIN m USING (instrument) WHERE e IS NULL OR t > e GROUP BY 1""")
 def s_gap_fill_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows after what is stored, each once, and a row for the run."""
     b = hourly(spark, sf_dir)
-    stored = b.where("bar_idx % 3 = 0 AND bar_idx < 300")
+    half = b.groupBy("instrument").agg(F.floor(F.max("bar_idx") / 2).alias("half"))
+    stored = b.join(half, "instrument").where("bar_idx < half").select(b.columns)
     fresh = S.gap_fill(stored, b.unionByName(b), ["instrument"])
     return S.runs(S.insert_new(stored, fresh, ["instrument", "t"]), ["instrument"])
 
@@ -358,7 +359,7 @@ ob AS (SELECT instrument, side, bar_idx AS created_idx, oi AS origin_idx, l AS b
 def p_order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extreme bar behind each break, and the first bar beyond its far edge."""
     b = hourly(spark, sf_dir)
-    ob = P.order_blocks(P.breaks(P.swings(b, 5, "swing"), "swing"), b).cache()  # read several times
+    ob = S.kept(P.order_blocks(P.breaks(P.swings(b, 5, "swing"), "swing"), b))
     return rounded(P.mitigated(ob, b), "instrument", "side", "created_idx", "origin_idx", "bar_low", "bar_high", "mitigated_idx")
 
 
@@ -375,11 +376,11 @@ def p_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def p_other_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal levels, threshold gaps, balanced ranges, reclaimed breaks, near pivots, retracements, as counts by kind."""
-    b = recursive.atr(hourly(spark, sf_dir), 14).cache()
+    b = S.kept(recursive.atr(hourly(spark, sf_dir), 14))
     w = windows.series()
     piv = b.withColumns({"hi": P.pivot("h", 3, 3, w), "lo": P.pivot("l", 3, 3, w, False)})
     pivots = piv.select(*KEY, "bar_idx", "atr", F.explode(F.array_compact(F.array(F.when(c("hi").isNotNull(), F.struct(F.lit("high").alias("kind"), c("hi").alias("price"))), F.when(c("lo").isNotNull(), F.struct(F.lit("low").alias("kind"), c("lo").alias("price")))))).alias("p")).select(*KEY, "bar_idx", "atr", "p.*")
-    broken = P.breaks(P.swings(b, 5, "swing"), "swing").cache()
+    broken = S.kept(P.breaks(P.swings(b, 5, "swing"), "swing"))
     parts = {
         "equal_levels": P.equal_levels(pivots, "atr"), "threshold_gaps": P.threshold_gaps(b), "balanced_ranges": P.balanced_ranges(P.fair_value_gaps(b)), "reclaimed": P.failed_breaks(broken, b, 12).where("reclaim_idx IS NOT NULL"),
         "clustered": P.near_earlier(pivots.withColumn("band", c("atr") / 2), "band").where("label = 'clustered'"), "retracements": P.retracements(pivots.select(*KEY, "bar_idx", "price")),

@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import epoch
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors all see; a temporary one only where nothing is set, on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            base = known.get()
+        else:
+            base = tempfile.mkdtemp(prefix="spark-")
+            spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/sigframe-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: its plan ends there, and what reads it several times does not build it again."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks of the ``events`` table: (instrument, ts, seq, price, volume)."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import Step
 from ..schema import OFFSET, SECONDS
+from ..sources.tables import kept, replace_partitions
 
 TICK = T.StructType([T.StructField("instrument", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("volume", T.DoubleType())])
 
@@ -76,11 +77,14 @@ def stepped(stream: DataFrame, step: Step, schema: str, keys: list[str], order:
     return stream.groupBy(*keys).applyInPandasWithState(work, out_schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def zone_lifecycle(bounds: dict[str, tuple[float, float]]) -> Step:
-    """Watching, testing, held or broken, by the close of each bar against a zone of its instrument; a row for each change."""
+def zone_lifecycle(bounds: dict[str, tuple[float, float]], others: tuple[float, float] | None = None) -> Step:
+    """Watching, testing, held or broken, by the close of each bar against a zone of its instrument, or that of all others; a row for each change."""
 
     def step(state: dict, r: dict) -> list[dict]:
-        lo, hi = bounds[r["instrument"]]
+        zone = bounds.get(r["instrument"], others)
+        if zone is None:
+            return []
+        lo, hi = zone
         now = "testing" if lo <= r["c"] <= hi else "above" if r["c"] > hi else "below"
         before, side = state.get("at"), state.get("side")
         status = "watching" if before is None else "testing" if now == "testing" else ("held" if now == side else "broken") if before == "testing" else state["status"]
@@ -96,40 +100,55 @@ def join_closed(stream: DataFrame, closed: DataFrame, keys: list[str]) -> DataFr
     return stream.join(closed, keys, "left")
 
 
-def nearby_streams(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour") -> DataFrame:
-    """Pairs of events (key, ts, ...) of two streams at most ``within`` apart."""
+def nearby_streams(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour", values: list[str] | None = None) -> DataFrame:
+    """Pairs of events (key, ts, values) of two streams at most ``within`` apart."""
     a, b = left.withWatermark("ts", late).alias("a"), right.withWatermark("ts", late).alias("b")
     on = f"a.{key} = b.{key} AND b.ts BETWEEN a.ts - INTERVAL {within} AND a.ts + INTERVAL {within}"
-    return a.join(b, F.expr(on)).select(f"a.{key}", F.col("a.ts").alias("ts"), F.col("b.ts").alias("other_ts"))
+    own = [F.col(f"{side}.{v}").alias(prefix + v) for v in values or [] for side, prefix in (("a", ""), ("b", "other_"))]
+    return a.join(b, F.expr(on)).select(f"a.{key}", F.col("a.ts").alias("ts"), F.col("b.ts").alias("other_ts"), *own)
 
 
-def upsert(path: str, keys: list[str], rank: str) -> Callable[[DataFrame, int], None]:
+PARTS = 64
+
+
+def upsert(path: str, keys: list[str], rank: str, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: a table at ``path`` with one row for each key, that of the highest ``rank`` (open before resolved). A batch that comes twice changes nothing.
 
-    The table is written to a version of its own each time, so a failure leaves the last one whole.
+    The table is partitioned by a hash of the key; a batch rewrites the partitions that its keys fall in.
     """
 
     def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}").unionByName(batch)
-        rest = [c for c in rows.columns if c not in keys]
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(rank)).alias("_r")).select(*keys, "_r.*")
-        best.write.mode("overwrite").parquet(f"{path}/v{number}")
+        rows = batch.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        touched = [r[0] for r in rows.select("_part").distinct().collect()]  # at most ``parts`` numbers
+        if not touched:
+            return
+        old = stored_rows(batch.sparkSession, path, rows.schema)
+        both = rows if old is None else rows.unionByName(old.where(F.col("_part").isin(touched)))
+        rest = [c for c in batch.columns if c not in keys]
+        best = both.groupBy("_part", *keys).agg(F.max_by(F.struct(*rest), F.col(rank)).alias("_r")).select(*keys, "_r.*", "_part")
+        replace_partitions(kept(best), path, ["_part"])
 
     return work
 
 
 def repaired(path: str, keys: list[str], build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: rebuilds the partitions that late rows fall in, from what ``build`` makes of the batch."""
+    """For ``foreachBatch``: rebuilds the partitions that late rows fall in, from what ``build`` makes of the rows that they hold and the late ones."""
 
     def work(batch: DataFrame, number: int) -> None:
-        build(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        old = stored_rows(batch.sparkSession, path, batch.schema)
+        both = batch if old is None else batch.unionByName(old.join(batch.select(keys).distinct(), keys, "left_semi").select(batch.columns))
+        replace_partitions(kept(build(both)), path, keys)
 
     return work
 
 
+def stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """What a table holds; nothing if there is none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else None
+
+
 def latest_state(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key so far, for update or complete mode."""
     rest = [c for c in stream.columns if c not in keys]
@@ -142,8 +161,13 @@ def json_sink(stream: DataFrame, name: str, path: str, checkpoint: str):
     return stream.select(F.to_json(body).alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint)
 
 
-def replay(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there and gives its result as a table; the memory sink makes this one for tests and small tables."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def replay(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a stream over all that is there, in append mode, into a Parquet table below ``path``, and reads it."""
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Runs a stream over all that is there, batch by batch."""
+    stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
