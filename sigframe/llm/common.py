@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,111 +63,158 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: White space, and marks that some engines count as such, other than a space and a line end.
+OTHER_SPACE = "\\x{00}-\\x{09}\\x{0b}-\\x{1f}\\x{7f}-\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}\\x{3000}\\x{feff}"
+#: Texts that aren't cut into words: with other white space, or spaces and line ends not between two other characters.
+NOT_PLAIN = f"[{OTHER_SPACE}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$|^$"
+
+
 class PieceEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, each distinct word once.
 
     Such a BPE never merges across a single space or line end between two other characters, so
-    the text is cut there, pieces seen before come from a table, and the library encodes
-    the rest. Texts with any other white space go to the library whole. The table
-    takes ``max_pieces`` pieces; later ones are encoded again in each text.
+    the text is cut there, words seen before come from a table, and the library encodes
+    the rest. Texts with any other white space, and those with a special token's string, go to the library whole. The table
+    takes ``max_pieces`` words of up to ``WIDE`` characters; others are encoded again in each batch.
     """
 
-    LONG = 1 << 20
+    LONG, WIDE = 1 << 20, 200
 
     def __init__(self, path: str, max_pieces: int = PIECES) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.max_pieces = max_pieces
         size = self.tok.get_vocab_size()
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.newline = int(self._ids("\n")[0])
-        self.marks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.not_plain = "|".join([NOT_PLAIN, *special])
+        self.marks: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {"": 0}
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0  # ids of all words of the table
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)  # where a word's ids are
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _suffix(self, marks: str) -> bytes:
+    def _suffix(self, marks: str) -> np.ndarray:
         if marks not in self.marks:
-            self.marks[marks] = self._ids(marks).tobytes()
+            self.marks[marks] = self._ids(marks)
         return self.marks[marks]
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Words that begin a line have the line end before them, all others a space."""
-        out = {}
-        for first in (False, True):
-            some = [w for w in words if (w[:1] == "\n") == first]
+    def _learn(self, words: list[str]) -> None:
+        """Marks after a word's last letter are pieces of their own. Words that begin a line have the line end before them, all others a space."""
+        known, marked, lines, others = self.known, {}, {}, {}
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if len(stem) == len(w) or not stem or not stem[-1].isalnum():
+                stem = w
+            else:
+                marked.setdefault(w[len(stem) :], []).append((w, stem))
+            if stem not in known:
+                (lines if stem[0] == "\n" else others)[stem] = None
+        for some, first in ((lines, True), (others, False)):
             if some:
                 ids = self._ids("".join(some) if first else " " + " ".join(some))
                 at = np.flatnonzero(ids == self.newline if first else self.opens[ids])
-                raw = ids.tobytes()
-                ends = [*at[1:], len(ids)]
-                out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, at, ends, strict=True))
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        """Marks after a word's last letter are pieces of their own."""
-        cut = {}
-        for w in words:
-            stem = w.rstrip(MARKS)
-            cut[w] = stem if stem and stem[-1].isalnum() else w
-        stems = {x for x in cut.values() if x not in self.known}
-        self.known.update(self._encode_words(list(stems)))
-        known = self.known
-        known.update((w, known[x] + self._suffix(w[len(x) :])) for w, x in cut.items() if len(x) < len(w))
-
-    def _whole(self, text: str) -> bytes:
+                self._put(list(some), ids, np.diff(np.r_[at, len(ids)]))
+        for marks, pairs in marked.items():
+            stem, end = np.fromiter((known[x] for _, x in pairs), np.int64, len(pairs)), self._suffix(marks)
+            size = self.size[stem] + len(end)
+            close = np.cumsum(size)
+            ids = np.empty(int(close[-1]), "<u4")
+            inside = np.ones(len(ids), bool)
+            for k in range(len(end)):
+                ids[close - len(end) + k] = end[k]
+                inside[close - len(end) + k] = False
+            ids[inside] = _gather(self.pool, self.first[stem], self.size[stem])
+            self._put([w for w, _ in pairs], ids, size)
+
+    def _put(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        at = len(self.known)
+        self.pool = _room(self.pool, self.used, len(ids))
+        self.first, self.size = _room(self.first, at, len(words)), _room(self.size, at, len(words))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first[at : at + len(words)] = self.used + np.cumsum(size) - size
+        self.size[at : at + len(words)] = size
+        self.known.update(zip(words, range(at, at + len(words)), strict=True))
+        self.used += len(ids)
+
+    def _forget(self, before: int) -> None:
+        """Keeps the words met first: frequent ones come early. Of those from ``before`` on, none stays that is too wide."""
+        new = list(islice(self.known, before, None))
+        stay = next((k for k, w in enumerate(new) if before + k >= self.max_pieces or len(w) > self.WIDE), len(new))
+        for w in new[stay:]:
+            del self.known[w]
+        if stay < len(new):
+            self.used = int(self.first[before + stay])
+
+    def _whole(self, text: str) -> np.ndarray:
         out, at = [], 0
         while len(text) - at > self.LONG and (m := re.compile(r"(?<=\S) (?=\S)").search(text, at + self.LONG)):
-            out.append(self._ids(text[at : m.start()]).tobytes())
+            out.append(self._ids(text[at : m.start()]))
             at = m.start()
-        return b"".join([*out, self._ids(text[at:]).tobytes()])
-
-    @staticmethod
-    def plain(text: str) -> bool:
-        """Whether single spaces and line ends are its only white space, each between two other characters."""
-        if len(text) > PieceEncoder.LONG or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text:
-            return False
-        return " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable()
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        out, later, new = [], [], set()
-        get = self.known.get
-        for t in texts:
-            if not t or not self.plain(t):
-                out.append(self._whole(t) if t else b"")
-                continue
-            words = ("\n" + t).replace("\n", " \n").split(" ")[1:]
-            got = list(map(get, words))
-            if None in got:
-                new.update([w for w, g in zip(words, got, strict=True) if g is None])
-                later.append((len(out), words, got))
-                out.append(b"")
-            else:
-                out.append(b"".join(got)[4:])
+        return np.concatenate([*out, self._ids(text[at:])])
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one place more, the end)."""
+        plain = pc.invert(pc.match_substring_regex(texts, self.not_plain))
+        lined = pc.replace_substring(pc.binary_join_element_wise("\n", texts.filter(plain), ""), "\n", " \n")
+        lists = pc.split_pattern(lined, " ")  # of each text an empty word, and then its words
+        words = lists.flatten().dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False)
         before = len(self.known)
-        if new:
-            self._learn(new)
-        for at, words, got in later:
-            out[at] = b"".join([get(w) if g is None else g for w, g in zip(words, got, strict=True)])[4:]
-        if len(self.known) > self.max_pieces:  # keep the pieces met first: frequent ones come early
-            for w in list(islice(self.known, max(before, self.max_pieces), None)):
-                del self.known[w]
-        return out
-
-    def encode_all(self, texts: list[str], chars: int = 4_000_000) -> list[bytes]:
-        """As ``encode_batch``, by portions of about so many characters."""
-        out, part, size = [], [], 0
-        for t in texts:
-            part.append(t)
-            size += len(t)
-            if size >= chars:
-                out += self.encode_batch(part)
-                part, size = [], 0
-        return out + self.encode_batch(part)
+        number = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            self._learn(different[new].tolist())
+            number[new] = np.fromiter(map(self.known.get, different[new]), np.int64, len(new))
+        place = number[words.indices.to_numpy()]
+        first, size = self.first[place], self.size[place]
+        opening = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+        opening = np.r_[0, opening[:-1]] + 1 if len(opening) else opening
+        first[opening] += 1  # the line end put before the text
+        size[opening] -= 1
+        flat, ends = _gather(self.pool, first, size), np.cumsum(size)
+        if len(new):
+            self._forget(before)
+        plain = plain.to_numpy(zero_copy_only=False)
+        lengths = np.zeros(len(texts), np.int64)
+        begins = (ends - size)[opening - 1] if len(opening) else np.zeros(0, np.int64)
+        lengths[plain] = np.diff(np.r_[begins, len(flat)])
+        if plain.all():
+            return flat, np.r_[0, np.cumsum(lengths)]
+        own = iter(np.split(flat, begins[1:]) if len(begins) else [])
+        odd = iter([self._whole(x.as_py()) for x in texts.filter(pa.array(~plain))])
+        ids = [next(own) if p else next(odd) for p in plain]
+        return np.concatenate(ids), np.r_[0, np.cumsum([len(x) for x in ids])]
+
+    def encode_all(self, texts: pa.Array, size: int = 1_000_000) -> Iterator[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers; texts are taken by portions of about so many bytes."""
+        portion = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(portion)) + 1):
+            if len(part):
+                ids, at = self.encode_batch(texts.slice(int(part[0]), len(part)))
+                raw = ids.tobytes()
+                yield from (raw[4 * a : 4 * b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False))
+
+
+def _gather(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """So many places of the pool from each first one on, in a row."""
+    ends = np.cumsum(size)
+    at = np.repeat(first - (ends - size), size)
+    at += np.arange(len(at))
+    return pool[at]
+
+
+def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, or one that has room for so many more."""
+    if used + more <= len(a):
+        return a
+    out = np.zeros(max(used + more, 2 * len(a)), a.dtype)
+    out[:used] = a[:used]
+    return out
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
@@ -180,3 +231,31 @@ def encoder(path: str, pieces: int) -> PieceEncoder:
 def release() -> None:
     """Gives up the word tables of a worker that goes on with other work."""
     _ENCODERS.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is no longer in use back to the system; a worker waits for its next task beside others."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` of a task, and at its end the memory given back."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that what is made of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

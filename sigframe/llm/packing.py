@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECES, encoder, tokenizer_path, whole_text
+from .common import PIECES, encoder, tidy, tokenizer_path, whole_text
 
 CAPACITY = 2048
 SHARD_TOKENS = 1 << 21
@@ -103,8 +103,7 @@ def pack_documents(
         held: list[tuple[int | None, bytes]] = []
         size, seq = 0, TaskContext.get().partitionId() << 32
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for key, ids in zip(b.column(0).to_pylist(), enc.encode_all(texts), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
                 held.append((key, ids + end))
                 size += len(ids) // 4 + 1
                 if size >= shard_tokens:
@@ -115,4 +114,4 @@ def pack_documents(
             yield _shard(held, seq, capacity, linear, quadratic)[0]
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(work, SCHEMA)
+    return rows.mapInArrow(tidy(work), SCHEMA)

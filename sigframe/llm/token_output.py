@@ -1,11 +1,11 @@
 """Token ids in Simple-8b files, in ascending document order.
 
 A file is a Parquet table in the shared folder; its rows are segments of a shard: whole documents with about
-``SEGMENT_IDS`` ids, as 64-bit words with the place of each block's first word. Shards are the tasks of a range partitioning by document,
-so shard number, segment number and place in the segment give the place of an id among all ids.
+``SEGMENT_IDS`` ids, as 64-bit words with the place of each block's first word. Shards are the tasks of a range partitioning by document
+(and, where many rows share an id, by a hash of the text), so shard number, segment number and place in the segment give the place of an id among all ids.
 
 Null and empty texts are documents with only the end id. A null document id comes first. Repeated rows are written
-each on its own, ordered by text where the ids tie. An empty table gives files without segments. No column but the id and the text is read.
+each on its own, ordered by the text's hash where the ids tie. An empty table gives files without segments. No column but the id and the text is read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import PIECES, encoder, shared_dir, tokenizer_path, whole_text
+from .common import PIECES, encoder, shared_dir, tidy, tokenizer_path, whole_text
 
 SEGMENT_IDS = 1 << 18
 FILE_SCHEMA = "shard int, segment int, shard_start long, n_ids long, doc_ids array<long>, doc_tokens array<long>, block_words array<int>, words binary"
@@ -48,7 +48,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         shard, number, start, size = TaskContext.get().partitionId(), 0, 0, 0
         keys, held = [], []
         for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist()), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
                 keys.append(key)
                 held.append(ids + end)
                 size += len(ids) // 4 + 1
@@ -59,8 +59,10 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         if held:
             yield _segment(shard, number, start, keys, held)[0]
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(work, FILE_SCHEMA).write.parquet(path)
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    rows.mapInArrow(tidy(work), FILE_SCHEMA).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -85,7 +87,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                 yield pa.RecordBatch.from_pydict(out)
 
     rows = files.join(F.broadcast(bases), "shard").select("base", "shard_start", "n_ids", "doc_ids", "doc_tokens", "block_words", "words")
-    return rows.mapInArrow(work, SCHEMA + (", ids array<long>" if with_ids else ""))
+    return rows.mapInArrow(tidy(work), SCHEMA + (", ids array<long>" if with_ids else ""))
 
 
 def token_output(docs: DataFrame, **options: str | int) -> DataFrame:
