@@ -15,13 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER
+from . import bloom
+from .common import ASCII_LOWER, ASCII_UPPER, stored
 
 #: The base rules, host and path prefix.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-#: Hosts whose pages' canonical URLs make up the list in production.
+#: In production listed are the canonical URLs of pages of these hosts, and of pages whose article has fewer visible characters.
 LISTED_HOSTS = ["spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org"]
-KEYS_PER_BLOCK, MAX_BLOCKS = 16, 1 << 19
+THIN = 200
 DEFAULT = "allow"
 
 
@@ -42,29 +43,6 @@ def canonical(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_replace(path_of(url), "/$", ""))
 
 
-def _bits(key: Column) -> list[Column]:
-    h = F.xxhash64(key, F.lit(1))
-    return [F.call_function("shiftleft", F.lit(1), F.shiftrightunsigned(h, 5 * w).bitwiseAND(F.lit(31)).cast("int")) for w in range(8)]
-
-
-def bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0..w7) of a column ``key``."""
-    marked = keys.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), *[b.alias(f"w{w}") for w, b in enumerate(_bits(F.col("key")))])
-    return marked.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(8)])
-
-
-def possible(asked: DataFrame, listed: DataFrame) -> DataFrame:
-    """The rows of ``asked`` whose ``key`` may be among the keys of ``listed``."""
-    blocks = 1
-    while blocks * KEYS_PER_BLOCK < listed.count() and blocks < MAX_BLOCKS:
-        blocks *= 2
-    rows = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    rows = rows.join(F.broadcast(bloom(listed, blocks)), "block")
-    for w, bit in enumerate(_bits(F.col("key"))):
-        rows = rows.where(F.col(f"w{w}").bitwiseAND(bit) == bit)
-    return rows.select(asked.columns)
-
-
 def rule_entries(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     entry = spark.createDataFrame(rules, "rule string, verdict string")
     at = F.instr("rule", "/")
@@ -79,7 +57,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, listed:
     if listed is not None:
         own = listed.where("url IS NOT NULL").select(F.concat(F.lit("u "), canonical(F.col("url"))).alias("key")).distinct()
         entries = entries.select("key", "rule", "verdict").unionByName(own.select("key", F.lit(None).cast("string").alias("rule"), F.lit(listed_verdict).alias("verdict")))
-    entries = entries.select("key", "rule", "verdict")
+    entries = stored(entries.select("key", "rule", "verdict"), "entries")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     urls = rows.select("url").where("url IS NOT NULL").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
@@ -88,7 +66,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, listed:
     prefixes = F.flatten(F.transform(suffix, lambda s: F.transform(paths, lambda p: F.concat(F.lit("p "), s, p))))
     keys = F.array_distinct(F.concat(prefixes, F.array(F.concat(F.lit("u "), canonical(F.col("url"))))))
     asked = urls.select("url", F.explode(keys).alias("key"))
-    hits = possible(asked, entries.select("key")).join(entries, "key")
+    hits = bloom.possible(asked, entries.select("key")).join(entries, "key")
     best = hits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"), F.max(F.col("rule").isNull()).alias("listed"))
     out = rows.join(best, "url", "left")
     return out.select(
@@ -97,5 +75,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, listed:
     )
 
 
+def visible(html: Column) -> Column:
+    """Characters of the article without its marks; null without an article."""
+    article = F.regexp_extract(html, r"(?s)<article>(.*?)</article>", 1)
+    return F.when(html.contains("<article>"), F.char_length(F.regexp_replace(article, r"<[^>]*>", "")))
+
+
 def production_list(pages: DataFrame) -> DataFrame:
-    return pages.select("url").where(host_of(F.col("url")).isin(LISTED_HOSTS))
+    """The URLs of thin pages and of listed hosts, from (url, html)."""
+    return pages.where(host_of(F.col("url")).isin(LISTED_HOSTS) | (visible(F.col("html")) < THIN)).select("url")
