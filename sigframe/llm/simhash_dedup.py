@@ -6,9 +6,9 @@ one equal segment whose successor differs in at most one bit, so one half of the
 eight keys of 24 bits find every pair. The chain is then checked to its end, and last the whole distance.
 
 A key shared by more than ``GROUP`` different fingerprints is split by the same principle on the bits that it leaves open (four parts,
-one of them equal), up to keys of 64 - 14 bits, which at most 16,384 fingerprints can share. Equal fingerprints
-are one class throughout, and what leaves a group of a key is a spanning forest of its links. Components come from rounds of
-joins that move each node to its smallest neighbour.
+one of them equal), three times, up to keys of 46 to 48 bits. What still shares such a key, however many, is compared in full in parts over
+tasks. Equal fingerprints are one class throughout, and what leaves a group of a key is a spanning forest of its links. Components come from rounds of
+joins that move each node to its smallest neighbour, until none moves.
 
 For a Jaccard similarity of 0.8 a bit fingerprint needs a distance of up to 18 of 64, where keys of whole segments find little.
 ``similar_components`` therefore takes its candidates from fingerprints of 128 one-byte lanes (each the low byte of the least shingle hash
@@ -25,14 +25,16 @@ tables give no rows. No column but the id and the text is read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored, whole_text
+from . import bloom
+from .common import release, slices, stored, tidy, whole_text
 
 DISTANCE, SEGMENTS = 3, 4
 GROUP = 1000
@@ -40,6 +42,8 @@ SEED = 42
 LANES, KEYS = 128, 16
 #: Nodes of a large group that go to each of its parts, and rows of a part where texts' whole hashes are compared.
 COMMON, TEXTS = 4, 250
+#: Tables of keys up to so many rows (some ten bytes each) are broadcast.
+BROADCAST_ROWS = 200_000
 ALL = (1 << 64) - 1
 
 
@@ -98,7 +102,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, fp long")
+    return rows.mapInArrow(tidy(work), "doc_id long, fp long")
 
 
 def _parts(mask: int, parts: int) -> list[int]:
@@ -149,6 +153,11 @@ def near_lanes(most: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return near
 
 
+def near_octets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As ``near_bits``, of fingerprints as rows of eight bytes."""
+    return near_bits(*(np.ascontiguousarray(x).view(np.uint64).ravel() for x in (a, b)))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node of the pairs with the smallest node that it is connected to, itself left out."""
     nodes, flat = np.unique(np.r_[a, b], return_inverse=True)
@@ -216,7 +225,12 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _run_links(rows: DataFrame, near: Callable, width: int) -> DataFrame:
     dealt = rows.select("table", "key", "node", "value").repartition("table", "key").sortWithinPartitions("table", "key", "node")
-    return dealt.mapInArrow(_links_of_runs(near, width), "a long, b long")
+    return dealt.mapInArrow(tidy(_links_of_runs(near, width)), "a long, b long")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """To be broadcast where it is counted and found small, otherwise joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
@@ -237,12 +251,14 @@ def bit_links(classes: DataFrame, group: int = GROUP) -> DataFrame:
             rows = rows.select("node", "value", child).select("node", "value", F.struct(F.col("c.table").alias("table"), F.col("value").bitwiseAND(F.col("c.mask")).alias("key")).alias("t"))
         rows = rows.select("t.table", "t.key", "node", "value")
         shared = stored(_shared_keys(rows), f"keys{level}")
-        last = level == 3
-        usual = shared if last else shared.where(F.col("n") <= group)
+        if level == 3:
+            octets = F.unhex(F.lpad(F.hex("value"), 16, "0")).alias("lanes")
+            return out.unionByName(covering_links(rows.select("table", "key", "node", octets), near_octets, group, "bits"))
+        usual = shared.where(F.col("n") <= group)
         links = _run_links(rows.join(usual.select("table", "key"), ["table", "key"], "left_semi"), near_bits, 1)
         out = links if out is None else out.unionByName(links)
         hot = shared.where(F.col("n") > group)
-        if last or hot.isEmpty():
+        if hot.isEmpty():
             return out
         rows = stored(rows.join(hot.select("table", "key"), ["table", "key"], "left_semi"), f"hot{level}")
         masks = [m for some in deeper_masks(masks) for m in some]
@@ -296,7 +312,7 @@ def _pair_links(rows: DataFrame, near: Callable, similarity: float | None = None
         for b in chain(_grouped(batches), [None]):
             if b is not None:
                 key = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
-                lanes = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, LANES)
+                lanes = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 hashes = np.empty(b.num_rows, object)
                 if exact:
                     for i, x in enumerate(b.column(7).to_pylist()):
@@ -317,7 +333,7 @@ def _pair_links(rows: DataFrame, near: Callable, similarity: float | None = None
     names = [*run, "node", "comp", "side", "lanes", *(["hashes"] if exact else [])]
     types = {"table": "long", "key": "long", "part": "long", "node": "long", "comp": "long", "side": "int"}
     dealt = rows.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in names]).repartition(*run).sortWithinPartitions(*run, "node")
-    return dealt.mapInArrow(work, "a long, b long")
+    return dealt.mapInArrow(tidy(work), "a long, b long")
 
 
 def covering_links(rows: DataFrame, near: Callable, group: int, name: str, classes: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
@@ -336,18 +352,18 @@ def covering_links(rows: DataFrame, near: Callable, group: int, name: str, class
     def linked(some: DataFrame) -> DataFrame:
         return _pair_links(some if classes is None else some.join(classes.select("node", "lanes"), "node"), near, similarity)
 
-    usual = rows.join(F.broadcast(hot.select(by)), by, "left_anti") if any_hot else rows
+    usual = rows.join(_few(hot.select(by)), by, "left_anti") if any_hot else rows
     if classes is not None:
         usual = usual.join(shared.where(F.col("n") <= group).select(by), by, "left_semi")
     links = linked(usual.select(*by, F.lit(0).alias("part"), "node", F.col("node").alias("comp"), F.lit(-1).alias("side"), *values))
     if not any_hot:
         return links
     place = F.xxhash64("node", F.lit("part"))
-    held = rows.join(F.broadcast(hot), by).withColumn("parts", F.ceil(F.col("n") / group).cast("long"))
+    held = rows.join(_few(hot), by).withColumn("parts", F.ceil(F.col("n") / group).cast("long"))
     held = stored(held.select(*by, "node", "parts", *values), f"{name}_hot")
     common = held.groupBy(*by, "parts").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(COMMON)])).alias("nodes"))
-    common = common.select(*by, "parts", F.explode("nodes").alias("node"))
-    everywhere = held.join(F.broadcast(common.select(*by, "node", F.lit(True).alias("common"))), [*by, "node"], "left")
+    common = stored(common.select(*by, F.explode("nodes").alias("node"), F.lit(True).alias("common")), f"{name}_common")
+    everywhere = held.join(_few(common), [*by, "node"], "left")
     own = F.when(F.col("common"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(place, F.col("parts"))))
     salted = everywhere.select(*by, F.explode(own).alias("part"), "node", F.col("node").alias("comp"), F.lit(-1).alias("side"), *values)
     links = stored(links.unionByName(linked(salted)), f"{name}_links")
@@ -357,7 +373,7 @@ def covering_links(rows: DataFrame, near: Callable, group: int, name: str, class
     left = stored(left.select(*by, "main", F.ceil(F.col("all") / group).cast("long").alias("p"), F.ceil((F.col("all") - F.col("most")) / group).cast("long").alias("q")), f"{name}_left")
     if left.isEmpty():
         return links
-    still = known.join(F.broadcast(left), by)
+    still = known.join(_few(left), by)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     whole = still.select("*", F.pmod(place, F.col("p")).alias("i"), upto("q").alias("j"), F.lit(0).alias("side"))
     outside = still.where("comp <> main").select("*", upto("p").alias("i"), F.pmod(place, F.col("q")).alias("j"), F.lit(1).alias("side"))
@@ -365,8 +381,11 @@ def covering_links(rows: DataFrame, near: Callable, group: int, name: str, class
     return links.unionByName(linked(blocks))
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has a link. Links (a, b) may come in any order."""
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node that has a link. Links (a, b) may come in any order.
+
+    Rounds grow as the logarithm of a component's width, so ``rounds`` is never met; to be there without an end is an error.
+    """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     for k in range(rounds):
@@ -380,6 +399,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
@@ -406,7 +427,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
 
         release()
         step = LANES // KEYS
-        for b in batches:
+        for b in slices(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
             node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             least = np.stack([lane_minima(x, factors) for x in sets]) if sets else np.zeros((0, LANES), np.uint64)
@@ -418,22 +439,24 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([x.tobytes() for x in lanes], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "lanes", "keys"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = pa.array([np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], ["key", "node", "lanes", "hashes"])
 
-    text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    marked = stored(rows.mapInArrow(work, "doc_id long, text_hash long, node long, lanes binary, keys array<long>"), "lanes")
-    each = marked.groupBy("node", "lanes", "keys", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "rows")).alias("first")
-    classes = stored(each.groupBy("node", "lanes", "keys").agg(first), "classes")
+    keys = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("text_hash")]
+    rows = docs.select(*keys, whole_text(text_col).alias("text"))
+    marked = stored(rows.mapInArrow(tidy(work), "doc_id long, text_hash long, node long, lanes binary, keys array<long>"), "lanes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    classes = stored(marked.groupBy("node", "lanes", "keys").agg(first), "classes")
     near = near_lanes(most)
     coarse = components(covering_links(classes.select("node", F.posexplode("keys").alias("table", "key")), near, group, "lanes", classes))
-    coarse = coarse.select("node", "component").unionByName(coarse.select(F.col("component").alias("node"), "component").distinct())
-    wanted = coarse.join(classes, "node").select(F.col("component").alias("key"), "node", "lanes", F.col("first.text_hash").alias("text_hash"))
-    texts = rows.groupBy("text_hash").agg(F.first("text").alias("text"))
-    sets = wanted.join(texts, "text_hash").select("key", "node", "lanes", "text").mapInArrow(whole, "key long, node long, lanes binary, hashes binary")
+    coarse = stored(coarse.select("node", "component").unionByName(coarse.select(F.col("component").alias("node"), "component").distinct()), "coarse")
+    wanted = coarse.join(classes, "node").select(F.col("component").alias("key"), "node", "lanes", *_row_key(F.col("first.doc_id"), F.col("first.text_hash")))
+    wanted = stored(wanted, "wanted")
+    # Of all texts, those of one row of each of these nodes are shuffled, and the few that the filter lets through besides.
+    asked = bloom.marked(rows, F.xxhash64("doc_id", "text_hash"), wanted.select(_filter_key().alias("key")), "_wanted").where("_wanted")
+    texts = asked.select(*_row_key(F.col("doc_id"), F.col("text_hash")), "text").groupBy(ROW_KEY).agg(F.first("text").alias("text"))
+    sets = wanted.join(texts.hint("merge"), ROW_KEY).select("key", "node", "lanes", "text").mapInArrow(tidy(whole), "key long, node long, lanes binary, hashes binary")
     sets = stored(sets.select(F.lit(0).alias("table"), "key", "node", "lanes", "hashes"), "sets")
     found = components(covering_links(sets, near, min(group, TEXTS), "sets", similarity=similarity))
     return marked.select("doc_id", "text_hash", "node"), classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first")
@@ -447,14 +470,33 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.join(nodes.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
+ROW_KEY = ["_no_id", "_id", "_text"]
+
+
+def _row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """What tells rows apart, without nulls."""
+    return [doc_id.isNull().alias("_no_id"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("_id"), text_hash.alias("_text")]
+
+
+def _filter_key() -> Column:
+    return F.xxhash64(F.when(~F.col("_no_id"), F.col("_id")), "_text")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
-    """The documents, one row of each component: that of the smallest id, nulls last, then of the smallest text hash; all columns stay as they are."""
-    nodes = _similar(docs, id_col, text_col, words, similarity, group)[1]
-    best = stored(nodes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_dd_id"), F.col("first.text_hash").alias("_dd_text"), F.col("first.rows").alias("_dd_rows")), "best")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dd_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_dd_text"))
-    again = best.where("_dd_rows > 1")
-    if again.isEmpty():
-        return docs.join(best, same, "left_semi")
-    once = docs.join(best.where("_dd_rows = 1"), same, "left_semi")
-    repeated = docs.join(again, same, "left_semi").withColumn("_dd_text", F.xxhash64(whole_text(text_col)))
-    return once.unionByName(repeated.dropDuplicates([id_col, "_dd_text"]).select(docs.columns))
+    """The documents, one row of each component: that of the smallest id, nulls last, then of the smallest text hash; all columns stay as they are.
+
+    Rows to drop, and those that occur repeatedly, are put into a Bloom filter. What doesn't pass it stays as it is, without a shuffle. What passes is
+    joined with these rows.
+    """
+    marked, nodes = _similar(docs, id_col, text_col, words, similarity, group)
+    nodes = stored(nodes, "components")
+    best = nodes.groupBy("component").agg(F.min("first").alias("best"))
+    each = marked.groupBy("node", "doc_id", "text_hash").agg((F.count("*") > 1).alias("_again")).join(nodes.select("node", "component"), "node").join(best, "component")
+    goes = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
+    open_ = stored(each.select(*_row_key(F.col("doc_id"), F.col("text_hash")), goes.alias("_goes"), "_again").where("_goes OR _again"), "open")
+    keyed = docs.select(*docs.columns, *_row_key(F.col(id_col).cast("long"), F.xxhash64(whole_text(text_col))))
+    keyed = bloom.marked(keyed, _filter_key(), open_.select(_filter_key().alias("key")), "_open")
+    joined = keyed.where("_open").join(open_.hint("merge"), ROW_KEY, "left")
+    one = joined.where("NOT _goes").dropDuplicates(ROW_KEY)
+    out = [keyed.where("NOT _open"), joined.where("_goes IS NULL"), one]
+    return reduce(DataFrame.unionByName, [x.select(docs.columns) for x in out])
