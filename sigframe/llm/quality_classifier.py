@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, whole_text
+from .common import release, tidy, whole_text
 
 DIMENSIONS = 1 << 18
 BOUND, SHARDS, PASSES = 20_000, 4, 8
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "i": pa.array([i], pa.list_(pa.int64())), "w": pa.array([w[i]], pa.list_(pa.float64()))})
 
     order = F.xxhash64("_id", F.lit(2))
-    trained = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", order, "_id", "_text").mapInArrow(work, "shard long, i array<long>, w array<double>")
+    trained = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", order, "_id", "_text").mapInArrow(tidy(work), "shard long, i array<long>, w array<double>")
     models = sorted(trained.collect(), key=lambda m: m["shard"])  # as many rows as shards, each of ``DIMENSIONS`` numbers at most
     if not models:
         return None
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: np.ndarray | None, text_col: str = "text", nam
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(work), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import stored, tidy, whole_text
 
 TREES, SAMPLE, SEED = 100, 128, 7
 GOOD_COST, THRESHOLD, BINS = 4.0, 0.6, 2000
@@ -85,7 +85,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     names = [x.split()[0] for x in STATS.split(", ")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(work, STATS)
+    return rows.mapInArrow(tidy(work), STATS)
 
 
 def _path(n: np.ndarray | float) -> np.ndarray | float:
@@ -152,7 +152,7 @@ def fit(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int =
             yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int64()), **{k: pa.array([v], pa.list_(pa.float64())) for k, v in got.items()}})
 
     schema = "tree long, feature array<double>, split array<double>, left array<double>, depth array<double>"
-    grown = picked.repartition("tree").sortWithinPartitions("tree", "k").select("tree", "rules").mapInArrow(work, schema).collect()
+    grown = picked.repartition("tree").sortWithinPartitions("tree", "k").select("tree", "rules").mapInArrow(tidy(work), schema).collect()
     return [{"feature": np.array(r["feature"], np.int64), "split": np.array(r["split"]), "left": np.array(r["left"], np.int64), "depth": np.array(r["depth"])} for r in sorted(grown, key=lambda r: r["tree"])]
 
 
@@ -186,7 +186,7 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
             x = np.array(b.column("rules").to_pylist(), np.float64).reshape(b.num_rows, len(RULES))
             yield b.append_column("anomaly", pa.array(anomaly(forest, x, size)))
 
-    scored = stored(stats.mapInArrow(work, STATS + ", anomaly double").drop("text_hash", "rules"), "scored")
+    scored = stored(stats.mapInArrow(tidy(work), STATS + ", anomaly double").drop("text_hash", "rules"), "scored")
     limit = calibrate(scored.where(~_failed()), labels, good_cost) if labels is not None else THRESHOLD
     out = scored.withColumn("base_failed", _failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("anomaly") * BINS) < limit * BINS))

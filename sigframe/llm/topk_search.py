@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 K = 20
 QUERY_BLOCK, ROW_BLOCK, FIRST, GRID = 1024, 8192, 16, 32
 SCHEMA = "query_id long, vec_id long, score long"
@@ -124,4 +126,4 @@ def search(df: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id", v
     pairs = queries.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("c_block", F.col("c_block").cast("long"))
     pairs = pairs.join(blocks, "c_block").repartition("q_block", "c_block").select("q_ids", "q_vectors", "c_ids", "c_vectors")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.mapInArrow(work, SCHEMA).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.mapInArrow(tidy(work), SCHEMA).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,12 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sigframe.llm import common, license_scan, mixing, packing, pii_surrogates, quality_classifier, quality_rules, simhash_dedup, simple8b, token_output, topk_search, url_filter
+from sigframe.llm import bloom, common, license_scan, mixing, packing, pii_surrogates, quality_classifier, quality_rules, simhash_dedup, simple8b, token_output, topk_search, url_filter
 
 from .fixtures import DATA, documents, empty, rows
 
@@ -34,7 +35,6 @@ def texts(docs):
 @pytest.fixture(scope="module")
 def ids(texts):
     tok = Tokenizer.from_file(common.tokenizer_path())
-    tok.encode_special_tokens = True
     return {i: tok.encode(t or "", add_special_tokens=False).ids for i, t in texts}
 
 
@@ -43,15 +43,19 @@ def crc(x):
 
 
 def test_encoder_equals_library():
+    tok = Tokenizer.from_file(common.tokenizer_path())
+    odd = ["", " ", "\n", "a\nb", "x y\nZ, w!!", "a  b", "a\tb", " lead", "trail ", "w x\n", "\nw", "'s don't 'll", "<|endoftext|> a", "b <|endoftext|> c, d. <|endoftext|>", "é ü\n你好 1,2.", "a\u00a0b \u200b c", "ab" * 700_000, "w x " * 400_000 + "y"]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
     enc = common.PieceEncoder(common.tokenizer_path(), max_pieces=5)
-    odd = ["", " ", "\n", "a\nb", "x y\nZ, w!!", "a  b", "a\tb", " lead", "trail ", "'s don't 'll", "<|endoftext|> a", "é ü\n你好 1,2.", "a\u00a0b", "ab" * 700_000, "w x " * 400_000]
-    for t in odd:
-        assert enc.encode_batch([t])[0] == enc._ids(t).tobytes()
+    for t, w in zip(odd, want, strict=True):
+        assert [*enc.encode_all(pa.array([t]))] == [w]
+    assert [*enc.encode_all(pa.array(odd * 3), size=1000)] == want * 3 and len(enc.known) <= 5 and [*enc.encode_all(pa.array([], pa.string()))] == []
 
 
 def test_licenses(docs, texts):
-    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
-    assert len(got) == len({*texts})
+    found = license_scan.scan(docs).collect()
+    assert Counter(r.doc_id for r in found) == Counter(i for i, _ in texts)
+    got = {r.doc_id: r for r in found}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for i, t in texts:
         w = word.findall(lower(t))
@@ -136,6 +140,34 @@ def test_quality_rules(docs, texts):
         assert r.base_failed == (len(w) < 50 or 100 * len(inside) > 50 * len(w)) and not (r.kept and r.base_failed)
 
 
+def test_forest_verdict(spark):
+    """Each text walks each tree by itself, and every score is tried as the limit."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    stats = quality_rules.measured(d).cache()
+    passed = stats.where(~quality_rules._failed())
+    trees = quality_rules.fit(passed, 20)
+
+    def depth(tree, x):
+        at = 0
+        while tree["feature"][at] >= 0:
+            at = tree["left"][at] + (x[tree["feature"][at]] > tree["split"][at])
+        return tree["depth"][at]
+
+    n = quality_rules.SAMPLE
+    mean = 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    score = {r.doc_id: 2.0 ** (-np.mean([depth(t, r.rules) for t in trees]) / mean) for r in passed.collect()}
+    bins = {i: int(s * quality_rules.BINS + 1e-9) for i, s in score.items()}
+    good, bad = ([bins[i] for i in bins if labels.get(i) == y] for y in (1, 0))
+    cost = {t: np.mean([b < t for b in bad]) + quality_rules.GOOD_COST * np.mean([b >= t for b in good]) for t in range(quality_rules.BINS + 2)}
+    limit = max(t for t in cost if cost[t] < min(cost.values()) + 1e-12 and (t in good or t in bad))
+    got = quality_rules.judge(d, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), trees=20).collect()
+    assert all(r.anomaly == pytest.approx(score[r.doc_id], rel=1e-9) and r.kept == (bins[r.doc_id] < limit) for r in got if r.doc_id in score)
+    assert not any(r.kept for r in got if r.doc_id not in score)
+    kept = [[r.kept for r in got if r.doc_id in score and labels.get(r.doc_id) == y] for y in (1, 0)]
+    assert np.mean(kept[0]) > 0.97 and np.mean(kept[1]) < 0.1
+
+
 def test_forest_finds_outliers():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 8))
@@ -159,6 +191,25 @@ def test_topk(spark):
         assert found == [(i, -s) for s, i in want]
 
 
+def test_lists_stop_early():
+    """Where few dimensions carry most, few rows are met, and the result is the same."""
+    rng = np.random.default_rng(6)
+    c = np.floor(64 * rng.normal(size=(6000, 24)) * 0.5 ** np.arange(24)).astype(np.int64)
+    q, ids, read = c[::100], np.arange(6000), []
+    i, j, s = topk_search.search_block(q, ids[::100], c, ids, read=read)
+    for k in range(len(q)):
+        want = sorted((-int(q[k] @ c[r]), r) for r in range(6000) if r != 100 * k)[:20]
+        assert [(-a, b) for a, b in zip(s[i == k], j[i == k], strict=True)] == want
+    assert np.mean([n for n, _ in read]) < 0.4 * 6000 and min(n for n, _ in read) < 600
+
+
+def test_topk_without_lists(spark):
+    df = spark.createDataFrame([(0, [0.0, 0.0]), (20, [0.0, 0.0]), (40, [0.0])] + [(i, [1.0, -1.0]) for i in (1, 2, 3, 4)] + [(60, []), (5, [])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.score) for r in topk_search.search(df).orderBy("query_id", "rank").collect()]
+    every = [0, 1, 2, 3, 4, 5, 20, 40, 60]
+    assert got == [(q, v, 0) for q in (0, 20, 40, 60) for v in every if v != q]
+
+
 def test_topk_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0]), (21, [])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk_search.search(df).orderBy("query_id", "rank").collect()] == [(0, 1, 20, 4096), (0, 2, 21, 0), (20, 1, 0, 4096), (20, 2, 21, 0)]
@@ -318,6 +369,40 @@ def test_mixing(docs, texts):
     assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, again[key].values))
 
 
+def test_pareto_order(docs, texts):
+    """A plain version: inclusion by size, certain copies, then the order of the odds until the words are there."""
+    got = defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        got[r.doc_id].append(r.taken)
+    rows = [(r.doc_id, r.text or "", r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()]
+    sums = defaultdict(int)
+    for _, _, s, n in rows:
+        sums[s] += n
+    want, lengths = defaultdict(list), set()
+    for s, target in targets_want(sums).items():
+        copies = int(target / sums[s] + 1e-12) if sums[s] else 0
+        rest = round(target - copies * sums[s])
+        own = [(i, t, n, n >> max(n.bit_length() - 7, 0) << max(n.bit_length() - 7, 0)) for i, t, x, n in rows if x == s]
+        sizes = sorted({m for *_, m in own if m}, reverse=True)
+        for most in sizes if rest else []:
+            c = (rest - sum(n for *_, n, m in own if m > most)) / sum(m * n for *_, n, m in own if m <= most)
+            if c * most <= 1:
+                break
+        order = []
+        for i, t, n, m in own:
+            if not rest or not n or m > most:
+                want[i].append(copies * n + (n if rest and n else 0))
+                continue
+            u = (int(__import__("hashlib").md5(f"9|{i}|{t}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            order.append((u / (1 - u) / (c * m / max(1 - c * m, 1e-15)), i, n))
+        left = rest - sum(n for *_, n, m in own if rest and m > most)
+        for _, i, n in sorted(order):
+            want[i].append(copies * n + max(0, min(n, left)))
+            left -= n
+            lengths.add(copies)
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()} and lengths
+
+
 def test_mixed_rows(docs):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and 0 < out.count() <= 2 * docs.count()
@@ -344,6 +429,17 @@ def test_urls(spark):
     assert got == {i: url_want(u) for i, u in enumerate(urls)}
 
 
+def test_production_list_decides_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    listed = url_filter.production_list(pages)
+    got = url_filter.judge(pages, listed=listed).collect()
+    thin = {r.page_id for r in pages.collect() if len(re.sub(r"<[^>]*>", "", (re.search(r"(?s)<article>(.*?)</article>", r.html) or ["", "x" * 999])[1])) < url_filter.THIN}
+    decided = {r.page_id for r in got if r.rule is None and r.verdict == "block"}
+    assert decided and all(r.verdict == "block" for r in got if r.rule is None and r.page_id in thin)
+    assert {r.host for r in got if r.page_id in decided} & {r.host for r in got if r.rule is None and r.verdict == "allow"}  # no set of hosts would do
+    assert url_filter.judge(pages.limit(1).select("page_id", F.lit("http://a.b/" + "x" * 200_000).alias("url"))).first().verdict == "allow"
+
+
 def test_listed_urls(spark):
     pages = spark.createDataFrame([(1, "http://bad.net/x/?q=1"), (2, "https://BAD.net/x#f"), (3, "http://bad.net/xy"), (4, "http://bad.org/x")], "page_id long, url string")
     listed = spark.createDataFrame([("http://bad.net/x",), ("http://bad.org/x",)] + [(f"http://h{i}.net/{i}",) for i in range(500)], "url string")
@@ -353,7 +449,7 @@ def test_listed_urls(spark):
 def test_bloom_has_no_false_negatives_and_few_positives(spark):
     keys = spark.range(5000).selectExpr("concat('k', id) AS key")
     asked = spark.range(20_000).selectExpr("concat('k', id) AS key")
-    got = {r.key for r in url_filter.possible(asked, keys).collect()}
+    got = {r.key for r in bloom.possible(asked, keys).collect()}
     assert {f"k{i}" for i in range(5000)} <= got and len(got) < 5600
 
 
@@ -369,6 +465,41 @@ def test_classifier(spark):
     assert (out.predicted == out.quality).mean() > 0.93
 
 
+def test_training_is_ftrl():
+    """Against the update rule, one coordinate at a time."""
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(50, 8, replace=False)), rng.random(8), int(rng.integers(2))) for _ in range(60)]
+    z, n = defaultdict(float), defaultdict(float)
+    qc = quality_classifier
+
+    def weight(i):
+        l1 = 0 if i == "bias" else qc.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((qc.BETA + n[i] ** 0.5) / qc.ALPHA + qc.L2)
+
+    for _ in range(3):
+        for index, value, y in rows:
+            x = dict(zip(index.tolist(), value.tolist(), strict=True)) | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / qc.ALPHA * w[i]
+                n[i] += g * g
+    got = qc.train(rows, passes=3, dimensions=50)
+    assert got == pytest.approx([weight(i) for i in [*range(50), "bias"]], abs=1e-9)
+
+
+def test_score_is_a_sparse_product(spark):
+    model = np.random.default_rng(4).normal(size=quality_classifier.DIMENSIONS + 1)
+    texts = ["One two TWO 3. one", "", None, "a " * 5000 + "b", "!!"]
+    want = []
+    for t in texts:
+        i, x = quality_classifier._sparse(quality_classifier.features(t or ""))
+        want.append(1 / (1 + np.exp(-(model[-1] + sum(model[a] * b for a, b in zip(i, x, strict=True))))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.score for r in quality_classifier.score(df, model).orderBy("doc_id").collect()] == pytest.approx(want)
+
+
 def test_classifier_edges(docs, spark):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 0)], "doc_id long, quality int")
     got = quality_classifier.classify(docs, labels)
@@ -431,6 +562,44 @@ def test_prefilter_passes_every_pattern(spark):
     assert not [k for k in texts if got[k] == texts[k]]
 
 
+def test_coreference(spark):
+    texts = [
+        "Mrs Jane Doe met Dr Jane Doe. Jane Doe and Mrs Doe, Doe's cat, DOE, not Doer", "Dr. J. Doe and Mr John F. Doe-Miller wrote; Frau Jane Roe too", "a@corp.com B@Corp.com C.D@corp.com",
+        "password=hunter2!x password: Secret99 'pwd = abc-def'", "sk_live_abcdefghijklmnopqrst 2001:db8::ff00:42:8329 fe80::1", "DE89 3704 0044 0532 0130 00, DE89370400440532013000",
+        "(212) 555-7713 +1 212 555 7713 +1-212-555-7713", "12:34:56 std::abc DE88370400440532013000 9807915762804490 4111111111111112 Doe Jane",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii_surrogates.replace(df).collect()}
+    jane, doe = re.match(r"Mrs (\w+) (\w+) met", new[0]).groups()
+    assert jane.endswith("na") and new[0] == f"Mrs {jane} {doe} met Dr {jane} {doe}. {jane} {doe} and Mrs {doe}, {doe}'s cat, {doe.upper()}, not Doer"
+    assert re.fullmatch(rf"Dr\. J\. {doe} and Mr \w+n F\. {doe}-\w+ wrote; Frau {jane} \w+ too", new[1])
+    mails = [x.split("@") for x in new[2].split()]
+    assert mails[0][1] == mails[1][1].lower() == mails[2][1] != "corp.com" and mails[1][1][0].isupper() and mails[1][1].endswith(".com") and mails[1][0].isupper() and mails[2][0][1] == "."
+    assert not any(x in new[3] for x in ("hunter", "!x1", "Secret", "abc-def")) and re.fullmatch(r"password=\w{7}!\w password: [A-Z]\w{7} 'pwd = \w{3}-\w{3}'", new[3])
+    assert re.fullmatch(r"sk_live_[a-z]{20} [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:\d\d:\d{4} [0-9a-f]{4}::\d", new[4]) and "2001" not in new[4]
+    iban = new[5].split(", ")
+    assert iban[0].replace(" ", "") == iban[1] != texts[5][-22:] and len(iban[0]) == 27 and int(iban[1][4:] + "1314" + iban[1][2:4]) % 97 == 1
+    phones = re.findall(r"\d{3}\D+\d{3}\D\d{4}", new[6])
+    assert len({re.sub(r"\D", "", x) for x in phones}) == 1 and len(phones) == 3 and new[6][14:18] == " +1 " and new[7] == texts[7]
+
+
+def test_generated_entities(spark):
+    """Different entities have different surrogates, equal ones equal ones, over many texts."""
+    rng = np.random.default_rng(8)
+    first, last = [f"A{x}e" for x in "bcdfghjklm"], [f"Z{x}{y}o" for x in "bcdfg" for y in "aeiou"]
+    people = [(str(first[rng.integers(10)]), str(last[rng.integers(25)])) for _ in range(400)]
+    texts = [f"Mr {a} {b} <{a}.{b}@m{i % 7}.org> called 10.{i % 5}.{i % 11}.1" for i, (a, b) in enumerate(people)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    maps = defaultdict(lambda: defaultdict(set))
+    for r in pii_surrogates.replace(df).collect():
+        old, new = re.split(r"[ <>@]+", texts[r.doc_id]), re.split(r"[ <>@]+", r.text)
+        for kind, k in (("word", 1), ("word", 2), ("local", 3), ("domain", 4), ("ip", 6)):
+            assert old[k] != new[k]
+            maps[kind][old[k].lower()].add(new[k].lower())
+    for kind, m in maps.items():
+        assert all(len(x) == 1 for x in m.values()) and len(set.union(*m.values())) == len(m), kind
+
+
 def test_surrogates_stay_distinct(spark):
     ips = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "_kind string, _normal string")
     got = rows(pii_surrogates.assigned(ips))
