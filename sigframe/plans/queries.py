@@ -1,6 +1,6 @@
 """All registered queries of the library, and SQL for those that SQL can express."""
 
-from . import flows, further, relations, structures, studies  # noqa: F401
+from . import cycles, flows, further, marks, relations, structures, studies  # noqa: F401
 from .series import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

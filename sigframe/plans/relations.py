@@ -217,14 +217,6 @@ def q_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select((c("event_id") + 1).alias("k")).select("k", R.draw(c("k")).alias("u"))
 
 
-@register("""WITH t AS (SELECT event_type AS test, (0.0003 * (1 + length(event_type)) * length(event_type))::DOUBLE AS p FROM events GROUP BY 1), r AS (SELECT *, CAST(row_number() OVER (ORDER BY p, test) AS INT) AS rank, count(*) OVER () AS m FROM t)
-SELECT test, round(p, 8) AS p, rank, p <= 0.05 / m AS bonferroni, min(CASE WHEN p <= 0.05 / (m - rank + 1) THEN 1 ELSE 0 END) OVER (ORDER BY rank) = 1 AS holm, coalesce(rank <= max(CASE WHEN p <= 0.05 * rank / m THEN rank END) OVER (), false) AS benjamini_hochberg FROM r""")
-def q_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q3: verdicts corrected for the number of tests."""
-    t = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(c("event_type").alias("test")).agg(F.count("*")).select("test", (F.lit(0.0003) * (1 + F.length("test")) * F.length("test")).cast("double").alias("p"))
-    return R.corrected(t).select("test", F.round("p", 8).alias("p"), "rank", "bonferroni", "holm", "benjamini_hochberg")
-
-
 @register(f"""WITH {BARS}, u AS (SELECT instrument, t // 86400 AS day, count(*) AS n, count(CASE WHEN c > o THEN 1 END) AS w FROM bars GROUP BY 1, 2) SELECT instrument, CAST(sum(n) AS BIGINT) AS n, round((sum(n) * sum(n * w)::DOUBLE - sum(n * n) * sum(w)::DOUBLE) / sqrt((sum(n) * sum(n * n * n)::DOUBLE - sum(n * n)::DOUBLE * sum(n * n)) * (sum(n) * sum(w)::DOUBLE - sum(w)::DOUBLE * sum(w))), 6) AS r FROM u GROUP BY 1""")
 def q_point_biserial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5: correlation of a unit's size with single wins, from counts."""
@@ -271,15 +263,6 @@ def l_exits_and_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@register()
-def c_cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flips on one rung followed by the same on slower ones, the longest of each end."""
-    ticks = B.from_ticks(S.ticks(spark, sf_dir))
-    ladder = B.indexed(ticks.select("instrument", "timeframe", "t", *"ohlcv").unionByName(B.rollup(ticks, ["2h", "4h", "1d"]).select("instrument", "timeframe", "t", *"ohlcv")))
-    flips = E.flips(ladder.withColumn("dir", F.signum(c("c") - c("o"))).where("dir <> 0"), "dir").withColumn("direction", F.when(c("dir") > 0, "up").otherwise("down"))
-    return C.maximal(C.cascades(flips.select("instrument", "timeframe", "t", "direction"), ["1h", "2h", "4h", "1d"], 3.0)).select("instrument", "direction", "start_t", "known_at", "depth", "stalled_at")
-
-
 @register()
 def f_supertrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adaptive bands; only the ratchet is folded."""
@@ -307,7 +290,7 @@ def f_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def f_zone_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line zones from pivots, refreshed by touches, at most three at a time; the fold sees candidates and touches only."""
+    """Line zones from pivots, refreshed by touches, at most three at a time. Each bar may touch a zone, so the fold sees every bar once."""
     b = recursive.atr(hourly(spark, sf_dir), 14)
     piv = b.withColumn("p", P.pivot("h", 5, 5, windows.series())).where("p IS NOT NULL AND atr IS NOT NULL")
     rows = piv.select(*KEY, "bar_idx", F.lit("candidate").alias("kind"), c("p").alias("price"), "atr", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
@@ -323,13 +306,3 @@ def f_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     piv = b.withColumn("p", P.pivot("h", 3, 3, windows.series(), True, True, False)).where("p IS NOT NULL AND atr IS NOT NULL").select(*KEY, "bar_idx", F.lit("pivot").alias("kind"), c("p").alias("price"), "atr", none.alias("high"), none.alias("low"), F.lit("high").alias("side"))
     bar = b.select(*KEY, "bar_idx", F.lit("bar").alias("kind"), none.alias("price"), "atr", c("h").alias("high"), c("l").alias("low"), F.lit("high").alias("side"))
     return rounded(folds.fold(folds.last_marked(piv.unionByName(bar), KEY, ["bar_idx", "kind"], "last"), folds.liquidity_pools(), folds.POOL, order=("bar_idx", "kind")).drop("timeframe"))
-
-
-@register()
-def f_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy clusters of flips of one direction over rungs."""
-    ticks = B.from_ticks(S.ticks(spark, sf_dir))
-    ladder = B.indexed(ticks.select("instrument", "timeframe", "t", *"ohlcv").unionByName(B.rollup(ticks, ["2h", "4h", "1d"]).select("instrument", "timeframe", "t", *"ohlcv")))
-    flips = E.flips(ladder.withColumn("dir", F.signum(c("c") - c("o"))).where("dir <> 0"), "dir").select("instrument", F.when(c("dir") > 0, "up").otherwise("down").alias("direction"), c("timeframe").alias("rung"), "t")
-    keys = ["instrument", "direction"]
-    return folds.fold(folds.last_marked(flips, keys, ["t", "rung"]), folds.clusters({n: 2 * s for n, s in SECONDS.items()}), folds.CLUSTER, keys, ("t", "rung"))

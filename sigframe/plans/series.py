@@ -83,12 +83,6 @@ def b_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.audit(hourly(spark, sf_dir), 3600)
 
 
-@register()
-def b_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars within trading sessions by local time."""
-    return hourly(spark, sf_dir).select("instrument", "t", *[B.in_session(c("t"), s).alias(s) for s in B.SESSIONS])
-
-
 @register(f"""WITH {BARS}, d AS (SELECT instrument, timeframe, t - t % 86400 AS period, first(o ORDER BY t) AS open, last(c ORDER BY t) AS close FROM bars GROUP BY 1, 2, 3)
 SELECT instrument, timeframe, period, round(open, 6) AS open, round(close, 6) AS close, round(open - lag(close) OVER (PARTITION BY instrument ORDER BY period), 6) AS gap FROM d""")
 def b_opening_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,14 +255,6 @@ def r_recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(b, "instrument", "bar_idx", "ema11", "ema12", "atr", "rsi", "wt1", "wt2", "obv", places=5)
 
 
-@register()
-def r_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MACD, Schaff cycle, blend, true strength, decaying peak."""
-    b = hourly(spark, sf_dir)
-    b = recursive.tsi(recursive.trend_blend(recursive.schaff(recursive.macd(b)))).withColumn("peak", recursive.peak("c", 0.991))
-    return rounded(b, "instrument", "bar_idx", "macd", "macd_hist", "stc", "blend", "tsi", "peak", places=4)
-
-
 def oscillated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with WaveTrend and a ribbon, for events."""
     return recursive.wavetrend(recursive.ribbon(hourly(spark, sf_dir)))
@@ -289,17 +275,6 @@ def e_point_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev, "instrument", "bar_idx", "t", "known_at", "type", "side", "price")
 
 
-@register()
-def e_oscillator_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WaveTrend crossings and turns, ribbon events and stack."""
-    w = windows.series()
-    b = oscillated(spark, sf_dir)
-    b = b.withColumns({**E.ribbon_events(w), **E.turns("wt2", -60, 60, w), "buy": E.crossover("wt1", "wt2", w) & (c("wt2") <= -53), "sell": E.crossunder("wt1", "wt2", w) & (c("wt2") >= 53), "stack": rows.stacked(F.array(*[c(f"ema{k}") for k in range(1, 9)]))})
-    names = {"green_dot": "bullish", "red_dot": "bearish", "red_cross": "bearish", "blue_triangle": "bullish", "red_diamond": "bearish", "blood_diamond": "bearish", "bull_candle": "bullish", "yellow_cross": "bullish", "turn_up": "bullish", "turn_down": "bearish", "buy": "bullish", "sell": "bearish"}
-    ev = E.emit(b, "oscillator", {k: (c(k), s) for k, s in names.items()} | {"stack_up": (c("stack") == "up", "bullish"), "stack_down": (c("stack") == "down", "bearish")})
-    return rounded(ev.drop("family", "timeframe"))
-
-
 @register(f"""WITH {BARS}, x AS (SELECT *, CASE WHEN c > o THEN 'up' WHEN c < o THEN 'down' ELSE 'flat' END AS state FROM bars), y AS (SELECT *, CASE WHEN lag(state) OVER {W} = state THEN 0 ELSE 1 END AS n FROM x), z AS (SELECT *, sum(n) OVER {W} AS run FROM y)
 SELECT instrument, state, min(bar_idx) AS start_idx, max(bar_idx) AS end_idx, count(*) AS bars FROM z GROUP BY instrument, state, run""")
 def e_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,13 +367,6 @@ def p_other_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@register()
-def d_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fractal divergences of WaveTrend, regular and hidden, each once."""
-    b = recursive.wavetrend(hourly(spark, sf_dir))
-    return P.divergences(b, "wt2", 0, 0).dropDuplicates([*KEY, "confirm_idx", "side", "kind"]).drop("timeframe")
-
-
 @register()
 def d_sight_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several oscillators against recorded pivots with a clear line between, and how many diverge at a bar."""
