@@ -134,11 +134,6 @@ def heikin_ashi(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return rows.withColumns({"ha_h": F.greatest("h", "ha_o", "ha_c"), "ha_l": F.least("l", "ha_o", "ha_c")})
 
 
-def filled(x: str, keys: list[str] = KEY) -> Column:
-    """The last value there was, this row's included."""
-    return F.last(x, True).over(series(*keys).rowsBetween(Window.unboundedPreceding, 0))
-
-
 def high_pass(df: DataFrame, x: str, period: float, name: str, keys: list[str] = KEY) -> DataFrame:
     """Two-pole high pass. Its poles are one double real one, so it is two affine scans; missing values and history count as zero."""
     w = 0.707 * 2 * math.pi / period

@@ -103,11 +103,12 @@ def circular_shift(df: DataFrame, mark: Column, value: str, shifts: list[int], b
     return out.select(*by, "shift", (c("_m") / c("_k") - ratio(c("_s") - c("_m"), (c("_n") - c("_k")).cast("double"))).alias("diff"))
 
 
-def random_subsets(df: DataFrame, value: str, size: int, reps: int, seed: int = 42) -> DataFrame:
-    """Mean of a random subset of ``size`` rows in each replicate."""
-    order = Window.partitionBy("rep").orderBy(F.xxhash64("rep", "unit", F.lit(seed)))
-    rows = replicated(df.select("unit", value), reps).withColumn("_k", F.row_number().over(order)).where(c("_k") <= size)
-    return rows.groupBy("rep").agg(F.avg(value).alias("mean"))
+def random_subsets(df: DataFrame, value: str, size: int, reps: int, by: list[str], seed: int = 42) -> DataFrame:
+    """Mean of a random subset of ``size`` rows of each key in each replicate: the rows with the least draws. Rows are numbered by ``unit`` from 0."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    rows = replicated(df.select(*by, "unit", value).join(sizes, by), reps).withColumn("_u", draw(c("rep") * c("_n") + c("unit") + 1, seed))
+    order = Window.partitionBy(*by, "rep").orderBy("_u", "unit")
+    return rows.withColumn("_k", F.row_number().over(order)).where(c("_k") <= size).groupBy(*by, "rep").agg(F.avg(value).alias("mean"))
 
 
 def matched_draws(outcomes: DataFrame, pool: Column, size: int, reps: int, by: list[str], value: str, seed: int = 42) -> DataFrame:

@@ -300,6 +300,15 @@ def q_random_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.random_level_sweeps(ranged(spark, sf_dir), 100, 50, 3.0, ["instrument"]), "instrument", "draw", "bar_idx", "level", "hit_idx", places=5)
 
 
+@register(f"""WITH {BARS}, s AS (SELECT instrument, bar_idx AS unit, c, count(*) OVER (PARTITION BY instrument) AS n FROM bars), g AS (SELECT unnest(generate_series(0, 9)) AS rep), rk AS (SELECT s.*, rep, rep * n + unit + 1 AS k FROM s, g), ks AS (SELECT DISTINCT k FROM rk), {_DRAW}, o AS (SELECT instrument, rep, c, row_number() OVER (PARTITION BY instrument, rep ORDER BY u.u, unit) AS i FROM rk JOIN u USING (k))
+SELECT instrument, rep, round(avg(c) + 1e-9, 5) AS mean FROM o WHERE i <= 30 GROUP BY 1, 2""")
+def q_random_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9: means of random subsets of bars."""
+    b = hourly(spark, sf_dir).withColumnRenamed("bar_idx", "unit")
+    got = R.random_subsets(b, "c", 30, 10, ["instrument"])
+    return got.select("instrument", "rep", F.round(c("mean") + 1e-9, 5).alias("mean"))
+
+
 @register(f"""WITH {_TRADES}, y AS (SELECT *, max(xi) OVER (PARTITION BY instrument ORDER BY ei, xi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM trades), z AS (SELECT *, sum(CASE WHEN ei < m THEN 0 ELSE 1 END) OVER (PARTITION BY instrument ORDER BY ei, xi ROWS UNBOUNDED PRECEDING) AS k FROM y), ch AS (SELECT instrument, k, avg(pnl) AS p FROM z GROUP BY 1, 2),
 s AS (SELECT instrument, avg(p) AS m, stddev_samp(p) AS s, count(*) AS n FROM ch GROUP BY 1), fw AS (SELECT instrument, (lead(c, 5) OVER {W} - c) / nullif(c, 0) * 100 AS f FROM bars)
 SELECT s.instrument, round(any_value(m), 5) AS m, round(any_value(m) / nullif(any_value(s.s) / sqrt(any_value(n)), 0), 5) AS t, any_value(n) AS n, round(avg(CASE WHEN fw.f < m THEN 1.0 ELSE 0.0 END) * 100, 5) AS percentile FROM s JOIN fw ON fw.instrument = s.instrument AND fw.f IS NOT NULL GROUP BY 1""")
