@@ -182,3 +182,36 @@ def test_queries_equal_sql(spark, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert _plain(got[columns].astype(object).where(got[columns].notna(), None).values.tolist()) == _plain(want[columns].astype(object).where(want[columns].notna(), None).values.tolist())
+
+
+@pytest.mark.parametrize("name", ["f_filters", "r_cycles", "p_balanced_ranges", "e_tiers", "c_agreement_depth", "l_costs", "q_random_subsets", "m_repaired"])
+def test_later_queries_equal_sql(spark, name):
+    test_queries_equal_sql(spark, name)
+
+
+def test_filters_equal_a_loop(spark):
+    x = np.random.default_rng(3).normal(0, 1, 1500)
+    b = recursive.super_smoother(recursive.high_pass(bars(spark, flat(x)), "c", 48, "hp"), "c", 10, "low")
+    got = b.orderBy("bar_idx").collect()
+    w = 0.707 * 2 * np.pi / 48
+    alpha = (np.cos(w) + np.sin(w) - 1) / np.cos(w)
+    a, turn = np.exp(-np.sqrt(2) * np.pi / 10), np.sqrt(2) * np.pi / 10
+    hp, low = np.zeros(1502), np.zeros(1502)
+    v = np.r_[0, 0, x]
+    for i in range(2, 1502):
+        hp[i] = 2 * (1 - alpha) * hp[i - 1] - (1 - alpha) ** 2 * hp[i - 2] + (1 - alpha / 2) ** 2 * (v[i] - 2 * v[i - 1] + v[i - 2])
+        low[i] = 2 * a * np.cos(turn) * low[i - 1] - a * a * low[i - 2] + (1 - 2 * a * np.cos(turn) + a * a) / 2 * (v[i] + v[i - 1])
+    assert np.abs(np.array([r.hp for r in got]) - hp[2:]).max() < 1e-9 and np.abs(np.array([r.low for r in got]) - low[2:]).max() < 1e-9
+
+
+def test_three_means_of_many_rows(spark):
+    x = np.random.default_rng(4).normal(0, 1, 300)
+    got = bars(spark, flat(x)).withColumn("m", windows.three_means("c", windows.series(), 50)).orderBy("bar_idx").collect()
+    assert all(r.m is None for r in got[:49])
+    for r in got[49::37]:
+        v = x[r.bar_idx - 49 : r.bar_idx + 1]
+        at = v.min() + (v.max() - v.min()) * np.array([0.75, 0.5, 0.25])
+        for _ in range(200):
+            d = np.abs(v[:, None] - at)
+            at = np.array([v[d[:, k] == d.min(1)].mean() for k in range(3)])
+        assert np.allclose(r.m, at)
