@@ -21,6 +21,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Words and their ids that a worker keeps: about 250 bytes each.
 PIECES = 900_000
 MARKS = ".,;:!?%$*&#|)"
+#: Tables of narrow rows (keys of some ten bytes) up to so many rows are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """To be broadcast where it is counted and found small, otherwise joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def whole_text(col: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, packing, pii_surrogates, quality_classifier, quality_rules, simhash_dedup, token_output, topk_search, url_filter
+from . import centroid_clustering, exact_dedup, filter_audit, license_scan, mixing, packing, pii_surrogates, quality_classifier, quality_rules, simhash_dedup, token_output, topk_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed=url_filter.production_list(pages)).drop("listed")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_packing, op3_quality_classifier, op4_quality_rules, op5_topk_search, op6_pii_surrogates, op7_token_output, op8_simhash_dedup, op9_mixing, op10_url_filter]
+    found = [
+        op1_license_scan, op2_packing, op3_quality_classifier, op4_quality_rules, op5_topk_search, op6_pii_surrogates, op7_token_output, op8_simhash_dedup,
+        op9_mixing, op10_url_filter, op11_centroid_clustering, op12_filter_audit, op13_exact_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -117,6 +132,55 @@ m AS (SELECT n.*, k.rule, k.v, row_number() OVER (PARTITION BY page_id ORDER BY
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host || regexp_replace(path, '/$', '') IN (SELECT canonical FROM z) THEN 'block' ELSE 'allow' END) AS verdict FROM m WHERE i = 1"""
 
 
+def _op11_sql() -> str:
+    """Every distance in every round; a list of CTEs, two for each round."""
+    c = centroid_clustering
+    fine = f"len(embedding) = {c.DIMS} AND list_count(embedding) = {c.DIMS} AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0"
+    q = f"list_transform(embedding, lambda x: CAST(floor({c.SCALE} * CAST(x AS DOUBLE)) AS BIGINT))"
+    hashed = f"sha256('{c.SALT}:' || CAST(vec_id AS VARCHAR))"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, {q} AS q FROM embeddings WHERE {fine})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {hashed} NULLS LAST, q) - 1 AS c, q FROM v QUALIFY c < {c.K})",
+    ]
+    square = "CAST(list_sum(list_transform(list_zip(v.q, k.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    for i in range(c.ROUNDS + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v.q) AS q, min(struct_pack(d := {square}, c := k.c)) AS m FROM v, c{i} AS k GROUP BY rid)")
+        if i < c.ROUNDS:
+            sums = f"SELECT m.c AS c, dim, sum(q[dim]) AS s, count(*) AS n FROM a{i}, range(1, {c.DIMS + 1}) AS g(dim) GROUP BY m.c, dim"
+            means = f"SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY dim) AS q FROM ({sums}) GROUP BY c"
+            parts.append(f"c{i + 1} AS MATERIALIZED ({means} UNION ALL SELECT c, q FROM c{i} WHERE c NOT IN (SELECT m.c FROM a{i}))")
+    last = f"a{c.ROUNDS}"
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.q, ',')) AS centroid_sha256 FROM {last} JOIN c{c.ROUNDS} AS k ON m.c = k.c"
+    )
+
+
+OP12_SQL = """WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+f AS (SELECT w.*, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+  + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(first_id < w.doc_id, false) AS INT) AS mask
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, mask),
+r AS (SELECT i FROM range(5) AS t(i)),
+p AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM r AS a, r AS b, r AS c, r AS d, r AS e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda i: substr('ABCDE', CAST(i + 1 AS INT), 1)), '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(1 << o[step] AS INT) AS bit,
+  CAST(coalesce(list_sum(list_transform(o[1:step - 1], lambda i: CAST(1 << i AS INT))), 0) AS INT) AS before FROM p, range(1, 6) AS t(step)),
+y AS (SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER ((mask & (before | bit)) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & bit) <> 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER ((mask & before) <> 0 AND (mask & bit) <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(g) FILTER ((mask & before) = 0 AND (mask & bit) <> 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(x) FILTER ((mask & before) = 0 AND (mask & bit) <> 0), 0) AS BIGINT) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM y"""
+
+OP13_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the same rows. The others tokenize, train, draw or hash as SQL cannot; the tests hold them against plain versions."""
-    return {"op1_license_scan": _op1_sql(), "op5_topk_search": OP5_SQL, "op9_mixing": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {
+        "op1_license_scan": _op1_sql(), "op5_topk_search": OP5_SQL, "op9_mixing": OP9_SQL, "op10_url_filter": OP10_SQL,
+        "op11_centroid_clustering": _op11_sql(), "op12_filter_audit": OP12_SQL, "op13_exact_dedup": OP13_SQL,
+    }

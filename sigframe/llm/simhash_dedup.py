@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import release, slices, stored, tidy, whole_text
+from .common import few, release, slices, stored, tidy, whole_text
 
 DISTANCE, SEGMENTS = 3, 4
 GROUP = 1000
@@ -42,8 +42,6 @@ SEED = 42
 LANES, KEYS = 128, 16
 #: Nodes of a large group that go to each of its parts, and rows of a part where texts' whole hashes are compared.
 COMMON, TEXTS = 4, 250
-#: Tables of keys up to so many rows (some ten bytes each) are broadcast.
-BROADCAST_ROWS = 200_000
 ALL = (1 << 64) - 1
 
 
@@ -228,11 +226,6 @@ def _run_links(rows: DataFrame, near: Callable, width: int) -> DataFrame:
     return dealt.mapInArrow(tidy(_links_of_runs(near, width)), "a long, b long")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """To be broadcast where it is counted and found small, otherwise joined by a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _shared_keys(keys: DataFrame) -> DataFrame:
     return keys.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
 
@@ -352,18 +345,18 @@ def covering_links(rows: DataFrame, near: Callable, group: int, name: str, class
     def linked(some: DataFrame) -> DataFrame:
         return _pair_links(some if classes is None else some.join(classes.select("node", "lanes"), "node"), near, similarity)
 
-    usual = rows.join(_few(hot.select(by)), by, "left_anti") if any_hot else rows
+    usual = rows.join(few(hot.select(by)), by, "left_anti") if any_hot else rows
     if classes is not None:
         usual = usual.join(shared.where(F.col("n") <= group).select(by), by, "left_semi")
     links = linked(usual.select(*by, F.lit(0).alias("part"), "node", F.col("node").alias("comp"), F.lit(-1).alias("side"), *values))
     if not any_hot:
         return links
     place = F.xxhash64("node", F.lit("part"))
-    held = rows.join(_few(hot), by).withColumn("parts", F.ceil(F.col("n") / group).cast("long"))
+    held = rows.join(few(hot), by).withColumn("parts", F.ceil(F.col("n") / group).cast("long"))
     held = stored(held.select(*by, "node", "parts", *values), f"{name}_hot")
     common = held.groupBy(*by, "parts").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(COMMON)])).alias("nodes"))
     common = stored(common.select(*by, F.explode("nodes").alias("node"), F.lit(True).alias("common")), f"{name}_common")
-    everywhere = held.join(_few(common), [*by, "node"], "left")
+    everywhere = held.join(few(common), [*by, "node"], "left")
     own = F.when(F.col("common"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(place, F.col("parts"))))
     salted = everywhere.select(*by, F.explode(own).alias("part"), "node", F.col("node").alias("comp"), F.lit(-1).alias("side"), *values)
     links = stored(links.unionByName(linked(salted)), f"{name}_links")
@@ -373,7 +366,7 @@ def covering_links(rows: DataFrame, near: Callable, group: int, name: str, class
     left = stored(left.select(*by, "main", F.ceil(F.col("all") / group).cast("long").alias("p"), F.ceil((F.col("all") - F.col("most")) / group).cast("long").alias("q")), f"{name}_left")
     if left.isEmpty():
         return links
-    still = known.join(_few(left), by)
+    still = known.join(few(left), by)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     whole = still.select("*", F.pmod(place, F.col("p")).alias("i"), upto("q").alias("j"), F.lit(0).alias("side"))
     outside = still.where("comp <> main").select("*", upto("p").alias("i"), F.pmod(place, F.col("q")).alias("j"), F.lit(1).alias("side"))
