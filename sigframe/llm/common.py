@@ -53,6 +53,16 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def repeated(df: DataFrame, count: str, keys: list[str], chunk: int = 1000) -> DataFrame:
+    """Each row as often as its column ``count`` says, without that column. Rows that come very often are dealt out over tasks by ``keys`` and their number."""
+    upto = lambda first, last: F.explode(F.sequence(first, last))
+    usual = df.where(F.col(count) <= chunk).withColumn("_again", upto(F.lit(1).cast("long"), F.col(count)))
+    often = df.where(F.col(count) > chunk).withColumn("_chunk", upto(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / chunk)))
+    often = often.repartition(*keys, "_chunk")
+    often = often.withColumn("_again", upto(F.lit(1).cast("long"), F.least(F.lit(chunk), F.col(count) - F.col("_chunk") * chunk)))
+    return usual.drop(count, "_again").unionByName(often.drop(count, "_again", "_chunk"))
+
+
 def whole_text(col: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

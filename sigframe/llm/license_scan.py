@@ -7,7 +7,7 @@ template's words that they cover must be a given share of it, within a span not
 with all its runs on one diagonal stands there word for word.
 
 Null and empty texts, and those without a hit, give a row with counts of zero, no places, empty labels and score 0. Rows that
-repeat both document id and text are looked at together and give a row each. An empty table gives no rows. No column but the id and the text is read.
+repeat both document id and text are looked at together and give a row each: their votes are summed where they lie before they meet, and their rows are dealt out again. An empty table gives no rows. No column but the id and the text is read.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, whole_text
+from .common import lower_ascii, repeated, stored, whole_text
 
 #: Phrases that stand for a licence by themselves.
 PHRASES = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
@@ -114,9 +114,11 @@ def scan(
     """Per text: the phrases' places, labels, and ``spans`` (template, label, first word, end, share covered) that were verified."""
     known = templates(docs.sparkSession, PHRASES if phrases is None else phrases, [*NOTICES, *TEXTS] if notices is None else notices)
     text = ["doc_id", "text"]
-    hits = _hits(docs, known, id_col, text_col).repartition(*text)
+    hits = _hits(docs, known, id_col, text_col)
     template = ["template", "label", "phrase", "length", "k"]
-    votes = hits.groupBy(*text, *template, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.max("n_words").alias("n_words"), F.count("*").alias("n"), F.collect_set("q").alias("qs"))
+    diagonal = (F.col("p") - F.col("q")).alias("diagonal")
+    votes = hits.groupBy(*text, *template, diagonal).agg(F.max("n_words").alias("n_words"), F.count("*").alias("n"), F.collect_set("q").alias("qs"))
+    votes = votes.repartition(*text)  # all that follows needs a text's votes together
     order = Window.partitionBy(*text, "template").orderBy("diagonal")
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= drift, 0).otherwise(1)
     merged = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -142,4 +144,4 @@ def scan(
         joined("base").alias("base_labels"), joined("good").alias("labels"), F.coalesce(F.max(F.when(F.col("good"), share)), F.lit(0.0)).alias("score"),
         F.collect_list(F.when(F.col("good") & ~F.col("phrase"), F.struct("template", "label", "first", "end", share.alias("share")))).alias("spans"),
     )
-    return out.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows", "_row")
+    return repeated(stored(out, "scanned"), "rows", text)

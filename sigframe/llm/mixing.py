@@ -27,6 +27,8 @@ STEP, LEVELS = 4096, 3
 SEED = 9
 #: Up to so many sources their table (some hundred bytes a row) is broadcast, so texts are not shuffled; beyond it is a shuffled join.
 BROADCAST_SOURCES = 20_000
+#: Rows of one rank that are counted together.
+BLOCK = 4096
 
 
 def words_of(text_col: str) -> Column:
@@ -126,11 +128,31 @@ def take(rows: DataFrame, goal: DataFrame) -> DataFrame:
     sure = F.col("_copies") * F.col("_size") + F.when(_certain(), F.col("_size")).otherwise(0)
     away = F.col("_cut").isNull() | (F.col("_rank") != F.col("_cut")) | _certain()
     whole = joined.where(away).withColumn("_taken", sure + F.when((F.col("_rank") < F.col("_cut")) & ~_certain(), F.col("_size")).otherwise(0))
-    # What shares the rank of the cut, one of 2 ** 36, is put in order.
-    order = Window.partitionBy("_source").orderBy(_odds(), "_u", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_below") + F.coalesce(F.sum("_size").over(order), F.lit(0))
-    part = joined.where(~away).withColumn("_taken", sure + F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - before)))
-    return whole.unionByName(part)
+    return whole.unionByName(_at_the_cut(joined.where(~away).withColumn("_sure", sure)))
+
+
+def _at_the_cut(joined: DataFrame) -> DataFrame:
+    """What shares the rank of the cut, one of 2 ** 36, put in order, with the words taken of each.
+
+    That is a few rows, or very many equal ones (of one id and text). Equal rows of a block of ``BLOCK`` are counted as one, blocks are put in order by
+    these counts, and each row is numbered within its block: no task has all equal rows. The rows are stored, for their places must stay the same.
+    """
+    names = joined.columns
+    tied = stored(joined.withColumns({"_q": _odds(), "_place": F.monotonically_increasing_id()}), "tied")
+    tied = tied.withColumn("_block", F.floor(F.col("_place") / BLOCK))
+    equal = ["_block", "_source", "_u", "_id"]
+    blocks = tied.groupBy("_q", *equal).agg(F.sum("_size").alias("_n"))
+    order = Window.partitionBy("_source").orderBy("_q", "_u", "_id", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    blocks = stored(blocks.select(*[F.col(c).alias(f"{c}_of") for c in equal], "_before"), "tied_blocks")
+    number = F.row_number().over(Window.partitionBy(*equal).orderBy("_place"))
+    same = F.col("_id").eqNullSafe(F.col("_id_of"))
+    for c in equal[:-1]:
+        same &= F.col(c) == F.col(f"{c}_of")
+    rows = tied.withColumn("_number", number).join(blocks, same)
+    before = F.col("_below") + F.col("_before") + (F.col("_number") - 1) * F.col("_size")
+    taken = F.col("_sure") + F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - before))
+    return rows.select(*[c for c in names if c != "_sure"], taken.alias("_taken"))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:

@@ -141,7 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = max(known.count(), 1)
     picked = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(min(1.0, 0.95 * bound / n) * (1 << 30)))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"))
-    rows = rows.join(F.broadcast(picked.limit(bound)), "_id").select(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(shards)).alias("_shard"), "_id", "_text", "_y")
+    picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(bound)
+    # One text for each label, chosen where the rows lie: a shard holds no more than its labels, however often an id repeats.
+    one = rows.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.min("_y").alias("_y"))
+    rows = one.select(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(shards)).alias("_shard"), "_id", "_text", "_y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()

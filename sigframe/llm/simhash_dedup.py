@@ -17,9 +17,9 @@ more than the similarity says, and a link is kept only where the exact similarit
 A key or a group of candidates of any size is compared in full, in parts over tasks; only pairs that are connected already are left out.
 
 Null and empty texts have fingerprint zero, or equal lanes, and are linked like any other. Texts shorter than a shingle are one shingle.
-Rows that repeat a document id belong to one node of the bits; a null id takes part there without being anyone's representative. For
-``deduplicate`` a node is a set of shingles, so that rows with null or repeated ids stay unless their texts are similar. Empty
-tables give no rows. No column but the id and the text is read.
+A node is a fingerprint, or for ``deduplicate`` a set of shingles, and never an id: rows with null ids link others without being anyone's representative, and rows
+that repeat an id with different texts are linked by their texts alone. A component without any id has none. For ``deduplicate`` rows with null or repeated ids stay
+unless their texts are similar. Empty tables give no rows. No column but the id and the text is read.
 """
 
 from __future__ import annotations
@@ -397,17 +397,22 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
-def _members(marked: DataFrame, classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    found = classes.select(key, "node").join(components(links), "node", "left").select(key, F.coalesce("component", "node").alias("component_id"))
-    return marked.join(found, key, "left")
-
-
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, group: int = GROUP) -> DataFrame:
-    """(doc_id, fingerprint, component_id): every document with the smallest id reachable over fingerprints that differ in at most 3 bits."""
+    """(doc_id, fingerprint, component_id): every document with the smallest id reachable over fingerprints that differ in at most 3 bits.
+
+    A fingerprint is a node; ids come in at the end. Only rows of fingerprints that are linked or occur twice are joined.
+    """
     marked = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "classes")
-    out = _members(marked, classes, bit_links(classes, group), "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = stored(classes.select("fp", F.col("fp").alias("node"), "least", "n"), "classes")
+    moved = stored(components(bit_links(classes.select("node", "fp"), group)), "moved")
+    linked = moved.unionByName(moved.select(F.col("component").alias("node"), "component").distinct())
+    linked = stored(linked.join(classes.select("node", "least"), "node"), "linked")
+    ids = stored(linked.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    copies = classes.where("n > 1").join(few(linked.select("node")), "node", "left_anti").select("fp", F.col("least").alias("component_id"))
+    found = linked.join(few(ids), "component").select(F.col("node").alias("fp"), "component_id").unionByName(copies)
+    out = marked.join(few(stored(found, "members")), "fp", "left")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, group: int) -> tuple[DataFrame, DataFrame]:

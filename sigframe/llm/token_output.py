@@ -2,7 +2,7 @@
 
 A file is a Parquet table in the shared folder; its rows are segments of a shard: whole documents with about
 ``SEGMENT_IDS`` ids, as 64-bit words with the place of each block's first word. Shards are the tasks of a range partitioning by document
-(and, where many rows share an id, by a hash of the text), so shard number, segment number and place in the segment give the place of an id among all ids.
+(and, where many rows share an id, by a hash of the text, and where they share that too, by their place in the input), so shard number, segment number and place in the segment give the place of an id among all ids.
 
 Null and empty texts are documents with only the end id. A null document id comes first. Repeated rows are written
 each on its own, ordered by the text's hash where the ids tie. An empty table gives files without segments. No column but the id and the text is read.
@@ -60,8 +60,8 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield _segment(shard, number, start, keys, held)[0]
 
     text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
     rows.mapInArrow(tidy(work), FILE_SCHEMA).write.parquet(path)
 
 
