@@ -29,6 +29,40 @@ def equity(trades: DataFrame, by: list[str], order: list[str], pnl: str = "pnl_p
     return rows.withColumn("drawdown", 1 - c("equity") / c("peak"))
 
 
+def equity_by_blocks(trades: DataFrame, by: list[str], order: list[str], pnl: str = "pnl_pct", block: int = 4096) -> DataFrame:
+    """As ``equity``, with a key's trades shared among tasks by blocks of their order.
+
+    What a block does to an equity is a pair: the factor of its whole product, and the highest product within it. Pairs are put together in the order of the blocks, a row for each; then each
+    block goes on from the equity and the peak before it. Trades get their place from ranks of the order's first column, counted by value, so equal values lie in one block.
+    """
+    from ..sources.tables import kept
+
+    first = order[0]
+    counts = trades.groupBy(*by, first).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1))
+    places = counts.select(*by, first, F.floor(F.coalesce(upto, F.lit(0)) / block).alias("_blk"))
+    rows = kept(trades.join(places, [*by, first]).withColumn("_step", F.greatest(1 + c(pnl) / 100, F.lit(0.0))))
+    inside = Window.partitionBy(*by, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    log = F.sum(F.when(c("_step") > 0, F.ln("_step")).otherwise(0.0)).over(inside)
+    own = rows.withColumn("_f", F.when(F.min("_step").over(inside) <= 0, 0.0).otherwise(F.exp(log)))
+    own = kept(own.withColumn("_p", F.max("_f").over(inside)))
+    whole = own.groupBy(*by, "_blk").agg(F.max_by("_f", F.struct(*order)).alias("_factor"), F.max("_p").alias("_top"))
+    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.when(F.min("_factor").over(before) <= 0, 0.0).otherwise(F.exp(F.coalesce(F.sum(F.ln(F.greatest("_factor", F.lit(1e-300)))).over(before), F.lit(0.0))))
+    starts = whole.withColumn("_start", start)
+    peak = F.greatest(F.lit(1.0), F.coalesce(F.max(c("_start") * c("_top")).over(before), F.lit(1.0)))
+    starts = starts.select(*by, "_blk", "_start", peak.alias("_peak"))
+    out = own.join(starts, [*by, "_blk"]).withColumns({"equity": c("_start") * c("_f"), "peak": F.greatest("_peak", c("_start") * c("_p"))})
+    return out.withColumn("drawdown", 1 - c("equity") / c("peak")).drop("_blk", "_step", "_f", "_p", "_start", "_peak")
+
+
+def growth_inputs(trades: DataFrame, by: list[str], entry_t: str, exit_t: str, pnl: str = "pnl_pct") -> DataFrame:
+    """Trades, years from the first entry to the last exit, trades a year, mean result, and the compounded multiple: (multiple) ** (1 / years) is the yearly growth."""
+    years = (F.max(exit_t) - F.min(entry_t)) / 31_557_600.0
+    out = trades.groupBy(*by).agg(F.count("*").alias("n"), years.alias("years"), F.avg(pnl).alias("expectancy"), F.exp(F.sum(F.ln(F.greatest(1 + c(pnl) / 100, F.lit(1e-12))))).alias("multiple"))
+    return out.withColumn("per_year", c("n") / F.nullif(c("years"), F.lit(0.0)))
+
+
 def equity_summary(curve: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return curve.groupBy(*by).agg(F.max_by("equity", F.struct(*order)).alias("final_equity"), F.max("peak").alias("peak"), F.max("drawdown").alias("max_drawdown"))
 

@@ -1,6 +1,6 @@
 """Order-dependent state machines: one step function, run over groups in batch and over streams.
 
-Only what cannot be a window is folded, and over as few rows as will do: candidates and touches, pivots, flips, breaks. The band ratchet alone reads every bar.
+In batch only clusters of flips are folded; bands, zones and pools are scans over blocks (``scans``), and their steps here are what a stream takes.
 A fold takes a key's rows sorted by ``bar_idx``, in batches, and keeps its state between them; it never holds a whole key.
 """
 
@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.recursive import atr
-from ..functions.windows import bounded, three_means
 from ..schema import KEY
 
 Step = Callable[[dict[str, Any], dict[str, Any]], list[dict[str, Any]]]
@@ -65,22 +63,6 @@ def ratchet(state: dict, r: dict) -> list[dict]:
 RATCHET = "bar_idx long, direction int, line double, regime string"
 
 
-def band_inputs(bars: DataFrame, length: int = 10, train: int = 100, factor: float = 3.0, keys: list[str] = KEY) -> DataFrame:
-    """What the ratchet needs of each bar: the middle, the width of the bands from the volatility cluster nearest to the ATR, and that cluster's name."""
-    rows = bounded(atr(bars, length, "atr", keys), train, lambda w: {"centres": three_means("atr", w, train)}, keys=keys)
-    near = [F.abs(F.col("atr") - F.col("centres")[i]) for i in range(3)]
-    i = F.when(near[0] <= F.least(near[1], near[2]), 0).when(near[1] <= near[2], 1).otherwise(2)
-    name = F.when(i == 0, "HIGH").when(i == 1, "MEDIUM").otherwise("LOW")
-    width = F.when(F.col("bar_idx") >= length + train, F.element_at("centres", i + 1) * factor)
-    return rows.select(*keys, "bar_idx", "t", "c", ((F.col("h") + F.col("l")) / 2).alias("hl2"), width.alias("width"), F.when(width.isNotNull(), name).alias("regime"))
-
-
-def supertrend(bars: DataFrame, length: int = 10, train: int = 100, factor: float = 3.0, keys: list[str] = KEY) -> DataFrame:
-    """Bars with ``direction``, ``line`` and ``regime`` of the adaptive bands. ATR and clusters are windows; only the ratchet is folded."""
-    got = fold(band_inputs(bars, length, train, factor, keys), ratchet, RATCHET, keys)
-    return bars.join(got, [*keys, "bar_idx"], "left")
-
-
 def zone_pool(most: int = 3, life: int = 200, spread: float = 0.6) -> Step:
     """Line zones: a candidate (kind "candidate", price, atr) opens one unless an active one is within ``spread`` ATR; the oldest goes when there are more than ``most``.
 

@@ -5,6 +5,8 @@ Events have ``event_id``, keys, ``bar_idx`` (the signal's bar), ``side``. The en
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +121,66 @@ def trailing_stop(trades: DataFrame, bars: DataFrame, distance: str, horizon: in
     return trades.join(hit, "event_id", "left")
 
 
+def structural_exits(
+    trades: DataFrame, bars: DataFrame, marks: DataFrame, target_r: float, rules: dict[str, tuple[bool, bool]], horizon: int = HORIZON, keys: list[str] = KEY
+) -> DataFrame:
+    """Each trade once for each rule (whether it has a target, whether it ends at an opposite mark): (.., rule, exit_reason, exit_idx, exit).
+
+    In one bar the stop comes first, then the target, then the mark, which exits at the bar's close; so does a time-out.
+    """
+    s = sign()
+    rows = kept(opposite_exit(trades.withColumn("_goal", c("entry") + s * c("risk") * target_r), marks, keys, horizon))
+    long_, short = rows.where(s == 1), rows.where(s == -1)
+    reach = bars.select(*keys, "bar_idx", "h", "l")
+    first = lambda level, low, high: _touched(long_, reach, keys, level, low[0], low[1], horizon).unionByName(_touched(short, reach, keys, level, high[0], high[1], horizon))
+    stops = first("stop", ("l", False), ("h", True)).withColumnRenamed("hit_idx", "_stop_idx")
+    goals = first("_goal", ("h", True), ("l", False)).withColumnRenamed("hit_idx", "_goal_idx")
+    ends = bars.groupBy(*keys).agg(F.max("bar_idx").alias("_end"))
+    met = rows.join(stops, "event_id", "left").join(goals, "event_id", "left").join(ends, keys)
+    none = F.lit(None).cast("long")
+    each = F.array(*[F.struct(F.lit(k).alias("rule"), (c("_goal_idx") if goal else none).alias("g"), (c("opposite_idx") if mark else none).alias("m")) for k, (goal, mark) in rules.items()])
+    met = met.withColumn("_r", F.explode(each))
+    early = lambda a, *others: a.isNotNull() & reduce(Column.__and__, [o.isNull() | (a <= o) for o in others])
+    stop, goal, mark = c("_stop_idx"), c("_r.g"), c("_r.m")
+    why = F.when(early(stop, goal, mark), "stop").when(early(goal, mark), "target").when(mark.isNotNull(), "opposing").otherwise("timeout")
+    met = met.withColumns({"rule": c("_r.rule"), "exit_reason": why})
+    at = F.when(c("exit_reason") == "stop", stop).when(c("exit_reason") == "target", goal).when(c("exit_reason") == "opposing", mark)
+    met = met.withColumn("exit_idx", F.coalesce(at, F.least(c("entry_idx") + horizon, c("_end"))))
+    met = met.join(bars.select(*keys, c("bar_idx").alias("exit_idx"), c("c").alias("_close")), [*keys, "exit_idx"])
+    price = F.when(c("exit_reason") == "stop", c("stop")).when(c("exit_reason") == "target", c("_goal")).otherwise(c("_close"))
+    return met.withColumn("exit", price).drop("_goal", "_stop_idx", "_goal_idx", "_end", "_r", "_close", "opposite_idx")
+
+
+def zone_origin_exits(trades: DataFrame, bars: DataFrame, zones: DataFrame, horizon: int = HORIZON, keys: list[str] = KEY) -> DataFrame:
+    """Trades (bar_idx, entry_idx, entry, stop) out at the close of the bar where the first zone of the other side after the signal has its origin, at the stop before that, or after
+    ``horizon`` bars. Trades whose exit would not lie after the entry are left out."""
+    s = sign()
+    marks = zones.select(*keys, c("side"), c("origin_idx").alias("bar_idx"))
+    own = trades.withColumns({"_entry": c("entry_idx"), "entry_idx": c("bar_idx")})  # looked for from the signal's bar on
+    rows = opposite_exit(own, marks, keys, horizon + 1).withColumn("entry_idx", c("_entry")).drop("_entry")
+    ends = bars.groupBy(*keys).agg(F.max("bar_idx").alias("_end"))
+    latest = F.least(c("entry_idx") + horizon, c("_end"))
+    rows = kept(rows.join(ends, keys).withColumn("_natural", F.least(F.coalesce("opposite_idx", latest), latest)).where("_natural > entry_idx").drop("_end", "opposite_idx"))
+    reach = bars.select(*keys, "bar_idx", "h", "l")
+    stops = _touched(rows.where(s == 1), reach, keys, "stop", "l", False, horizon).unionByName(_touched(rows.where(s == -1), reach, keys, "stop", "h", True, horizon))
+    out = rows.join(stops, "event_id", "left").withColumn("_hit", c("hit_idx") <= c("_natural"))
+    out = out.join(bars.select(*keys, c("bar_idx").alias("_natural"), c("c").alias("_close")), [*keys, "_natural"])
+    hit = F.coalesce("_hit", F.lit(False))
+    return out.withColumns({"exit_idx": F.when(hit, c("hit_idx")).otherwise(c("_natural")), "exit": F.when(hit, c("stop")).otherwise(c("_close"))}).drop("_natural", "_hit", "_close", "hit_idx")
+
+
+def decline_first(events: DataFrame, bars: DataFrame, k: float, within: int, atr: str = "atr", keys: list[str] = KEY) -> DataFrame:
+    """Events (event_id, bar_idx, c, atr) with ``decline_first``: 1 if the price falls ``k`` ATR below the close before it rises as far above it, 0 if it rises first, null if neither
+    comes within so many bars. A bar that does both counts as a fall."""
+    rows = events.withColumns({"entry_idx": c("bar_idx") + 1, "_down": c("c") - k * c(atr), "_up": c("c") + k * c(atr)})
+    reach = bars.select(*keys, "bar_idx", "h", "l")
+    down = _touched(rows, reach, keys, "_down", "l", False, within - 1).withColumnRenamed("hit_idx", "_d")
+    up = _touched(rows, reach, keys, "_up", "h", True, within - 1).withColumnRenamed("hit_idx", "_u")
+    out = events.join(down, "event_id", "left").join(up, "event_id", "left")
+    first = F.when(c("_d").isNull() & c("_u").isNull(), F.lit(None)).when(c("_u").isNull() | (c("_d") <= c("_u")), 1).otherwise(0)
+    return out.withColumn("decline_first", first).drop("_d", "_u")
+
+
 def opposite_exit(trades: DataFrame, marks: DataFrame, keys: list[str] = KEY, horizon: int = HORIZON) -> DataFrame:
     """Trades with the first mark (side, bar_idx) of the other side after the entry, within the horizon."""
     m = marks.select(*keys, c("side").alias("_side"), c("bar_idx").alias("_i"), F.floor(c("bar_idx") / horizon).alias("_cell"))

@@ -12,7 +12,6 @@ from ..operators import aggregates as A
 from ..operators import bars as B
 from ..operators import compose as C
 from ..operators import events as E
-from ..operators import folds
 from ..operators import joins as J
 from ..operators import outcomes as O
 from ..operators import resampling as R
@@ -125,22 +124,6 @@ def z_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Z.returns_after(z, b).select("instrument", "side", c("from_idx").alias("created_idx"), "hit_idx", "reaction"))
 
 
-@register()
-def z_near_and_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near misses, lives that touches prolong, states of the nearest zone, and level crossings, as counts."""
-    z, b = blocks(spark, sf_dir)
-    touches = Z.interactions(z, b)
-    lives = Z.lives(touches, z).join(z, "zone_id")
-    b = S.kept(recursive.atr(b, 14))
-    lines = z.select(*KEY, c("zone_id").alias("line_id"), c("from_idx").alias("x0"), c("lo").alias("y0"), F.lit(0.01).alias("slope"))
-    parts = {"near_misses": Z.near_misses(z, b, 0.05), "prolonged": lives.where("expires_idx > from_idx + 200"), "inside": Z.nearest_state(z, b, "atr").where("gap_state = 'inside'"), "crossings": Z.projected_crossings(lines, b, "c", 50)}
-    out = None
-    for name, df in parts.items():
-        one = df.groupBy("instrument").agg(F.count("*").alias("n")).select("instrument", F.lit(name).alias("kind"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def trades(spark: SparkSession, sf_dir: str, on_timeout: str = "close") -> tuple[DataFrame, DataFrame]:
     """Breaks entered at the next open, with a stop at the bar's far end."""
     b = hourly(spark, sf_dir)
@@ -243,32 +226,6 @@ def q_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.join(gaps, "instrument").join(shift, "instrument"))
 
 
-@register()
-def l_exits_and_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excursions, slippage, costs by scenario, flips and settled trades, as means."""
-    t, b = trades(spark, sf_dir)
-    b = S.kept(recursive.atr(b, 14))
-    t = t.join(b.select(*KEY, "bar_idx", "atr"), [*KEY, "bar_idx"])
-    slipped = O.slipped(t, 0.1, 0.05, 0.02).withColumn("hours", c("bars_held").cast("double"))
-    costs = J.grid(slipped, "taker", [0.0, 0.05, 0.1]).withColumn("net", c("pnl_pct") - 2 * c("taker") - c("hours") / 8 * 0.01)
-    flips = E.flips(b.withColumn("dir", F.signum(c("c") - c("o"))), "dir").withColumn("side", F.when(c("dir") > 0, "bullish").otherwise("bearish"))
-    parts = {
-        "net": costs.groupBy("instrument").agg(F.avg("net").alias("x")), "flip": O.flip_trades(flips.select(*KEY, "bar_idx", "side"), b).groupBy("instrument").agg(F.avg("pnl_pct").alias("x")),
-        "resolved": O.settled(t, b).where("status = 'resolved'").groupBy("instrument").agg(F.count("*").cast("double").alias("x")), "excursion": O.excursion(b, 10).groupBy("instrument").agg(F.avg("rise").alias("x")),
-    }
-    out = None
-    for name, df in parts.items():
-        one = df.select("instrument", F.lit(name).alias("kind"), F.round("x", 6).alias("x"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@register()
-def f_supertrend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adaptive bands; only the ratchet is folded."""
-    return rounded(folds.supertrend(hourly(spark, sf_dir)).where("direction IS NOT NULL").select("instrument", "bar_idx", "direction", "line", "regime"))
-
-
 _HP = 0.707 * 2 * math.pi / 48
 _ALPHA = (math.cos(_HP) + math.sin(_HP) - 1) / math.cos(_HP)
 _HK = (1 - _ALPHA / 2) ** 2
@@ -286,23 +243,3 @@ def f_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = recursive.super_smoother(recursive.high_pass(hourly(spark, sf_dir), "c", 48, "hp"), "hp", 10, "smooth")
     b = b.withColumn("peak", recursive.peak("smooth", 0.991))
     return rounded(b.withColumns({k: c(k) + 1e-9 for k in ("hp", "smooth", "peak")}), "instrument", "bar_idx", "hp", "smooth", "peak", places=4)
-
-
-@register()
-def f_zone_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line zones from pivots, refreshed by touches, at most three at a time; the fold sees candidates and touches only."""
-    b = recursive.atr(hourly(spark, sf_dir), 14)
-    piv = b.withColumn("p", P.pivot("h", 5, 5, windows.series())).where("p IS NOT NULL AND atr IS NOT NULL")
-    rows = piv.select(*KEY, "bar_idx", F.lit("candidate").alias("kind"), c("p").alias("price"), "atr", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    touch = b.select(*KEY, "bar_idx", F.lit("touch").alias("kind"), F.lit(None).cast("double").alias("price"), "atr", c("l").alias("low"), c("h").alias("high"))
-    return rounded(folds.fold(folds.last_marked(rows.unionByName(touch), KEY, ["bar_idx", "kind"], "last"), folds.zone_pool(), folds.ZONE_POOL, order=("bar_idx", "kind")).drop("timeframe"))
-
-
-@register()
-def f_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Liquidity pools of pivots and the bar that takes each."""
-    b = recursive.atr(hourly(spark, sf_dir), 14)
-    none = F.lit(None).cast("double")
-    piv = b.withColumn("p", P.pivot("h", 3, 3, windows.series(), True, True, False)).where("p IS NOT NULL AND atr IS NOT NULL").select(*KEY, "bar_idx", F.lit("pivot").alias("kind"), c("p").alias("price"), "atr", none.alias("high"), none.alias("low"), F.lit("high").alias("side"))
-    bar = b.select(*KEY, "bar_idx", F.lit("bar").alias("kind"), none.alias("price"), "atr", c("h").alias("high"), c("l").alias("low"), F.lit("high").alias("side"))
-    return rounded(folds.fold(folds.last_marked(piv.unionByName(bar), KEY, ["bar_idx", "kind"], "last"), folds.liquidity_pools(), folds.POOL, order=("bar_idx", "kind")).drop("timeframe"))

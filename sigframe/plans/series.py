@@ -227,13 +227,6 @@ def w_ranks_and_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(b.withColumn("c_rank", F.round("c_rank", 6)), "instrument", "bar_idx", "vwap", "c_rank", "c_bin", "tip", "max_around_h", "min_around_h", "osc", places=5).drop("c_rank").join(b.select("instrument", "bar_idx", F.round("c_rank", 6).alias("c_rank")), ["instrument", "bar_idx"])
 
 
-@register()
-def w_volatility_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three volatility clusters of the last 100 bars."""
-    b = windows.bounded(recursive.atr(hourly(spark, sf_dir), 10), 100, lambda w: {"centres": windows.three_means("atr", w)})
-    return b.where("centres IS NOT NULL").select("instrument", "bar_idx", *[F.round(c("centres")[i], 6).alias(n) for i, n in enumerate(("high", "middle", "low"))])
-
-
 @register(f"""WITH RECURSIVE {BARS}, x AS (SELECT instrument, bar_idx, o, h, l, c, v, (h + l + c) / 3 AS ap, {_STEP} AS step, CASE WHEN lag(c) OVER {W} IS NULL THEN h - l ELSE greatest(h - l, abs(h - lag(c) OVER {W}), abs(l - lag(c) OVER {W})) END AS tr FROM bars),
 s AS (SELECT *, avg(tr) OVER {last(10)} AS tr10, avg(greatest(step, 0)) OVER {last(14)} AS g14, avg(greatest(-step, 0)) OVER {last(14)} AS l14, avg(c) OVER {last(12)} AS c12 FROM x),
 r AS (SELECT instrument, bar_idx, c AS e11, CAST(NULL AS DOUBLE) AS e12, CAST(NULL AS DOUBLE) AS atr, CAST(NULL AS DOUBLE) AS ag, CAST(NULL AS DOUBLE) AS al, ap AS esa, 0.0::DOUBLE AS d FROM s WHERE bar_idx = 0
@@ -348,25 +341,6 @@ def p_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.fair_value_gaps(hourly(spark, sf_dir)).drop("gap_id", "timeframe"))
 
 
-@register()
-def p_other_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal levels, threshold gaps, balanced ranges, reclaimed breaks, near pivots, retracements, as counts by kind."""
-    b = S.kept(recursive.atr(hourly(spark, sf_dir), 14))
-    w = windows.series()
-    piv = b.withColumns({"hi": P.pivot("h", 3, 3, w), "lo": P.pivot("l", 3, 3, w, False)})
-    pivots = piv.select(*KEY, "bar_idx", "atr", F.explode(F.array_compact(F.array(F.when(c("hi").isNotNull(), F.struct(F.lit("high").alias("kind"), c("hi").alias("price"))), F.when(c("lo").isNotNull(), F.struct(F.lit("low").alias("kind"), c("lo").alias("price")))))).alias("p")).select(*KEY, "bar_idx", "atr", "p.*")
-    broken = S.kept(P.breaks(P.swings(b, 5, "swing"), "swing"))
-    parts = {
-        "equal_levels": P.equal_levels(pivots, "atr"), "threshold_gaps": P.threshold_gaps(b), "balanced_ranges": P.balanced_ranges(P.fair_value_gaps(b)), "reclaimed": P.failed_breaks(broken, b, 12).where("reclaim_idx IS NOT NULL"),
-        "clustered": P.near_earlier(pivots.withColumn("band", c("atr") / 2), "band").where("label = 'clustered'"), "retracements": P.retracements(pivots.select(*KEY, "bar_idx", "price")),
-    }
-    out = None
-    for name, df in parts.items():
-        one = df.groupBy("instrument").agg(F.count("*").alias("n")).select("instrument", F.lit(name).alias("kind"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @register()
 def d_sight_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several oscillators against recorded pivots with a clear line between, and how many diverge at a bar."""

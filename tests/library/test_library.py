@@ -153,7 +153,7 @@ def test_generator_and_permutations(spark):
 
 def test_flips_alternate(spark):
     x = np.random.default_rng(11).normal(0, 1, 600).cumsum() + 100
-    got = events.flips(folds.supertrend(bars(spark, [(v, v + 0.5, v - 0.5, v) for v in x])), "direction").orderBy("bar_idx").collect()
+    got = events.flips(scans.supertrend(bars(spark, [(v, v + 0.5, v - 0.5, v) for v in x])), "direction").orderBy("bar_idx").collect()
     assert got and all(a.direction != b.direction for a, b in zip(got, got[1:], strict=False))
 
 
