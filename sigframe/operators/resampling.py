@@ -37,13 +37,21 @@ def replicated(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
-def random_entries(trades: DataFrame, bars: DataFrame, reps: int, by: list[str], order: list[str], seed: int = 42, cost_pct: float = 0.0) -> DataFrame:
-    """Final equity of each replicate, in which each trade keeps its side and length (bars_held) and enters anywhere it fits."""
+def random_entries(trades: DataFrame, bars: DataFrame, reps: int, by: list[str], order: list[str], seed: int = 42, cost_pct: float = 0.0, random_sides: bool = False) -> DataFrame:
+    """Final equity of each replicate, in which each trade keeps its side and length (bars_held) and enters anywhere it fits.
+
+    With ``random_sides`` the sides are dealt anew, as many of each as there are: the trades of the least draws are bullish. These draws come after all of the entries.
+    """
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
     sizes = bars.groupBy(*by).agg(F.count("*").alias("_n"))
     rows = trades.withColumns({"_j": place, "_m": F.count("*").over(Window.partitionBy(*by))}).join(sizes, by).where(c("bars_held") < c("_n"))
     rows = replicated(rows.select(*by, "side", "bars_held", "_j", "_m", "_n"), reps)
     rows = rows.withColumn("_at", F.floor(draw(c("rep") * c("_m") + c("_j") + 1, seed) * (c("_n") - c("bars_held"))))
+    if random_sides:
+        longs = Window.partitionBy(*by, "rep")
+        bulls = F.sum(F.when(c("side") == "bullish", 1).otherwise(0)).over(longs)
+        rows = rows.withColumn("_u", draw((c("rep") + reps) * c("_m") + c("_j") + 1, seed)).withColumn("_bulls", bulls)
+        rows = rows.withColumn("side", F.when(F.row_number().over(longs.orderBy("_u", "_j")) <= c("_bulls"), "bullish").otherwise("bearish"))
     o = bars.select(*by, c("bar_idx").alias("_at"), c("o").alias("_in"))
     x = bars.select(*by, c("bar_idx").alias("_to"), c("o").alias("_out"))
     got = rows.join(o, [*by, "_at"]).withColumn("_to", c("_at") + c("bars_held")).join(x, [*by, "_to"])
@@ -69,17 +77,58 @@ def corrected(tests: DataFrame, p: str = "p", name: str = "test", alpha: float =
 
 
 def permuted_gap(units: DataFrame, label: str, n: str, wins: str, reps: int, stratum: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """(rep, gap): the win-rate gap of labels 1 and 0; replicate 0 is the real one, in the others labels are dealt anew among units (within strata)."""
+    """(rep, gap): the win-rate gap of labels 1 and 0; replicate 0 is the real one, in the others labels are dealt anew among units (within strata).
+
+    Units are summed up before (size and wins), so a replicate moves numbers of units, not rows. Unit i of a stratum of m takes the label of the unit whose draw, of number rep * m + i, has its
+    rank. Of labels 0 and 1 only the number of ones counts: the units of the least draws are the ones.
+    """
     strata = stratum or []
-    rows = replicated(units.select("unit", label, n, wins, *strata), reps + 1)
-    by = Window.partitionBy("rep", *strata)
-    rows = rows.withColumns({"_i": F.row_number().over(by.orderBy("unit")), "_j": F.row_number().over(by.orderBy(F.when(c("rep") == 0, F.lit(0)).otherwise(F.xxhash64("rep", "unit", F.lit(seed))), "unit"))})
-    dealt = rows.select("rep", *strata, c("_i").alias("_j"), c(label).alias("_dealt"))
-    got = rows.join(dealt, ["rep", *strata, "_j"])
+    own = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(1))
+    rows = units.select("unit", label, n, wins, *strata)
+    rows = rows.withColumns({"_i": F.row_number().over(own.orderBy("unit")), "_m": F.count("*").over(own), "_ones": F.sum(label).over(own)})
+    rows = replicated(rows, reps + 1).withColumn("_u", draw(c("rep") * c("_m") + c("_i"), seed))
+    rank = F.row_number().over(Window.partitionBy("rep", *strata).orderBy("_u", "_i"))
+    dealt = F.when(c("rep") == 0, c(label)).otherwise((rank <= c("_ones")).cast("int"))
+    got = rows.withColumn("_dealt", dealt)
     rate = lambda v: ratio(F.sum(F.when(c("_dealt") == v, c(wins))).cast("double"), F.sum(F.when(c("_dealt") == v, c(n))).cast("double"))
     return got.groupBy("rep", *strata).agg((rate(1) - rate(0)).alias("gap"))
 
 
+def one_sided(gaps: DataFrame, by: list[str]) -> DataFrame:
+    """(by, gap, n, p): the real gap (replicate 0), and the share of replicates at or above it."""
+    real = gaps.where("rep = 0").select(*by, c("gap").alias("_real"))
+    out = gaps.where("rep > 0").crossJoin(F.broadcast(real)) if not by else gaps.where("rep > 0").join(real, by)
+    return out.groupBy(*by).agg(F.first("_real").alias("gap"), F.count("*").alias("n"), F.avg(F.when(c("gap") >= c("_real") - 1e-12, 1.0).otherwise(0.0)).alias("p"))
+
+
+def shift_offsets(df: DataFrame, by: list[str], shifts: int, seed: int = 42) -> DataFrame:
+    """(by, rep, shift): for each replicate from 1 on a shift of at least one place round a series, from the generator's draw of its number."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shifts).cast("long"))))
+    return rows.select(*by, "rep", (1 + F.floor(draw(c("rep"), seed) * (c("_n") - 1))).alias("shift"))
+
+
+def shifted_means(df: DataFrame, mark: str, value: str, offsets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rep, diff): mean value on marked rows less that on all others, with the marks moved round the series by each offset; replicate 0 is the real one.
+
+    ``df`` has a row for each place 0 .. n-1 of a series in ``place``. Marks are taken as runs: what a moved run covers is the difference of two running sums, so a replicate takes two rows for
+    each run and not one for each mark.
+    """
+    w = Window.partitionBy(*by).orderBy("place")
+    rows = df.withColumns({"_before": F.sum(value).over(w) - c(value), "_k": F.sum(F.when(c(mark), 0).otherwise(1)).over(w)})
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"), F.count(F.when(c(mark), 1)).alias("_marks"))
+    ends = rows.select(*by, c("place").alias("at"), c("_before").alias("_p")).unionByName(sizes.select(*by, c("_n").alias("at"), c("_s").alias("_p")))
+    runs = rows.where(c(mark)).groupBy(*by, "_k").agg(F.min("place").alias("a"), F.max("place").alias("b")).drop("_k").join(sizes, by)
+    moves = offsets.select(*by, "rep", "shift").unionByName(sizes.select(*by, F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("shift")))
+    moved = runs.join(moves, by).withColumns({"_x": (c("a") + c("shift")) % c("_n"), "_y": (c("b") + c("shift")) % c("_n") + 1})
+    # A run that goes round the end covers what is before its end and after its start: the whole sum once more.
+    edge = F.array(F.struct(c("_x").alias("at"), F.lit(-1.0).alias("f")), F.struct(c("_y").alias("at"), F.lit(1.0).alias("f")))
+    wraps = F.when(c("_y") <= c("_x"), c("_s")).otherwise(0.0) / 2
+    halves = moved.select(*by, "rep", "_n", "_s", "_marks", wraps.alias("_w"), F.explode(edge).alias("e")).select("*", c("e.at").alias("at"), c("e.f").alias("f")).drop("e")
+    sums = halves.join(ends, [*by, "at"]).groupBy(*by, "rep", "_n", "_s", "_marks").agg(F.sum(c("f") * c("_p") + c("_w")).alias("_m"))
+    return sums.select(*by, "rep", (c("_m") / c("_marks") - ratio(c("_s") - c("_m"), (c("_n") - c("_marks")).cast("double"))).alias("diff"))
+
+
 def point_biserial(units: DataFrame, x: str, n: str, wins: str, by: list[str]) -> DataFrame:
     """Correlation of a number with single wins and losses, from counts of units."""
     w = c(n).cast("double")

@@ -18,18 +18,32 @@ SLICES = 8
 END = "~end"
 
 
-def replayed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """The ticks as files, written slice by slice in the order of time, and how far a slice reaches in seconds, which is how late a tick may come."""
-    path = S.shared_dir(spark)
+def sliced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """The ticks with the number of their slice of time, how long a slice is, and the last time."""
     ticks = S.kept(S.ticks(spark, sf_dir))
     lo, hi = ticks.agg(F.min("ts"), F.max("ts")).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
     width = (hi - lo) // SLICES + 1
-    for k in range(SLICES):
-        part = ticks.where((c("ts") >= lo + k * width) & (c("ts") < lo + (k + 1) * width))
-        part.withColumn("ts", F.timestamp_seconds("ts")).write.mode("append").parquet(f"{path}/ticks")
+    return ticks.withColumn("slice", F.floor((c("ts") - lo) / width)), width, hi
+
+
+def arrive(ticks: DataFrame, slices: range, path: str) -> None:
+    """Files of some slices, in the order of time."""
+    for k in slices:
+        ticks.where(c("slice") == k).drop("slice").withColumn("ts", F.timestamp_seconds("ts")).write.mode("append").parquet(f"{path}/ticks")
+
+
+def close(spark: SparkSession, path: str, hi: int, width: int) -> None:
     end = spark.createDataFrame([(END, hi + 10 * width + 40 * 86400, 0, 0.0, 0.0)], "instrument string, ts long, seq long, price double, volume double")
     end.withColumn("ts", F.timestamp_seconds("ts")).write.mode("append").parquet(f"{path}/ticks")
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The ticks as files, written slice by slice in the order of time, and how far a slice reaches in seconds, which is how late a tick may come."""
+    path = S.shared_dir(spark)
+    ticks, width, hi = sliced(spark, sf_dir)
+    arrive(ticks, range(SLICES), path)
+    close(spark, path, hi, width)
     return path, f"{width + 3600} seconds"
 
 
@@ -39,7 +53,7 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
 
 @register(f"WITH {BARS} SELECT instrument, t, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, round(v, 6) AS v FROM bars")
 def m_bar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of a replayed tick stream, once each can change no more."""
+    """M3, M4: bars of a replayed tick stream, once each can change no more."""
     path, late = replayed(spark, sf_dir)
     return rounded(M.replay(M.bar_stream(stream_of(spark, path), "1h", late), path).where(c("instrument") != END), "instrument", "t", *"ohlcv")
 
@@ -73,14 +87,32 @@ def m_stepped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.replay(M.stepped(rows, M.zone_lifecycle({}, (40.0, 60.0)), "t long, status string", ["instrument"], "at"), path)
 
 
-@register(f"""WITH {_DAYS}, l AS (SELECT instrument, arg_max(c, t) AS day_close, max(t) AS day FROM days GROUP BY 1) SELECT k.instrument, k.seq, l.day, round(l.day_close, 6) AS day_close FROM ticks k LEFT JOIN l USING (instrument)""")
+@register(f"""WITH {_DAYS} SELECT k.instrument, k.seq, max(d.t) AS day, round(arg_max(d.c, d.t), 6) AS day_close FROM ticks k LEFT JOIN days d ON d.instrument = k.instrument AND d.t + 86400 <= k.ts GROUP BY 1, 2""")
 def m_join_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8: a stream with the last bars of a slower rung."""
-    path, _ = replayed(spark, sf_dir)
-    days = daily(spark, sf_dir).where("timeframe = '1d'")
-    closed = S.kept(days.groupBy("instrument").agg(F.max("t").alias("day"), F.max_by("c", "t").alias("day_close")))
-    out = M.join_closed(stream_of(spark, path).where(c("instrument") != END), closed, ["instrument"])
-    return rounded(M.replay(out.select("instrument", "seq", "day", "day_close"), path))
+    """Each tick of a stream with the last bar of a slower rung that had closed by then, both sides as streams."""
+    path, late = replayed(spark, sf_dir)
+    days = daily(spark, sf_dir).where("timeframe = '1d'").select("instrument", F.timestamp_seconds(c("t") + 86400).alias("ts"), c("t").alias("day"), c("c").alias("day_close"))
+    days.repartition(1).sortWithinPartitions("ts").write.parquet(f"{path}/days")
+    ended = spark.read.parquet(f"{path}/ticks").where(c("instrument") == END)
+    ended.select("instrument", "ts", F.lit(0).cast("long").alias("day"), F.lit(0.0).alias("day_close")).write.mode("append").parquet(f"{path}/days")
+    closed = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/days")
+    out = M.asof_stream(stream_of(spark, path).select("instrument", "ts", "seq"), closed, ["instrument"], ["day", "day_close"], late)
+    got = M.replay(out, path).where(c("instrument") != END)
+    return rounded(got.select("instrument", "seq", c("day_asof").alias("day"), c("day_close_asof").alias("day_close")))
+
+
+@register(f"WITH {BARS} SELECT instrument, t, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, round(v, 6) AS v FROM bars")
+def m_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a stream that is stopped halfway and started again from its checkpoint, when more files have come."""
+    path = S.shared_dir(spark)
+    ticks, width, hi = sliced(spark, sf_dir)
+    half = SLICES // 2
+    for slices in (range(half), range(half, SLICES)):
+        arrive(ticks, slices, path)
+        if slices.stop == SLICES:
+            close(spark, path, hi, width)
+        got = M.replay(M.bar_stream(stream_of(spark, path), "1h", f"{width + 3600} seconds"), path)
+    return rounded(got.where(c("instrument") != END), "instrument", "t", *"ohlcv")
 
 
 @register(f"""WITH {TICKS} SELECT a.seq, b.seq AS other FROM ticks a JOIN ticks b ON b.instrument = 'view' AND a.instrument = 'purchase' AND abs(b.ts - a.ts) <= 3600""")

@@ -213,19 +213,6 @@ def q_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.welch(O.forward_return(hourly(spark, sf_dir), 5), "fwd", c("c") > c("o"), ["instrument"]).select("instrument", "t"))
 
 
-@register()
-def q_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q1, Q2, Q4, Q7, Q8, Q9, Q10, Q16, Q18: resampled nulls and their verdicts."""
-    t, b = trades(spark, sf_dir)
-    real = A.equity_summary(A.equity(t, ["instrument"], ["exit_idx", "event_id"]), ["instrument"], ["exit_idx", "event_id"])
-    null = R.random_entries(t, b, 50, ["instrument"], ["bar_idx", "event_id"])
-    out = R.null_summary(null, "equity", real, "final_equity", ["instrument"]).withColumn("verdict", R.verdict(c("n"), c("p"), 50))
-    units = b.groupBy((F.floor(c("t") / 86400)).alias("unit"), "instrument").agg(F.count("*").alias("n"), F.count(F.when(c("c") > c("o"), 1)).alias("w")).withColumn("label", (c("unit") % 2).cast("int"))
-    gaps = R.permuted_gap(units, "label", "n", "w", 50, ["instrument"]).groupBy("instrument").agg(F.round(F.max(F.when(c("rep") == 0, c("gap"))), 6).alias("gap"), F.round(F.stddev("gap"), 6).alias("gap_sd"))
-    shift = R.circular_shift(O.forward_return(b, 5).where("fwd IS NOT NULL"), c("c") > c("o"), "fwd", [0, 3, 11, 29], ["instrument"]).where("shift = 0").select("instrument", F.round("diff", 6).alias("marked_diff"))
-    return rounded(out.join(gaps, "instrument").join(shift, "instrument"))
-
-
 _HP = 0.707 * 2 * math.pi / 48
 _ALPHA = (math.cos(_HP) + math.sin(_HP) - 1) / math.cos(_HP)
 _HK = (1 - _ALPHA / 2) ** 2

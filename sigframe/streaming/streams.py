@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,9 +96,63 @@ def zone_lifecycle(bounds: dict[str, tuple[float, float]], others: tuple[float,
     return step
 
 
-def join_closed(stream: DataFrame, closed: DataFrame, keys: list[str]) -> DataFrame:
-    """A stream with a table of the last closed bars of a slower rung, one row per key."""
-    return stream.join(closed, keys, "left")
+#: The layout of the state of ``asof_stream``; state of another layout is an error, not a guess.
+ASOF_VERSION = 1
+
+
+def asof_stream(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], late: str = "1 hour") -> DataFrame:
+    """Rows of ``left`` (keys, ts, ..) with the ``values`` of the row of ``right`` (keys, ts, values) that is the last one at or before them.
+
+    Of a slower rung ``ts`` is when its bar has closed. Rows of both sides wait until the watermark, which is that of the slower side, has passed them; then no row can come any more that lies
+    before them, and each left row gets its right row, once. A key's state is its last right row and what still waits; an event-time timer wakes a key whose rows all lie before the watermark.
+    """
+    cols = [f for f in left.schema.fields if f.name not in keys]
+    vals = [f for f in right.schema.fields if f.name in values]
+    own = [c.name for c in cols if c.name != "ts"]
+    names = [*own, *[f"{v}_asof" for v in values]]
+    a = left.withWatermark("ts", late).select(*keys, "ts", F.lit(1).alias("side"), *own, *[F.lit(None).cast(f.dataType).alias(f"{f.name}_asof") for f in vals])
+    b = right.withWatermark("ts", late).select(*keys, "ts", F.lit(0).alias("side"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in cols if f.name != "ts"], *[F.col(v).alias(f"{v}_asof") for v in values])
+    out = T.StructType([T.StructField(k, left.schema[k].dataType) for k in keys] + [T.StructField("ts", T.TimestampType())] + [T.StructField(c, left.schema[c].dataType) for c in own] + [T.StructField(f"{f.name}_asof", f.dataType) for f in vals])
+
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, last, waiting = state.get if state.exists else (ASOF_VERSION, "", "")
+        if version != ASOF_VERSION:
+            raise ValueError(f"state of layout {version}, not {ASOF_VERSION}")
+        parts = [] if state.hasTimedOut else [x[["ts", "side", *names]].assign(ts=x["ts"].astype("datetime64[us]").astype("int64")) for x in batches]
+        if waiting:
+            held = json.loads(waiting)
+            parts.insert(0, pd.DataFrame(held["data"], columns=held["columns"]))
+        rows = pd.concat([p for p in parts if len(p)] or [pd.DataFrame(columns=["ts", "side", *names])], ignore_index=True)
+        mark = state.getCurrentWatermarkMs() * 1000
+        done = (rows["ts"] <= mark).to_numpy(bool)
+        ready = rows[done].sort_values(["ts", "side"], kind="stable")
+        rest = rows[~done]
+        before = pd.DataFrame([json.loads(last)], columns=names) if last else pd.DataFrame([[None] * len(names)], columns=names)
+        is_right = (ready["side"] == 0).to_numpy(bool)
+        met = np.maximum.accumulate(np.where(is_right, np.arange(1, len(ready) + 1), 0)) if len(ready) else np.zeros(0, int)
+        table = pd.concat([before.astype(object), ready[names].astype(object)], ignore_index=True)
+        if met.size and met[-1]:
+            last = json.dumps([None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in table.iloc[met[-1]]])
+        state.update((ASOF_VERSION, last, json.dumps({"columns": list(rest.columns), "data": json.loads(rest.to_json(orient="values"))}) if len(rest) else ""))
+        if len(rest):
+            state.setTimeoutTimestamp(max(int(rest["ts"].min()) // 1000, int(mark) // 1000 + 1))
+        left_rows = ready[~is_right]
+        if len(left_rows):
+            got = left_rows[["ts", *own]].copy()
+            for v in values:
+                got[f"{v}_asof"] = table[f"{v}_asof"].to_numpy()[met[~is_right]]
+            got["ts"] = pd.to_datetime(got["ts"].astype("int64"), unit="us")
+            for k, v in zip(keys, key, strict=True):
+                got[k] = v
+            for f in out.fields:  # whole numbers that may be missing
+                if isinstance(f.dataType, (T.LongType, T.IntegerType)):
+                    got[f.name] = got[f.name].astype("Int64")
+                elif isinstance(f.dataType, T.DoubleType):
+                    got[f.name] = got[f.name].astype(float)
+            yield got[out.fieldNames()]
+
+    grouped = a.unionByName(b).groupBy(*keys)
+    return grouped.applyInPandasWithState(work, out, "version int, last string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def nearby_streams(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour", values: list[str] | None = None) -> DataFrame:
