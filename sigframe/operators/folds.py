@@ -60,6 +60,19 @@ def ratchet(state: dict, r: dict) -> list[dict]:
     return [{"bar_idx": r["bar_idx"], "direction": side, "line": low if side == -1 else up, "regime": r["regime"]}]
 
 
+def affine(share: float) -> Step:
+    """One bar of an exponential mean of ``c``, from the first value on; a missing value repeats nothing and changes nothing."""
+
+    def step(state: dict, r: dict) -> list[dict]:
+        if r["c"] is None:
+            return []
+        state["y"] = r["c"] if "y" not in state else state["y"] + share * (r["c"] - state["y"])
+        return [{"bar_idx": r["bar_idx"], "y": state["y"]}]
+
+    return step
+
+
+AFFINE = "bar_idx long, y double"
 RATCHET = "bar_idx long, direction int, line double, regime string"
 
 

@@ -215,28 +215,38 @@ def sight_divergences(df: DataFrame, oscillators: list[str], left: int = 5, reac
     """Divergences of several oscillators at each bar against up to ``most`` recorded pivots within ``reach`` bars, one row per bar, side and oscillator.
 
     A pivot counts if neither the oscillator nor the close crosses the straight line from it to the bar, and the next bar, which is the one given, moves the divergence's way in either. The nearest
-    pivot that qualifies is kept.
+    pivot that qualifies is kept. A line from a pivot is clear if it is no steeper than those to all bars between, so each pivot looks forward once, with the least slope so far, for all
+    oscillators together; bars and pivots meet in cells of ``reach`` bars.
     """
     w = Window.partitionBy(*keys).orderBy("bar_idx")
-    span = w.rowsBetween(-reach, 0)
-    bars = df.withColumns({"_top": pivot("c", left, left, w), "_bot": pivot("c", left, left, w, False)})
-    recent = lambda p: F.slice(F.reverse(F.collect_list(F.when(c(p).isNotNull(), c("bar_idx") - left)).over(span)), 1, most)
-    bars = bars.withColumns({"_tops": recent("_top"), "_bots": recent("_bot"), "_cs": F.collect_list("c").over(span), "_ahead": F.lead("c").over(w) - c("c"), "_first": F.min("bar_idx").over(span)})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    values = ["c", *oscillators]
+    bars = df.select(*keys, "bar_idx", *values, *[(F.lead(v).over(w) - c(v)).alias(f"_ahead_{v}") for v in values], pivot("c", left, left, w).alias("_top"), pivot("c", left, left, w, False).alias("_bot"))
+    bars = kept(bars.withColumns({f"_n{p}": F.count(p).over(upto) for p in ("_top", "_bot")}))
+    cell = lambda i: F.floor(i / reach)
     out = None
-    for osc in oscillators:
-        one = bars.where(c(osc).isNotNull()).withColumns({"_os": F.collect_list(osc).over(span), "_ofirst": F.min("bar_idx").over(span), "_oahead": F.lead(osc).over(w) - c(osc)})
-        for side, pivots, sign in (("bullish", "_bots", 1), ("bearish", "_tops", -1)):
-            rows = one.where((sign * c("_ahead") > 0) | (sign * c("_oahead") > 0)).select(*keys, "bar_idx", "c", osc, "_cs", "_os", "_first", "_ofirst", F.explode(pivots).alias("_p")).where((c("bar_idx") - c("_p") > left) & (c("_p") >= c("_first")) & (c("_p") >= c("_ofirst")))
-            price, value = F.element_at("_cs", (c("_p") - c("_first") + 1).cast("int")), F.element_at("_os", (c("_p") - c("_ofirst") + 1).cast("int"))
-            rows = rows.withColumns({"_pp": price, "_po": value})
-            apart = (sign * c(osc) > sign * c("_po")) & (sign * c("c") < sign * c("_pp"))
+    for side, mark, sign in (("bullish", "_bot", 1), ("bearish", "_top", -1)):
+        at = bars.where(c(mark).isNotNull()).select(*keys, (c("bar_idx") - left).alias("_p"), c(f"_n{mark}").alias("_q"))
+        start = bars.select(*keys, c("bar_idx").alias("_p"), *[c(v).alias(f"_p_{v}") for v in values])
+        points = at.join(start, [*keys, "_p"]).withColumn("_cell", F.explode(F.array(cell(c("_p")), cell(c("_p")) + 1)))
+        seen = bars.select(*keys, "bar_idx", *values, *[f"_ahead_{v}" for v in values], c(f"_n{mark}").alias("_known"), cell(c("bar_idx")).alias("_cell"))
+        pairs = points.join(seen, [*keys, "_cell"]).where((c("bar_idx") > c("_p")) & (c("bar_idx") <= c("_p") + reach))
+        before = Window.partitionBy(*keys, "_p").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, -1)
+        slope = {v: sign * (c(v) - c(f"_p_{v}")) / (c("bar_idx") - c("_p")) for v in values}
+        pairs = pairs.withColumns({f"_least_{v}": F.min(slope[v]).over(before) for v in values})
+        pairs = pairs.where((c("bar_idx") - c("_p") > left) & (c("_known") - c("_q") < most) & (c("_least_c") >= slope["c"]))
+
+        def diverges(osc: str, sign: int = sign, slope: dict[str, Column] = slope) -> Column:
+            rises, falls = sign * c(osc) > sign * c(f"_p_{osc}"), sign * c("c") < sign * c("_p_c")
             if hidden:
-                apart = (sign * c(osc) < sign * c("_po")) & (sign * c("c") > sign * c("_pp"))
-            rows = rows.where(apart)
-            clear = lambda xs, first, a, b: F.forall(F.sequence(c("_p") + 1, c("bar_idx") - 1), lambda i: sign * F.element_at(xs, (i - c(first) + 1).cast("int")) >= sign * (c(a) + (c(b) - c(a)) * (i - c("_p")) / (c("bar_idx") - c("_p"))))  # noqa: E731,B023
-            rows = rows.where(clear("_cs", "_first", "_pp", "c") & clear("_os", "_ofirst", "_po", osc))
-            got = rows.groupBy(*keys, "bar_idx").agg(F.max("_p").alias("pivot_idx")).select(*keys, (c("bar_idx") + 1).alias("bar_idx"), F.lit(side).alias("side"), F.lit(osc).alias("oscillator"), "pivot_idx")
-            out = got if out is None else out.unionByName(got)
+                rises, falls = sign * c(osc) < sign * c(f"_p_{osc}"), sign * c("c") > sign * c("_p_c")
+            moves = (sign * c("_ahead_c") > 0) | (sign * c(f"_ahead_{osc}") > 0)
+            return moves & rises & falls & (c(f"_least_{osc}") >= slope[osc])
+
+        kinds = F.array_compact(F.array(*[F.when(F.coalesce(diverges(o), F.lit(False)), o) for o in oscillators]))
+        got = pairs.select(*keys, "bar_idx", "_p", F.explode(kinds).alias("oscillator")).groupBy(*keys, "bar_idx", "oscillator").agg(F.max("_p").alias("pivot_idx"))
+        got = got.select(*keys, (c("bar_idx") + 1).alias("bar_idx"), F.lit(side).alias("side"), "oscillator", "pivot_idx")
+        out = got if out is None else out.unionByName(got)
     return out
 
 

@@ -37,12 +37,15 @@ _BASE = f"""{BARS}, b1 AS (SELECT *, c - lag(c) OVER {W} AS step, (h + l + c) /
 _MFI = gate(14, "step", f"CASE WHEN sum(CASE WHEN step < 0 THEN c * v ELSE 0 END) OVER {last(14)} = 0 THEN 100 ELSE 100 - 100 / (1 + sum(CASE WHEN step > 0 THEN c * v ELSE 0 END) OVER {last(14)} / sum(CASE WHEN step < 0 THEN c * v ELSE 0 END) OVER {last(14)}) END")
 
 
-@register(f"""WITH RECURSIVE {_BASE}, {_ema("f12", "b2", "c", 2 / 13, 12)}, {_ema("s26", "b2", "c", 2 / 27, 26)}, {_joined("m0", "b2", "f12", "s26")}, m1 AS (SELECT *, f12 - s26 AS macd FROM m0), {_ema("sig", "m1", "macd", 0.2)},
+_CYCLES = f"""WITH RECURSIVE {_BASE}, {_ema("f12", "b2", "c", 2 / 13, 12)}, {_ema("s26", "b2", "c", 2 / 27, 26)}, {_joined("m0", "b2", "f12", "s26")}, m1 AS (SELECT *, f12 - s26 AS macd FROM m0), {_ema("sig", "m1", "macd", 0.2)},
 {_ema("e23", "b2", "c", 2 / 24)}, {_ema("e50", "b2", "c", 2 / 51)}, {_joined("n0", "b2", "e23", "e50")}, n1 AS (SELECT *, e23 - e50 AS m FROM n0), n2 AS (SELECT *, {_place("m")} FROM n1), n3 AS (SELECT *, CASE WHEN whole THEN last_value(raw IGNORE NULLS) OVER {_UPTO} END AS place FROM n2), {_ema("k1", "n3", "place", 0.5)},
 {_joined("n4", "n1", "k1")}, n5 AS (SELECT *, {_place("k1")} FROM n4), n6 AS (SELECT *, CASE WHEN whole THEN last_value(raw IGNORE NULLS) OVER {_UPTO} END AS place FROM n5), {_ema("stc", "n6", "place", 0.5)},
 {_ema("ce", "b2", "c", 0.2)}, {_joined("t0", "b2", "ce")}, t1 AS (SELECT *, abs(c - ce) AS dev FROM t0), {_ema("cd", "t1", "dev", 0.2)}, {_joined("t2", "t1", "cd")}, t3 AS (SELECT *, (c - ce) / nullif(cd * 0.025, 0) AS ci FROM t2), {_ema("tci", "t3", "ci", 2 / 7)}, {_ema("ag", "b2", "up", 1 / 3, 3)}, {_ema("al", "b2", "down", 1 / 3, 3)},
 {_ema("d1", "b2", "step", 2 / 26)}, {_ema("d2", "d1", "d1", 2 / 14)}, {_ema("a1", "b2", "size", 2 / 26)}, {_ema("a2", "a1", "a1", 2 / 14)}, pk AS (SELECT instrument, bar_idx, abs(c) AS pk FROM b2 WHERE bar_idx = 0 UNION ALL SELECT b.instrument, b.bar_idx, greatest(0.991::DOUBLE * p.pk, abs(b.c)) FROM pk p JOIN b2 b ON b.instrument = p.instrument AND b.bar_idx = p.bar_idx + 1),
-mf AS (SELECT instrument, bar_idx, {_MFI} AS mf FROM b2), {_joined("z", "b2", "f12", "s26", "sig", "stc", "tci", "ag", "al", "d2", "a2", "pk", "mf")}
+mf AS (SELECT instrument, bar_idx, {_MFI} AS mf FROM b2), {_joined("z", "b2", "f12", "s26", "sig", "stc", "tci", "ag", "al", "d2", "a2", "pk", "mf")}"""
+
+
+@register(f"""{_CYCLES}
 SELECT instrument, bar_idx, round(f12 - s26 + 1e-9, 4) AS macd, round(f12 - s26 - sig + 1e-9, 4) AS macd_hist, round(stc + 1e-9, 4) AS stc, round((tci + 50 + mf + CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END) / 3 + 1e-9, 4) AS blend, round(d2 / nullif(a2, 0) * 100 + 1e-9, 4) AS tsi, round(pk + 1e-9, 4) AS peak FROM z""")
 def r_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MACD, Schaff cycle, blend, true strength, decaying peak."""
@@ -99,11 +102,12 @@ def d_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _N = f"""n0 AS (SELECT *, {gate(14, 'c', f'CASE WHEN max(h) OVER {last(14)} = min(l) OVER {last(14)} THEN 0 ELSE (c - min(l) OVER {last(14)}) / (max(h) OVER {last(14)} - min(l) OVER {last(14)}) * 100 END')} AS stoch, c - lag(c, 10) OVER {W} AS mom FROM bars)"""
 
 
-def _sight(osc: str, side: str) -> str:
+def _sight(osc: str, side: str, hidden: bool = False) -> str:
     """SQL of the divergences of one oscillator on one side: every pivot in reach, the straight line from it held against each bar between."""
     s, kind = (1, "bottom") if side == "bullish" else (-1, "top")
+    more, less = ("<", ">") if hidden else (">", "<")
     return f"""SELECT a.instrument, a.bar_idx + 1 AS bar_idx, '{side}' AS side, '{osc}' AS oscillator, max(p.i) AS pivot_idx FROM n1 a JOIN pv p ON p.instrument = a.instrument AND p.kind = '{kind}' AND p.known <= a.bar_idx AND p.i + 5 >= a.bar_idx - 100 AND p.i >= a.bar_idx - 100 AND a.bar_idx - p.i > 5 JOIN n1 o ON o.instrument = p.instrument AND o.bar_idx = p.i
-WHERE a.{osc} IS NOT NULL AND o.{osc} IS NOT NULL AND ({s} * a.ahead_c > 0 OR {s} * a.ahead_{osc} > 0) AND {s} * a.{osc} > {s} * o.{osc} AND {s} * a.c < {s} * o.c AND (SELECT count(*) FROM pv r WHERE r.instrument = p.instrument AND r.kind = p.kind AND r.known <= a.bar_idx AND r.i > p.i) < 10
+WHERE a.{osc} IS NOT NULL AND o.{osc} IS NOT NULL AND ({s} * a.ahead_c > 0 OR {s} * a.ahead_{osc} > 0) AND {s} * a.{osc} {more} {s} * o.{osc} AND {s} * a.c {less} {s} * o.c AND (SELECT count(*) FROM pv r WHERE r.instrument = p.instrument AND r.kind = p.kind AND r.known <= a.bar_idx AND r.i > p.i) < 10
 AND NOT EXISTS (SELECT 1 FROM n1 m WHERE m.instrument = a.instrument AND m.bar_idx > p.i AND m.bar_idx < a.bar_idx AND ({s} * m.c < {s} * (o.c + (a.c - o.c) * (m.bar_idx - p.i) / (a.bar_idx - p.i)) OR {s} * m.{osc} < {s} * (o.{osc} + (a.{osc} - o.{osc}) * (m.bar_idx - p.i) / (a.bar_idx - p.i)))) GROUP BY 1, 2"""
 
 
@@ -117,3 +121,37 @@ def d_sight_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergences of several oscillators against recorded pivots with a clear line between, each with its pivot."""
     b = windows.bounded(hourly(spark, sf_dir), 30, lambda w: {"stoch": windows.stochastic(w), "mom": c("c") - F.lag("c", 10).over(w)})
     return P.sight_divergences(S.kept(b), ["stoch", "mom"]).drop("timeframe")
+
+
+_FOUR = ("stoch", "mom", "mom5", "dev")
+_N4 = f"""n00 AS (SELECT *, c - lag(c, 5) OVER {W} AS mom5, c - {gate(20, "c", f"avg(c) OVER {last(20)}")} AS dev FROM n0), n1 AS (SELECT *, lead(c) OVER {W} - c AS ahead_c, {", ".join(f"lead({o}) OVER {W} - {o} AS ahead_{o}" for o in _FOUR)} FROM n00), {_PIVOTS5}"""
+
+
+def _all_sights(hidden: bool) -> str:
+    return " UNION ALL ".join(_sight(o, s, hidden) for o in _FOUR for s in ("bullish", "bearish"))
+
+
+@register(f"""WITH {BARS}, {_N}, {_N4}, fo AS (SELECT *, 'regular' AS kind FROM ({_all_sights(False)}) UNION ALL SELECT *, 'hidden' FROM ({_all_sights(True)}))
+SELECT instrument, kind, bar_idx, side, count(DISTINCT oscillator) AS n FROM fo GROUP BY ALL HAVING count(DISTINCT oscillator) >= 3""")
+def d_sight_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars at which at least three of four oscillators diverge from the price, of the regular and of the hidden kind."""
+    b = windows.bounded(
+        hourly(spark, sf_dir), 30,
+        lambda w: {"stoch": windows.stochastic(w), "mom": c("c") - F.lag("c", 10).over(w), "mom5": c("c") - F.lag("c", 5).over(w), "dev": c("c") - windows.sma("c", 20, w)},
+    )
+    b = S.kept(b)
+    badges = [P.badges(P.sight_divergences(b, list(_FOUR), hidden=hidden)).withColumn("kind", F.lit(kind)) for kind, hidden in (("regular", False), ("hidden", True))]
+    return badges[0].unionByName(badges[1]).select("instrument", "kind", "bar_idx", "side", "n")
+
+
+@register(f"""{_CYCLES}, ce1 AS (SELECT instrument, bar_idx, t, c, stc, lag(stc) OVER {W} AS s1, lag(stc, 2) OVER {W} AS s2 FROM z),
+ce2 AS (SELECT *, unnest([CASE WHEN stc > 25 AND s1 <= 25 THEN 'up_25 bullish' END, CASE WHEN stc < 75 AND s1 >= 75 THEN 'down_75 bearish' END,
+  CASE WHEN s1 > 25 AND s1 < 75 AND s1 < s2 AND stc > s1 THEN 'turn_up bullish' END, CASE WHEN s1 > 25 AND s1 < 75 AND s1 > s2 AND stc < s1 THEN 'turn_down bearish' END]) AS e FROM ce1)
+SELECT instrument, split_part(e, ' ', 1) AS type, split_part(e, ' ', 2) AS side, bar_idx, t, t + 3600 AS known_at, round(c, 6) AS price FROM ce2 WHERE e IS NOT NULL""")
+def e_cycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossings of the Schaff cycle with 25 and 75, and its turns inside the band."""
+    w = windows.series()
+    b = S.kept(recursive.schaff(hourly(spark, sf_dir)))
+    rows = b.withColumns({"up_25": E.crossover("stc", 25, w), "down_75": E.crossunder("stc", 75, w)} | E.turns("stc", 25, 75, w))
+    sides = {"up_25": "bullish", "down_75": "bearish", "turn_up": "bullish", "turn_down": "bearish"}
+    return rounded(E.emit(rows, "cycle", {k: (c(k), s) for k, s in sides.items()}).drop("family", "timeframe"))

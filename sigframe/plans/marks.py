@@ -116,9 +116,12 @@ def c_cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.maximal(found).select("instrument", "direction", "start_t", "known_at", "depth", "stalled_at")
 
 
-@register(f"""WITH RECURSIVE {_LADDER}, e AS (SELECT instrument, direction, timeframe AS rung, t, 2 * s AS w, row_number() OVER (PARTITION BY instrument, direction ORDER BY t, timeframe) AS i FROM fl),
+_CLUSTERS = f"""WITH RECURSIVE {_LADDER}, e AS (SELECT instrument, direction, timeframe AS rung, t, 2 * s AS w, row_number() OVER (PARTITION BY instrument, direction ORDER BY t, timeframe) AS i FROM fl),
 r AS (SELECT instrument, direction, i, t, t AS start, w, [rung] AS rungs, 1 AS k FROM e WHERE i = 1 UNION ALL SELECT e.instrument, e.direction, e.i, e.t, CASE WHEN j THEN start ELSE e.t END, CASE WHEN j THEN greatest(p.w, e.w) ELSE e.w END, CASE WHEN j THEN list_append(rungs, e.rung) ELSE [e.rung] END, k + CASE WHEN j THEN 0 ELSE 1 END
- FROM (SELECT r.*, NOT list_contains(r.rungs, n.rung) AND n.t - r.start <= greatest(r.w, n.w) AS j FROM r JOIN e n ON n.instrument = r.instrument AND n.direction = r.direction AND n.i = r.i + 1) p JOIN e ON e.instrument = p.instrument AND e.direction = p.direction AND e.i = p.i + 1)
+ FROM (SELECT r.*, NOT list_contains(r.rungs, n.rung) AND n.t - r.start <= greatest(r.w, n.w) AS j FROM r JOIN e n ON n.instrument = r.instrument AND n.direction = r.direction AND n.i = r.i + 1) p JOIN e ON e.instrument = p.instrument AND e.direction = p.direction AND e.i = p.i + 1)"""
+
+
+@register(f"""{_CLUSTERS}
 SELECT instrument, direction, min(start) AS start_t, max(t) AS known_at, max(len(rungs)) AS k, array_to_string(arg_max(rungs, i), '>') AS rungs FROM r GROUP BY instrument, direction, k HAVING max(len(rungs)) >= 2""")
 def f_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters of flips of one direction over rungs."""

@@ -339,11 +339,3 @@ FROM z LEFT JOIN bars b ON b.instrument = z.instrument AND b.bar_idx > z.last_id
 def p_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-bar gaps, merged over runs, with their touch and break."""
     return rounded(P.fair_value_gaps(hourly(spark, sf_dir)).drop("gap_id", "timeframe"))
-
-
-@register()
-def d_sight_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several oscillators against recorded pivots with a clear line between, and how many diverge at a bar."""
-    b = recursive.macd(recursive.rsi(hourly(spark, sf_dir), "c", 14))
-    b = windows.bounded(b, 30, lambda w: {"tp": (c("h") + c("l") + c("c")) / 3, "stoch": windows.stochastic(w)}, lambda w: {"cci": windows.cci("tp", w)})
-    return P.badges(P.sight_divergences(b, ["rsi", "macd", "stoch", "cci"]), 1).drop("timeframe")

@@ -230,20 +230,6 @@ def e_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("instrument", "bar_idx", F.explode(F.array_compact(F.array(*[F.when(c(n), F.lit(n)) for n in names]))).alias("type"))
 
 
-@register()
-def e_cycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crossings of the Schaff cycle with 25 and 75, and its turns inside the band."""
-    from ..functions import recursive
-
-    w = windows.series()
-    b = S.kept(recursive.schaff(hourly(spark, sf_dir)))
-    found = {"up_25": (E.crossover("stc", 25, w), "bullish"), "down_75": (E.crossunder("stc", 75, w), "bearish")}
-    turns = E.turns("stc", 25, 75, w)
-    rows = b.withColumns({k: v for k, (v, _) in found.items()} | turns)
-    sides = {"up_25": "bullish", "down_75": "bearish", "turn_up": "bullish", "turn_down": "bearish"}
-    return rounded(E.emit(rows, "cycle", {k: (c(k), s) for k, s in sides.items()}).drop("family", "timeframe"))
-
-
 _DAY = "SELECT instrument, t - t % {s} AS t, first(o ORDER BY t) AS o, last(c ORDER BY t) AS c FROM bars GROUP BY 1, 2"
 
 
