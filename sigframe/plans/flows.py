@@ -11,6 +11,7 @@ from ..sources import tables as S
 from ..streaming import streams as M
 from .relations import _DAYS, _TRADES, daily, trades
 from .series import BARS, TICKS, hourly, register, rounded
+from .studies import _RUNGS
 
 c = F.col
 SLICES = 8
@@ -152,13 +153,36 @@ def m_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.groupBy("instrument", "day").agg(F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("total"))
 
 
-@register(f"""WITH {TICKS} SELECT instrument, arg_max(seq, {{'t': ts, 's': seq}}) AS seq, round(arg_max(price, {{'t': ts, 's': seq}}), 6) AS price, CASE instrument WHEN 'click' THEN 'C' WHEN 'view' THEN 'V' ELSE instrument END AS symbol FROM ticks GROUP BY 1""")
+@register(f"""WITH {_RUNGS} SELECT instrument, timeframe, t, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c FROM x UNION ALL SELECT instrument, '1h', t, round(o, 6), round(h, 6), round(l, 6), round(c, 6) FROM bars""")
+def m_rungs_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: late ticks, and the hours, four hours, days and weeks that they change built again, and no others."""
+    t = S.kept(S.ticks(spark, sf_dir).withColumn("day", c("ts") - c("ts") % 86400))
+    path = S.shared_dir(spark)
+    for late in (False, True):  # every fifth tick comes late, and some that were there come twice
+        t.where(F.pmod(F.xxhash64("seq"), F.lit(5)) < 2 if late else F.pmod(F.xxhash64("seq"), F.lit(5)) > 0).coalesce(1).write.mode("append").parquet(f"{path}/arrived")
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrived")
+    M.run_batches(stream, M.rungs_repaired(f"{path}/days", f"{path}/bars", ["4h", "1d", "1w"], 8), f"{path}/checkpoint")
+    return rounded(spark.read.parquet(f"{path}/bars"), "instrument", "timeframe", "t", "o", "h", "l", "c")
+
+
+@register(f"""WITH {TICKS}, k AS (SELECT *, price < 10 AS bad FROM ticks) SELECT instrument, arg_max(seq, {{'t': ts, 's': seq}}) FILTER (NOT bad) AS seq, round(arg_max(price, {{'t': ts, 's': seq}}) FILTER (NOT bad), 6) AS price, count(*) FILTER (bad) AS errors,
+max(CASE WHEN bad THEN 'unreadable: {{"instrument":"' || instrument || '","ts":' || ts || ',"seq":' || seq || ',"price":"n/a"}}' END)[1:50] AS last_error, CASE instrument WHEN 'click' THEN 'C' WHEN 'view' THEN 'V' ELSE instrument END AS symbol FROM k GROUP BY 1""")
 def m_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state of each instrument, under its proxy's name."""
-    t = S.ticks(spark, sf_dir).withColumn("at", F.struct("ts", "seq")).select("instrument", "seq", "price", "at")
+    """The last state of each instrument of a stream, under its proxy's name, and its errors; lines with an unreadable price change no state."""
+    path = S.shared_dir(spark)
+    t = S.ticks(spark, sf_dir)
+    price = F.when(c("price") < 10, F.lit('"n/a"')).otherwise(c("price").cast("string"))
+    line = F.concat(F.lit('{"instrument":"'), "instrument", F.lit('","ts":'), "ts", F.lit(',"seq":'), "seq", F.lit(',"price":'), price, F.lit("}"))
+    t.select(line.alias("value")).repartition(4).write.text(f"{path}/lines")
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{path}/lines")
+    rows = M.parsed(lines, "instrument string, ts long, seq long, price double", "instrument").withColumn("at", F.struct("ts", "seq"))
+    state = M.status(rows, "instrument", ["seq", "price"], "at")
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/status")  # noqa: E731  a row for each instrument
+    state.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     proxies = spark.createDataFrame([("click", "C"), ("view", "V")], "instrument string, proxy string")
-    got = M.latest_state(t, ["instrument"], "at").join(F.broadcast(proxies), "instrument", "left")  # two rows of configuration
-    return rounded(got.withColumn("symbol", F.coalesce("proxy", "instrument")), "instrument", "seq", "price", "symbol")
+    got = spark.read.parquet(f"{path}/status").join(F.broadcast(proxies), "instrument", "left")  # two rows of configuration
+    got = got.withColumns({"symbol": F.coalesce("proxy", "instrument"), "last_error": F.substring("last_error", 1, 50)})
+    return rounded(got, "instrument", "seq", "price", "errors", "last_error", "symbol")
 
 
 @register(f"""WITH {BARS} SELECT 'tick' AS stream, instrument, ts AS t, round(price, 6) AS value FROM ticks UNION ALL SELECT 'bar', instrument, t, round(c, 6) FROM bars""")

@@ -232,10 +232,11 @@ def c_state_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.state_gate(b.where("c > o").select("instrument", "t", "bar_idx"), states, "t", "state", c("state_asof") > 0, ["instrument"]).select("instrument", "bar_idx")
 
 
-@register(f"""WITH {_RUNGS} SELECT instrument, CAST(NULL AS DOUBLE) AS "1h", max(CASE WHEN timeframe = '4h' THEN v END) AS "4h", max(CASE WHEN timeframe = '1d' THEN v END) AS "1d", max(CASE WHEN timeframe = '1w' THEN v END) AS "1w" FROM (SELECT instrument, timeframe, round(arg_max(c, t), 6) AS v FROM x GROUP BY 1, 2) GROUP BY 1""")
+@register(f"""WITH {_RUNGS}, y AS (SELECT instrument, timeframe, t, c FROM x UNION ALL SELECT instrument, '1h', t, c FROM bars) SELECT instrument, max(CASE WHEN timeframe = '1h' THEN v END) AS "1h", max(CASE WHEN timeframe = '4h' THEN v END) AS "4h", max(CASE WHEN timeframe = '1d' THEN v END) AS "1d", max(CASE WHEN timeframe = '1w' THEN v END) AS "1w" FROM (SELECT instrument, timeframe, round(arg_max(c, t), 6) AS v FROM y GROUP BY 1, 2) GROUP BY 1""")
 def c_latest_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last value of each instrument on each rung."""
-    got = C.latest_matrix(rungs(spark, sf_dir), c("c"))
+    columns = ["instrument", "timeframe", "t", "c"]
+    got = C.latest_matrix(rungs(spark, sf_dir).select(columns).unionByName(hourly(spark, sf_dir).select(columns)), c("c"))
     return rounded(got, "instrument", "1h", "4h", "1d", "1w")
 
 

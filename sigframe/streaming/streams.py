@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.bars import from_ticks, rollup
 from ..operators.folds import Step
-from ..schema import OFFSET, SECONDS
-from ..sources.tables import kept, replace_partitions
+from ..schema import OFFSET, SECONDS, bucket
+from ..sources.tables import kept, latest, replace_partitions
 
 TICK = T.StructType([T.StructField("instrument", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("volume", T.DoubleType())])
 
@@ -197,6 +198,56 @@ def repaired(path: str, keys: list[str], build: Callable[[DataFrame], DataFrame]
     return work
 
 
+def rungs_repaired(ticks_path: str, bars_path: str, rungs: list[str], parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: late ticks (with their ``day``) put into the days that they belong to, and then what is derived from these: first the hours that they fall in, then the buckets of each
+    slower rung that hold these hours, from stored hours. No other hour or bucket is built again, and only partitions of the table of bars that hold one are written.
+
+    Bars are (instrument, timeframe, t, o, h, l, c, v, version); the version is the batch that built them. A batch that comes twice builds the same bars again.
+    """
+    days = repaired(ticks_path, ["day"], lambda rows: latest(rows, ["instrument", "seq", "day"], "ts"))
+    put = upsert(bars_path, ["instrument", "timeframe", "t"], "version", parts)
+    columns = ["instrument", "timeframe", "t", "o", "h", "l", "c", "v"]
+
+    def work(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        days(batch, number)
+        hours = kept(batch.select("instrument", bucket(F.col("ts"), SECONDS["1h"]).alias("t")).distinct())
+        if hours.isEmpty():
+            return
+        own = spark.read.schema(batch.schema).parquet(ticks_path).join(batch.select("day").distinct(), "day", "left_semi")
+        hourly = from_ticks(own, "1h").join(hours, ["instrument", "t"], "left_semi").select(*columns)
+        versioned = hourly.withColumn("version", F.lit(number).cast("long"))
+        put(versioned, number)
+        all_hours = stored_rows(spark, bars_path, versioned.schema).where("timeframe = '1h'").select(*columns)
+        slower = None
+        for rung in rungs:
+            at = bucket(F.col("t"), SECONDS[rung], OFFSET[rung]).alias("_b")
+            inside = all_hours.select("*", at).join(hours.select("instrument", at).distinct(), ["instrument", "_b"], "left_semi").drop("_b")
+            one = rollup(inside, [rung]).select(*columns)
+            slower = one if slower is None else slower.unionByName(one)
+        if slower is not None:  # kept first, for it reads the table that is written next
+            put(kept(slower.withColumn("version", F.lit(number).cast("long"))), number)
+
+    return work
+
+
+def parsed(lines: DataFrame, schema: str, key: str) -> DataFrame:
+    """JSON lines (a column ``value``) as rows with ``error``: null, or why the line can't be read. A line that can't be read whole still has its key, if that can be found."""
+    row = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select("value", row.alias("_r")).select("value", "_r.*")
+    found = F.coalesce(F.col(key), F.get_json_object("value", f"$.{key}"), F.lit("unknown"))
+    error = F.when(F.col("_bad").isNotNull(), F.concat(F.lit("unreadable: "), F.substring("value", 1, 80)))
+    return rows.withColumns({key: found, "error": error}).drop("value", "_bad")
+
+
+def status(rows: DataFrame, key: str, values: list[str], order: str) -> DataFrame:
+    """For each key the last row without an error, how many rows had one, and the last error. Bad rows take nothing from the state of their key; for update or complete mode."""
+    good = F.col("error").isNull()
+    last = F.max_by(F.when(good, F.struct(*values)), F.when(good, F.col(order))).alias("_r")
+    out = rows.groupBy(key).agg(last, F.count("error").alias("errors"), F.max("error").alias("last_error"))
+    return out.select(key, "_r.*", "errors", "last_error")
+
+
 def stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """What a table holds; nothing if there is none yet."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
