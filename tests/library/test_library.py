@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigframe.functions import recursive, windows
-from sigframe.operators import aggregates, events, folds, joins, outcomes, resampling, structure, zones
+from sigframe.operators import aggregates, events, joins, outcomes, resampling, scans, structure, zones
 from sigframe.plans.queries import QUERIES, SQL
 from sigframe.schema import KEY, bucket
 
