@@ -96,9 +96,10 @@ def permuted_gap(units: DataFrame, label: str, n: str, wins: str, reps: int, str
 
 def one_sided(gaps: DataFrame, by: list[str]) -> DataFrame:
     """(by, gap, n, p): the real gap (replicate 0), and the share of replicates at or above it."""
-    real = gaps.where("rep = 0").select(*by, c("gap").alias("_real"))
-    out = gaps.where("rep > 0").crossJoin(F.broadcast(real)) if not by else gaps.where("rep > 0").join(real, by)
-    return out.groupBy(*by).agg(F.first("_real").alias("gap"), F.count("*").alias("n"), F.avg(F.when(c("gap") >= c("_real") - 1e-12, 1.0).otherwise(0.0)).alias("p"))
+    keys = [*by, "_all"]
+    rows = gaps.withColumn("_all", F.lit(1))
+    real = rows.where("rep = 0").select(*keys, c("gap").alias("_real"))
+    return rows.where("rep > 0").join(real, keys).groupBy(*by).agg(F.first("_real").alias("gap"), F.count("*").alias("n"), F.avg(F.when(c("gap") >= c("_real") - 1e-12, 1.0).otherwise(0.0)).alias("p"))
 
 
 def shift_offsets(df: DataFrame, by: list[str], shifts: int, seed: int = 42) -> DataFrame:
