@@ -5,7 +5,6 @@ Streams are event-time DataFrames. Results over a replayed stream equal the batc
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -45,19 +44,30 @@ def session_stream(ticks: DataFrame, gap: str, late: str = "1 hour") -> DataFram
     return rows.select("instrument", F.unix_timestamp("w.start").alias("start_t"), F.unix_timestamp("w.end").alias("end_t"), "n", "h", "l")
 
 
+def _plain(v: Any) -> Any:
+    """A value of a frame as JSON has it, the same whether its column held nulls (and so floats) or not."""
+    if pd.isna(v):
+        return None
+    v = v.item() if isinstance(v, np.generic) else v
+    return int(v) if isinstance(v, float) and v.is_integer() else v
+
+
 def changes(stream: DataFrame, keys: list[str], payload: list[str], order: str) -> DataFrame:
-    """Rows whose payload differs from the one before of their key."""
+    """Rows whose payload differs from the one before of their key; nulls and NaN are equal. Rows of equal ``order`` come by their payload, so that every run agrees.
+
+    Rows of a micro-batch are compared as columns with those before them; only the payload of the last one is state, as JSON.
+    """
     schema = T.StructType([f for f in stream.schema.fields if f.name in (*keys, *payload, order)])
     names = schema.fieldNames()
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for b in pd.concat(list(batches)).sort_values(order).to_dict("records"):
-            now = hashlib.sha1(json.dumps([b[p] for p in payload], default=str).encode()).hexdigest()
-            if now != last:
-                yield pd.DataFrame([{n: b[n] for n in names}])
-            last = now
-        state.update((last,))
+        rows = pd.concat(list(batches), ignore_index=True)[names].sort_values([order, *payload], kind="stable")
+        now, before = rows[payload], rows[payload].shift()
+        new = ~((now == before) | (now.isna() & before.isna())).all(axis=1).to_numpy()
+        edge = lambda k: json.dumps([_plain(v) for v in now.iloc[k]], default=str)
+        new[0] = not state.exists or state.get[0] != edge(0)
+        state.update((edge(-1),))
+        yield rows[new]
 
     return stream.select(*names).groupBy(*keys).applyInPandasWithState(work, schema, "last string", "append", GroupStateTimeout.NoTimeout)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from sigframe.streaming import panes
+from sigframe.streaming import panes, streams
 
 
 def snap(symbol, seq, t, close, studies=None):
@@ -64,3 +64,27 @@ def test_a_name_selects_studies_and_empty_sessions_have_empty_tables(spark, tmp_
     assert sorted(r.level for r in panes.lines(rows).collect()) == [5.0, 6.0]
     panes.fan_out(str(tmp_path))(rows.limit(0), 0)
     assert [panes.table(spark, str(tmp_path), n).count() for n in panes.SHAPES] == [0] * 7
+
+
+def test_whole_numbers_stay_equal_beside_nulls(spark, tmp_path):
+    schema = "k string, at long, n long, text string"
+    for rows in ([("a", 1, 7, "x")], [("a", 2, 7, "x"), ("a", 3, None, "x"), ("a", 4, 7, "x")], [("a", 5, 7, "x"), ("a", 6, 8, "x")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = streams.replay(streams.changes(stream, ["k"], ["n", "text"], "at"), str(tmp_path)).collect()
+    assert sorted((r["at"], r.n) for r in got) == [(1, 7), (3, None), (4, 7), (6, 8)]
+
+
+def test_changes_over_batches(spark, tmp_path):
+    nan = float("nan")
+    parts = [
+        [("a", 1, 1.0, "x"), ("a", 3, 1.0, "x"), ("a", 2, 1.0, None), ("b", 1, None, None), ("b", 2, nan, None)],
+        [("a", 4, 1.0, "x"), ("a", 5, 2.0, "x"), ("b", 3, None, None), ("b", 4, None, "y"), ("c", 1, 0.0, "")],
+        [("b", 5, None, "y"), ("c", 2, 0.0, ""), ("c", 2, 1.0, ""), (None, 1, 1.0, "z")],
+    ]
+    schema = "k string, at long, price double, text string"
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = streams.replay(streams.changes(stream, ["k"], ["price", "text"], "at"), str(tmp_path)).collect()
+    assert {(r.k, r["at"]) for r in got} == {("a", 1), ("a", 2), ("a", 3), ("a", 5), ("b", 1), ("b", 4), ("c", 1), ("c", 2), (None, 1)} and len(got) == 9
