@@ -137,7 +137,7 @@ def m_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.write.mode("append").parquet(f"{path}/rows")
     stream = spark.readStream.schema(closed.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/rows")
     M.run_batches(stream, M.upsert(f"{path}/ledger", ["event_id"], "rank"), f"{path}/checkpoint")
-    return rounded(spark.read.parquet(f"{path}/ledger"), "instrument", "side", "bar_idx", "status", "pnl_pct", places=5)
+    return rounded(M.stored_table(spark, f"{path}/ledger", closed.schema), "instrument", "side", "bar_idx", "status", "pnl_pct", places=5)
 
 
 @register(f"""WITH {TICKS} SELECT instrument, ts - ts % 86400 AS day, count(*) AS n, round(sum(price), 4) AS total FROM ticks GROUP BY 1, 2""")
@@ -162,7 +162,8 @@ def m_rungs_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
         t.where(F.pmod(F.xxhash64("seq"), F.lit(5)) < 2 if late else F.pmod(F.xxhash64("seq"), F.lit(5)) > 0).coalesce(1).write.mode("append").parquet(f"{path}/arrived")
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrived")
     M.run_batches(stream, M.rungs_repaired(f"{path}/days", f"{path}/bars", ["4h", "1d", "1w"], 8), f"{path}/checkpoint")
-    return rounded(spark.read.parquet(f"{path}/bars"), "instrument", "timeframe", "t", "o", "h", "l", "c")
+    bars = "instrument string, timeframe string, t long, o double, h double, l double, c double"
+    return rounded(M.stored_table(spark, f"{path}/bars", bars))
 
 
 @register(f"""WITH {TICKS}, k AS (SELECT *, price < 10 AS bad FROM ticks) SELECT instrument, arg_max(seq, {{'t': ts, 's': seq}}) FILTER (NOT bad) AS seq, round(arg_max(price, {{'t': ts, 's': seq}}) FILTER (NOT bad), 6) AS price, count(*) FILTER (bad) AS errors,

@@ -265,6 +265,13 @@ def stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).parquet(path) if there else None
 
 
+def stored_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What a table holds; no rows if nothing has come for it."""
+    none = spark.createDataFrame([], schema)
+    got = stored_rows(spark, path, none.schema)
+    return none if got is None else got.select(none.columns)
+
+
 def latest_state(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key so far, for update or complete mode."""
     rest = [c for c in stream.columns if c not in keys]
