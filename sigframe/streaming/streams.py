@@ -167,9 +167,16 @@ def asof_stream(left: DataFrame, right: DataFrame, keys: list[str], values: list
 
 
 def nearby_streams(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour", values: list[str] | None = None) -> DataFrame:
-    """Pairs of events (key, ts, values) of two streams at most ``within`` apart."""
-    a, b = left.withWatermark("ts", late).alias("a"), right.withWatermark("ts", late).alias("b")
-    on = f"a.{key} = b.{key} AND b.ts BETWEEN a.ts - INTERVAL {within} AND a.ts + INTERVAL {within}"
+    """Pairs of events (key, ts, values) of two streams at most ``within`` (days to seconds) apart.
+
+    Time is cut into cells as long as ``within``: a left event lies in one, a right one is put into its own and the two beside it, so each pair meets once, in its left event's cell. A key's events
+    are dealt out by cells, and an event is compared with those of three cells, not with all that its key holds.
+    """
+    a, b = left.withWatermark("ts", late), right.withWatermark("ts", late)
+    cell = F.floor(F.unix_micros("ts") / F.expr(f"unix_micros(TIMESTAMP '1970-01-01 00:00:00+00:00' + INTERVAL {within})"))
+    a = a.withColumn("cell", cell).alias("a")
+    b = b.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1))).alias("b")
+    on = f"a.{key} = b.{key} AND a.cell = b.cell AND b.ts BETWEEN a.ts - INTERVAL {within} AND a.ts + INTERVAL {within}"
     own = [F.col(f"{side}.{v}").alias(prefix + v) for v in values or [] for side, prefix in (("a", ""), ("b", "other_"))]
     return a.join(b, F.expr(on)).select(f"a.{key}", F.col("a.ts").alias("ts"), F.col("b.ts").alias("other_ts"), *own)
 

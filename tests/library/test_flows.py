@@ -6,8 +6,10 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sigframe.plans.queries import QUERIES, SQL
+from sigframe.streaming import streams
 
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 BEGIN = datetime.datetime(2024, 1, 1)
@@ -34,3 +36,17 @@ def same_as_sql(spark, name, folder):
 def test_a_stream_without_rows_leaves_an_empty_table(spark, tmp_path, name):
     flat = [(i, 600 * i, "ab"[i % 2], 5.0) for i in range(60)] if name == "m_ledger" else []  # a flat price breaks nothing
     assert same_as_sql(spark, name, events(spark, tmp_path, flat)) == 0
+
+
+def test_near_events_are_dealt_out_by_time(spark, tmp_path):
+    """Pairs at the edges of cells, each once; one key's pairs do not all meet in one task."""
+    at = {"left": [(k * 977) % 50_000 for k in range(300)] + [0, 3600, 7200], "right": [(k * 1361) % 50_000 for k in range(300)] + [0, 7199, 7200, 10_800, 10_801]}
+    for name, times in at.items():
+        rows = spark.createDataFrame([("x", 86_400 + t, n) for n, t in enumerate(times)], "k string, ts long, n long").withColumn("ts", F.timestamp_seconds("ts"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    left, right = (spark.readStream.schema("k string, ts timestamp, n long").parquet(f"{tmp_path}/{name}") for name in at)
+    pairs = streams.nearby_streams(left, right, "k", "1 HOUR", values=["n"]).withColumn("part", F.spark_partition_id())
+    got = streams.replay(pairs, f"{tmp_path}/out").collect()
+    want = [(i, j) for i, a in enumerate(at["left"]) for j, b in enumerate(at["right"]) if abs(a - b) <= 3600]
+    assert sorted((r.n, r.other_n) for r in got) == want
+    assert len({r.part for r in got}) > 1
