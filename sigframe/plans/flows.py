@@ -14,42 +14,49 @@ from .series import BARS, TICKS, hourly, register, rounded
 from .studies import _RUNGS
 
 c = F.col
-SLICES = 8
+#: The ticks come in so many slices of time at least, and in one for each so many ticks.
+SLICES, SLICE_ROWS = 8, 100_000
+#: A micro-batch takes so many slices at most.
+TRIGGER = 8
+#: Slices come in the order of time, so none is late; so far the watermark still stays behind.
+LATE = "3600 seconds"
 #: An instrument whose one tick, far ahead, lets the watermark pass everything.
 END = "~end"
 
 
 def sliced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
-    """The ticks with the number of their slice of time, how long a slice is, and the last time."""
-    ticks = S.kept(S.ticks(spark, sf_dir))
-    lo, hi = ticks.agg(F.min("ts"), F.max("ts")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo) // SLICES + 1
-    return ticks.withColumn("slice", F.floor((c("ts") - lo) / width)), width, hi
+    """The ticks with the number of their slice, how many slices there are, and the last time. Slices follow each other in (ts, seq), and are about equally large, however the ticks lie in time."""
+    ticks, path = S.kept(S.ticks(spark, sf_dir)).where("ts IS NOT NULL"), S.shared_dir(spark)
+    n, hi = ticks.agg(F.count("*"), F.max("ts")).first()
+    dealt = ticks.repartitionByRange(max(SLICES, -(-n // SLICE_ROWS)), "ts", "seq").withColumn("slice", F.spark_partition_id())
+    dealt.write.partitionBy("slice").parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    return dealt, (dealt.agg(F.max("slice")).first()[0] or 0) + 1, hi or 0
 
 
 def arrive(ticks: DataFrame, slices: range, path: str) -> None:
-    """Files of some slices, in the order of time."""
+    """Slices in the order of time, each as one file, so that whatever files a micro-batch takes, no later one has ticks before its own."""
     for k in slices:
-        ticks.where(c("slice") == k).drop("slice").withColumn("ts", F.timestamp_seconds("ts")).write.mode("append").parquet(f"{path}/ticks")
+        part = ticks.where(c("slice") == k).drop("slice").withColumn("ts", F.timestamp_seconds("ts"))
+        part.coalesce(1).write.mode("append").parquet(f"{path}/ticks")
 
 
-def close(spark: SparkSession, path: str, hi: int, width: int) -> None:
-    end = spark.createDataFrame([(END, hi + 10 * width + 40 * 86400, 0, 0.0, 0.0)], "instrument string, ts long, seq long, price double, volume double")
-    end.withColumn("ts", F.timestamp_seconds("ts")).write.mode("append").parquet(f"{path}/ticks")
+def close(spark: SparkSession, path: str, hi: int) -> None:
+    end = spark.createDataFrame([(END, hi + 400 * 86400, 0, 0.0, 0.0)], "instrument string, ts long, seq long, price double, volume double")
+    end.withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(f"{path}/ticks")
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """The ticks as files, written slice by slice in the order of time, and how far a slice reaches in seconds, which is how late a tick may come."""
+    """The ticks as files, written slice by slice in the order of time, and how late a tick may come."""
     path = S.shared_dir(spark)
-    ticks, width, hi = sliced(spark, sf_dir)
-    arrive(ticks, range(SLICES), path)
-    close(spark, path, hi, width)
-    return path, f"{width + 3600} seconds"
+    ticks, n, hi = sliced(spark, sf_dir)
+    arrive(ticks, range(n), path)
+    close(spark, path, hi)
+    return path, LATE
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    return M.tick_stream(spark, f"{path}/ticks", files_per_trigger=8)
+    return M.tick_stream(spark, f"{path}/ticks", files_per_trigger=TRIGGER)
 
 
 @register(f"WITH {BARS} SELECT instrument, t, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, round(v, 6) AS v FROM bars")
@@ -72,9 +79,8 @@ def m_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: rows of a stream whose payload differs from the one before of their key."""
     path, _ = replayed(spark, sf_dir)
     ticks = stream_of(spark, path).where(c("instrument") != END)
-    rows = ticks.select("instrument", F.struct(F.unix_timestamp("ts").alias("ts"), "seq").alias("k"), F.floor(c("price") / 50).alias("level"))
-    rows = rows.select("instrument", (c("k.ts") * (1 << 31) + c("k.seq")).alias("at"), "level")
-    return M.replay(M.changes(rows, ["instrument"], ["level"], "at"), path).select("instrument", (c("at") % (1 << 31)).alias("seq"), "level")
+    rows = ticks.select("instrument", F.unix_timestamp("ts").alias("t"), "seq", F.floor(c("price") / 50).alias("level"))
+    return M.replay(M.changes(rows, ["instrument"], ["level"], ["t", "seq"]), path).select("instrument", "seq", "level")
 
 
 @register(f"""WITH {TICKS}, x AS (SELECT *, CASE WHEN price BETWEEN 40 AND 60 THEN 'testing' WHEN price > 60 THEN 'above' ELSE 'below' END AS place FROM ticks), y AS (SELECT *, lag(place) OVER k AS p1, last_value(CASE WHEN place <> 'testing' THEN place END IGNORE NULLS) OVER u AS side FROM x WINDOW k AS (PARTITION BY instrument ORDER BY ts, seq), u AS (PARTITION BY instrument ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -84,8 +90,8 @@ def m_stepped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state machine over a stream, with the same step as in batch."""
     path, _ = replayed(spark, sf_dir)
     ticks = stream_of(spark, path).where(c("instrument") != END)
-    rows = ticks.select("instrument", F.unix_timestamp("ts").alias("t"), (F.unix_timestamp("ts") * (1 << 31) + c("seq")).alias("at"), c("price").alias("c"))
-    return M.replay(M.stepped(rows, M.zone_lifecycle({}, (40.0, 60.0)), "t long, status string", ["instrument"], "at"), path)
+    rows = ticks.select("instrument", F.unix_timestamp("ts").alias("t"), "seq", c("price").alias("c"))
+    return M.replay(M.stepped(rows, M.zone_lifecycle({}, (40.0, 60.0)), "t long, status string", ["instrument"], ["t", "seq"]), path)
 
 
 @register(f"""WITH {_DAYS} SELECT k.instrument, k.seq, max(d.t) AS day, round(arg_max(d.c, d.t), 6) AS day_close FROM ticks k LEFT JOIN days d ON d.instrument = k.instrument AND d.t + 86400 <= k.ts GROUP BY 1, 2""")
@@ -106,13 +112,12 @@ def m_join_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of a stream that is stopped halfway and started again from its checkpoint, when more files have come."""
     path = S.shared_dir(spark)
-    ticks, width, hi = sliced(spark, sf_dir)
-    half = SLICES // 2
-    for slices in (range(half), range(half, SLICES)):
+    ticks, n, hi = sliced(spark, sf_dir)
+    for slices in (range(n // 2), range(n // 2, n)):
         arrive(ticks, slices, path)
-        if slices.stop == SLICES:
-            close(spark, path, hi, width)
-        got = M.replay(M.bar_stream(stream_of(spark, path), "1h", f"{width + 3600} seconds"), path)
+        if slices.stop == n:
+            close(spark, path, hi)
+        got = M.replay(M.bar_stream(stream_of(spark, path), "1h", LATE), path)
     return rounded(got.where(c("instrument") != END), "instrument", "t", *"ohlcv")
 
 

@@ -52,16 +52,17 @@ def _plain(v: Any) -> Any:
     return int(v) if isinstance(v, float) and v.is_integer() else v
 
 
-def changes(stream: DataFrame, keys: list[str], payload: list[str], order: str) -> DataFrame:
+def changes(stream: DataFrame, keys: list[str], payload: list[str], order: str | list[str]) -> DataFrame:
     """Rows whose payload differs from the one before of their key; nulls and NaN are equal. Rows of equal ``order`` come by their payload, so that every run agrees.
 
     Rows of a micro-batch are compared as columns with those before them; only the payload of the last one is state, as JSON.
     """
-    schema = T.StructType([f for f in stream.schema.fields if f.name in (*keys, *payload, order)])
+    order = [order] if isinstance(order, str) else order
+    schema = T.StructType([f for f in stream.schema.fields if f.name in (*keys, *payload, *order)])
     names = schema.fieldNames()
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)[names].sort_values([order, *payload], kind="stable")
+        rows = pd.concat(list(batches), ignore_index=True)[names].sort_values([*order, *payload], kind="stable")
         now, before = rows[payload], rows[payload].shift()
         new = ~((now == before) | (now.isna() & before.isna())).all(axis=1).to_numpy()
         edge = lambda k: json.dumps([_plain(v) for v in now.iloc[k]], default=str)
@@ -72,7 +73,7 @@ def changes(stream: DataFrame, keys: list[str], payload: list[str], order: str)
     return stream.select(*names).groupBy(*keys).applyInPandasWithState(work, schema, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def stepped(stream: DataFrame, step: Step, schema: str, keys: list[str], order: str) -> DataFrame:
+def stepped(stream: DataFrame, step: Step, schema: str, keys: list[str], order: str | list[str]) -> DataFrame:
     """A fold's step function over a stream: state lives from one micro-batch to the next, rows of a micro-batch are put in order."""
     names = [x.split()[0] for x in schema.split(", ")]
     out_schema = ", ".join([*[f"{k} string" for k in keys], schema])
