@@ -11,6 +11,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,15 +109,24 @@ def zone_lifecycle(bounds: dict[str, tuple[float, float]], others: tuple[float,
     return step
 
 
+def _stored(rows: pd.DataFrame) -> bytes:
+    """Rows as an Arrow stream, which keeps types and all digits."""
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 #: The layout of the state of ``asof_stream``; state of another layout is an error, not a guess.
-ASOF_VERSION = 1
+ASOF_VERSION = 2
 
 
 def asof_stream(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], late: str = "1 hour") -> DataFrame:
     """Rows of ``left`` (keys, ts, ..) with the ``values`` of the row of ``right`` (keys, ts, values) that is the last one at or before them.
 
     Of a slower rung ``ts`` is when its bar has closed. Rows of both sides wait until the watermark, which is that of the slower side, has passed them; then no row can come any more that lies
-    before them, and each left row gets its right row, once. A key's state is its last right row and what still waits; an event-time timer wakes a key whose rows all lie before the watermark.
+    before them, and each left row gets its right row, once. A key's state is its last right row and what still waits, as Arrow; an event-time timer wakes a key whose rows all lie before the watermark.
+    A task holds what of a key waits and comes with one micro-batch, so the stream's trigger bounds its memory.
     """
     cols = [f for f in left.schema.fields if f.name not in keys]
     vals = [f for f in right.schema.fields if f.name in values]
@@ -127,13 +137,12 @@ def asof_stream(left: DataFrame, right: DataFrame, keys: list[str], values: list
     out = T.StructType([T.StructField(k, left.schema[k].dataType) for k in keys] + [T.StructField("ts", T.TimestampType())] + [T.StructField(c, left.schema[c].dataType) for c in own] + [T.StructField(f"{f.name}_asof", f.dataType) for f in vals])
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, last, waiting = state.get if state.exists else (ASOF_VERSION, "", "")
+        version, last, waiting = state.get if state.exists else (ASOF_VERSION, "", b"")
         if version != ASOF_VERSION:
             raise ValueError(f"state of layout {version}, not {ASOF_VERSION}")
         parts = [] if state.hasTimedOut else [x[["ts", "side", *names]].assign(ts=x["ts"].astype("datetime64[us]").astype("int64")) for x in batches]
         if waiting:
-            held = json.loads(waiting)
-            parts.insert(0, pd.DataFrame(held["data"], columns=held["columns"]))
+            parts.insert(0, pa.ipc.open_stream(waiting).read_pandas())
         rows = pd.concat([p for p in parts if len(p)] or [pd.DataFrame(columns=["ts", "side", *names])], ignore_index=True)
         mark = state.getCurrentWatermarkMs() * 1000
         done = (rows["ts"] <= mark).to_numpy(bool)
@@ -141,11 +150,11 @@ def asof_stream(left: DataFrame, right: DataFrame, keys: list[str], values: list
         rest = rows[~done]
         before = pd.DataFrame([json.loads(last)], columns=names) if last else pd.DataFrame([[None] * len(names)], columns=names)
         is_right = (ready["side"] == 0).to_numpy(bool)
-        met = np.maximum.accumulate(np.where(is_right, np.arange(1, len(ready) + 1), 0)) if len(ready) else np.zeros(0, int)
-        table = pd.concat([before.astype(object), ready[names].astype(object)], ignore_index=True)
-        if met.size and met[-1]:
-            last = json.dumps([None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in table.iloc[met[-1]]])
-        state.update((ASOF_VERSION, last, json.dumps({"columns": list(rest.columns), "data": json.loads(rest.to_json(orient="values"))}) if len(rest) else ""))
+        met = np.cumsum(is_right)  # the right row that a row has met; 0 is the one before this batch
+        table = pd.concat([before.astype(object), ready.loc[is_right, names].astype(object)], ignore_index=True)
+        if is_right.any():
+            last = json.dumps([None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in table.iloc[-1]])
+        state.update((ASOF_VERSION, last, _stored(rest) if len(rest) else b""))
         if len(rest):
             state.setTimeoutTimestamp(max(int(rest["ts"].min()) // 1000, int(mark) // 1000 + 1))
         left_rows = ready[~is_right]
@@ -164,7 +173,7 @@ def asof_stream(left: DataFrame, right: DataFrame, keys: list[str], values: list
             yield got[out.fieldNames()]
 
     grouped = a.unionByName(b).groupBy(*keys)
-    return grouped.applyInPandasWithState(work, out, "version int, last string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+    return grouped.applyInPandasWithState(work, out, "version int, last string, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def nearby_streams(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour", values: list[str] | None = None) -> DataFrame:

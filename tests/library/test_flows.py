@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigframe.plans import flows
 from sigframe.plans.queries import QUERIES, SQL
 from sigframe.streaming import streams
 
@@ -60,3 +61,24 @@ def test_ticks_of_many_files_come_in_order(spark, tmp_path, monkeypatch, name):
     rng = np.random.default_rng(4)
     rows = [(n * (1 << 27) + 1, int(rng.integers(0, 3600)) if n % 50 else 400_000 * n, "ab"[n % 2], float(rng.integers(0, 200))) for n in range(400)]
     assert same_as_sql(spark, name, events(spark, tmp_path, rows, parts=13)) > 50
+
+
+def test_slices_stay_small(spark, tmp_path, monkeypatch):
+    """What a micro-batch takes, and so what waits in a task, does not grow with the table, even if nearly all ticks lie in one hour."""
+    monkeypatch.setattr(flows, "SLICE_ROWS", 20, raising=False)
+    rows = [(n, n % 3600 if n % 50 else 400_000 * n, "a", 1.0) for n in range(400)]
+    ticks, *_ = flows.sliced(spark, events(spark, tmp_path, rows))
+    sizes = {r["slice"]: (r.n, r.lo, r.hi) for r in ticks.groupBy("slice").agg(F.count("*").alias("n"), F.min(F.struct("ts", "seq")).alias("lo"), F.max(F.struct("ts", "seq")).alias("hi")).collect()}
+    assert sum(n for n, _, _ in sizes.values()) == 400 and max(n for n, _, _ in sizes.values()) <= 60
+    assert all(sizes[k][2] < sizes[k + 1][1] for k in range(len(sizes) - 1))
+
+
+def test_what_waits_keeps_all_digits(spark, tmp_path):
+    value, late = 0.12345678901234567, 10_000
+    for at, kind in ((100, "a"), (late, "~"), (late + 1, "~")):
+        for name in ("left", "right"):
+            rows = spark.createDataFrame([(kind, at, value)], "k string, ts long, v double").withColumn("ts", F.timestamp_seconds("ts"))
+            rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    read = lambda name: spark.readStream.schema("k string, ts timestamp, v double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    joined = streams.asof_stream(read("left"), read("right").withColumnRenamed("v", "w"), ["k"], ["w"], "1 hour")
+    assert [(r.v, r.w_asof) for r in streams.replay(joined, f"{tmp_path}/out").where("k = 'a'").collect()] == [(value, value)]
