@@ -18,6 +18,8 @@ c = F.col
 SLICES, SLICE_ROWS = 8, 100_000
 #: A micro-batch takes so many slices at most.
 TRIGGER = 8
+#: A task compares so many pairs of events, about.
+TASK_PAIRS = 10_000_000
 #: Slices come in the order of time, so none is late; so far the watermark still stays behind.
 LATE = "3600 seconds"
 #: An instrument whose one tick, far ahead, lets the watermark pass everything.
@@ -126,8 +128,10 @@ def m_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of two streams near each other in time."""
     path, late = replayed(spark, sf_dir)
     side = lambda n: stream_of(spark, path).where(c("instrument").isin(n, END)).select(F.when(c("instrument") == END, END).otherwise("all").alias("pool"), "ts", "seq")
-    pairs = M.nearby_streams(side("purchase"), side("view"), "pool", "1 HOUR", late, ["seq"])
-    return M.replay(pairs, path).where(c("pool") != END).select("seq", c("other_seq").alias("other"))
+    blocks = M.replay(M.nearby_blocks(side("purchase"), side("view"), "pool", "1 HOUR", late, ["seq"]), path).where(c("pool") != END)
+    n = blocks.agg(F.sum(F.size("a").cast("long") * F.size("b"))).first()[0] or 0
+    dealt = blocks.repartition(max(SLICES, -(-n // TASK_PAIRS)))
+    return M.paired(dealt, "1 HOUR", [], ["seq"]).withColumnRenamed("other_seq", "other")
 
 
 @register(f"""WITH {_TRADES} SELECT instrument, side, bar_idx, why AS status, round(pnl, 5) AS pnl_pct FROM trades""")

@@ -12,7 +12,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -176,19 +176,82 @@ def asof_stream(left: DataFrame, right: DataFrame, keys: list[str], values: list
     return grouped.applyInPandasWithState(work, out, "version int, last string, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def nearby_streams(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour", values: list[str] | None = None) -> DataFrame:
-    """Pairs of events (key, ts, values) of two streams at most ``within`` (days to seconds) apart.
+#: A block holds so many rows at most, so a pair of blocks stands for at most the square of it.
+BLOCK = 512
+
+
+def _blocks(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Rows (key, cell, ts, values) as blocks (key, cell, first, ts, rows): rows of one key and cell in the order of time, with their first and last times. A block is made from what lies in one Arrow batch, so it needs no state."""
+    names = ["ts", *values]
+    one = T.StructType([T.StructField(n, rows.schema[n].dataType) for n in names])
+    types = {key: rows.schema[key].dataType, "cell": T.LongType(), "first": rows.schema["ts"].dataType, "ts": rows.schema["ts"].dataType, "rows": T.ArrayType(one)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, cell, at = batch.column(key).dictionary_encode().indices.to_numpy(), batch.column("cell").to_numpy(), batch.column("ts").cast(pa.int64()).to_numpy()
+            order = np.lexsort((at, cell, k))
+            new = np.flatnonzero(np.r_[True, (np.diff(k[order]) != 0) | (np.diff(cell[order]) != 0)])
+            begin = np.concatenate([np.arange(i, j, BLOCK) for i, j in zip(new, [*new[1:], len(order)], strict=True)])
+            end = np.r_[begin[1:], len(order)]
+            put = batch.take(pa.array(order))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(order)], pa.int32()), pa.StructArray.from_arrays([put.column(n) for n in names], names))
+            own = [put.column(n).take(pa.array(i)) for n, i in ((key, begin), ("cell", begin), ("ts", begin), ("ts", end - 1))]
+            yield pa.RecordBatch.from_arrays([*own, lists], list(types))
+
+    return rows.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).mapInArrow(work, T.StructType([T.StructField(*f) for f in types.items()]))
+
 
-    Time is cut into cells as long as ``within``: a left event lies in one, a right one is put into its own and the two beside it, so each pair meets once, in its left event's cell. A key's events
-    are dealt out by cells, and an event is compared with those of three cells, not with all that its key holds.
+def _micros(within: str) -> Column:
+    return F.expr(f"unix_micros(TIMESTAMP '1970-01-01 00:00:00+00:00' + INTERVAL {within})")
+
+
+def nearby_blocks(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour", values: list[str] | None = None) -> DataFrame:
+    """Pairs of blocks (key, a, b) of events (key, ts, values) of two streams that may hold events at most ``within`` (days to seconds) apart; ``paired`` makes the pairs of events from them.
+
+    Time is cut into cells as long as ``within``: a left event lies in one, a right one is put into its own and the two beside it, so each pair meets once, in its left event's cell. Events of a cell
+    wait and meet as blocks, each with its last time as its own: state and work grow with the blocks, not with the pairs, and neither a key nor a cell is held as a whole.
     """
-    a, b = left.withWatermark("ts", late), right.withWatermark("ts", late)
-    cell = F.floor(F.unix_micros("ts") / F.expr(f"unix_micros(TIMESTAMP '1970-01-01 00:00:00+00:00' + INTERVAL {within})"))
-    a = a.withColumn("cell", cell).alias("a")
-    b = b.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1))).alias("b")
-    on = f"a.{key} = b.{key} AND a.cell = b.cell AND b.ts BETWEEN a.ts - INTERVAL {within} AND a.ts + INTERVAL {within}"
-    own = [F.col(f"{side}.{v}").alias(prefix + v) for v in values or [] for side, prefix in (("a", ""), ("b", "other_"))]
-    return a.join(b, F.expr(on)).select(f"a.{key}", F.col("a.ts").alias("ts"), F.col("b.ts").alias("other_ts"), *own)
+    cell = F.floor(F.unix_micros("ts") / _micros(within)).alias("cell")
+    side = lambda rows: _blocks(rows.select(key, cell, "ts", *(values or [])), key, values or []).withWatermark("ts", late)
+    a, b = side(left).alias("a"), side(right).withColumn("cell", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1))).alias("b")
+    # the last times of blocks that meet are less than two cells apart, which bounds how long one waits; one more, for a day in local time may have 23 hours
+    waits = f"b.ts BETWEEN a.ts - 3 * INTERVAL {within} AND a.ts + 3 * INTERVAL {within}"
+    near = (F.unix_micros("b.first") - F.unix_micros("a.ts") <= _micros(within)) & (F.unix_micros("a.first") - F.unix_micros("b.ts") <= _micros(within))
+    met = a.join(b, F.expr(f"a.{key} = b.{key} AND a.cell = b.cell AND {waits}") & near)
+    return met.select(f"a.{key}", F.col("a.rows").alias("a"), F.col("b.rows").alias("b"))
+
+
+def paired(blocks: DataFrame, within: str, keys: list[str], values: list[str]) -> DataFrame:
+    """Pairs of events (keys, and ``values`` of both) at most ``within`` apart, from the pairs of blocks that ``nearby_blocks`` finds, of a stream or a table. A left event's pairs are a range of the right block, which is in order."""
+    others = [f"other_{v}" for v in values]
+    types = {k: blocks.schema[k].dataType for k in keys}
+    for side, names in (("a", values), ("b", others)):
+        types |= {n: blocks.schema[side].dataType.elementType[v].dataType for n, v in zip(names, values, strict=True)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(side)[i].values for side in "ab")
+                at, other = (x.field("ts").cast(pa.int64()).to_numpy() for x in (a, b))
+                reach = batch.column("reach")[i].as_py()
+                low, high = np.searchsorted(other, at - reach, "left"), np.searchsorted(other, at + reach, "right")
+                n = high - low
+                end = np.cumsum(n)
+                if end[-1]:
+                    mine, its = pa.array(np.repeat(np.arange(len(n)), n)), pa.array(np.arange(end[-1]) + np.repeat(low - (end - n), n))
+                    own = [pa.repeat(batch.column(k)[i], int(end[-1])) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*own, *(a.field(v).take(mine) for v in values), *(b.field(v).take(its) for v in values)], list(types))
+
+    return blocks.select(*keys, "a", "b", _micros(within).alias("reach")).mapInArrow(work, T.StructType([T.StructField(*f) for f in types.items()]))
+
+
+def nearby_streams(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour", values: list[str] | None = None) -> DataFrame:
+    """Pairs of events (key, ts, values) of two streams at most ``within`` (days to seconds) apart, as a stream."""
+    names = ["ts", *(values or [])]
+    pairs = paired(nearby_blocks(left, right, key, within, late, values), within, [key], names)
+    return pairs.select(key, *[n for v in names for n in (v, f"other_{v}")])
 
 
 PARTS = 64

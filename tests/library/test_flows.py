@@ -54,6 +54,21 @@ def test_near_events_are_dealt_out_by_time(spark, tmp_path):
     assert len({r.part for r in got}) > 1
 
 
+@pytest.mark.parametrize("block", [7, 512])
+def test_a_stream_of_near_events_writes_blocks(spark, tmp_path, monkeypatch, block):
+    """What the stream keeps and writes is far less than the pairs, and every pair comes out of it."""
+    written = []
+    monkeypatch.setattr(streams, "BLOCK", block, raising=False)
+    monkeypatch.setattr(streams, "replay", lambda stream, path, run=streams.replay: written.append(run(stream, path)) or written[-1])
+    n = same_as_sql(spark, "m_nearby", events(spark, tmp_path, [(k, 7 * k % 7200, ("purchase", "view")[k % 2], 1.0) for k in range(1200)]))
+    assert n > 200_000
+    assert written[0].count() < n / 10
+
+
+def test_no_events_have_no_pairs(spark, tmp_path):
+    assert same_as_sql(spark, "m_nearby", events(spark, tmp_path, [(k, 60 * k, "click", 1.0) for k in range(30)])) == 0
+
+
 @pytest.mark.parametrize("name", ["m_changes", "m_stepped_stream"])
 def test_ticks_of_many_files_come_in_order(spark, tmp_path, monkeypatch, name):
     """A table of many files, most ticks within one hour, ids beyond 31 bits: whichever files a micro-batch takes, no tick comes before its turn."""
